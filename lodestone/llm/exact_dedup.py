@@ -97,7 +97,7 @@ def _keys(digests: np.ndarray) -> np.ndarray:
 
 def _shard(bits: int):
     """The first bits of the digest."""
-    return F.expr(f"cast(shiftrightunsigned(conv(hex(substring({P}digest, 1, 4)), 16, 10), {32 - bits}) as int)") if bits else F.lit(0)
+    return F.expr(f"cast(shiftrightunsigned(cast(conv(hex(substring({P}digest, 1, 4)), 16, 10) as bigint), {32 - bits}) as int)") if bits else F.lit(0)
 
 
 INDEX = "shard int, sizes binary, bits binary, rest binary, digests binary, winners binary, filled binary"
