@@ -1,11 +1,15 @@
 """The corpus operators' queries over whole tables, and their SQL where SQL can express them."""
 
+from .decontaminate import op9_decontaminate
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .mixing import OP8_SQL, op8_mix
+from .quality import op7_quality
 
 QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_quality": op7_quality,
     "op8_mix": op8_mix,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 ORACLES = {
