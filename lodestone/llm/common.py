@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Prefix of every helper column, so that extra columns of the input can't clash with it.
 P = "_lds_"
+#: Paths in the shared folder that materialise() wrote.
+_written: set[tuple[SparkSession, str]] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +32,7 @@ def scratch_root(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
     spark.conf.set("spark.checkpoint.dir", root)
-    atexit.register(lambda: __import__("shutil").rmtree(root[7:], ignore_errors=True))
+    atexit.register(lambda: shutil.rmtree(root[7:], ignore_errors=True))
     return root
 
 
@@ -37,16 +40,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, survives the loss of any executor. Give the result to discard() when nothing needs it any more."""
     path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _written:
+        atexit.register(_clean)
+    _written.add((df.sparkSession, path))
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lodestone_path = path  # type: ignore[attr-defined]
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _written.discard((spark, path))
+
+
 def discard(*tables: DataFrame) -> None:
     for t in tables:
-        spark, path = t.sparkSession, t._lodestone_path
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(t.sparkSession, t._lodestone_path)
+
+
+def _clean() -> None:
+    """What is left when the driver ends. Where the context has stopped before, its JVM still serves the file system."""
+    for spark, path in list(_written):
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001, PERF203 the JVM is gone; local files can still be removed
+            if path.startswith(("/", "file:/")):
+                shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 def arrow_map(fn: Callable[..., Callable[..., pa.Array]], returns: str, *cols: Column) -> Column:
