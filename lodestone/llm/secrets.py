@@ -2,7 +2,11 @@
 
 The rules' regular expressions (bytes, bounded repetition) become one nondeterministic automaton whose start never ends; subset construction makes it deterministic,
 refinement minimises it, and what scans is an array: next state by state and class of bytes. Texts are laid side by side in lanes that each begin as many bytes
-early as the longest match has, so one pass over the bytes, many lanes a step, finds the ends of all rules' matches. Around the ends the rule itself gives the match's start.
+early as the longest match has, so one pass over the bytes, many lanes a step, finds where the heads of all rules' matches end. Around these places the rule itself gives the matches.
+
+A rule's last run of one class of bytes would make exponentially many states, as matches can begin inside matches. Of the attempts of a rule within its last run the automaton keeps the
+most advanced, since what ends that one ends the others; and of the run it reads TAIL bytes, else the runs of several rules within each other would multiply. The stretches to which the
+rules are applied reach as far as the longest match to both sides, so that no match is lost.
 
 Defined results: of each rule the leftmost, then longest matches that don't overlap; null and empty texts have none; a null doc_id is carried through; repeated rows each give theirs.
 """
@@ -32,6 +36,8 @@ RULES = {
     "basic_auth_url": "https?://[a-z0-9_]{2,24}:[A-Za-z0-9_]{4,32}@",
 }
 LANE = 2048
+#: Bytes of a rule's last run that the automaton reads; the rule itself, applied there, reads all.
+TAIL = 3
 _SEPARATOR = 256  # a symbol that no rule has
 
 
@@ -146,6 +152,15 @@ def longest(tree: tuple) -> int:
     return longest(tree[1]) * tree[3]
 
 
+def split_tail(tree: tuple) -> tuple[tuple, tuple, int]:
+    """What the automaton reads of a rule: the head, and the class of its last run with the bytes of it, at most TAIL (0: no run). What comes after the last run is for the rule itself to check."""
+    parts = list(tree[1]) if tree[0] == "seq" else [tree]
+    for k in range(len(parts) - 1, -1, -1):
+        if parts[k][0] == "rep" and parts[k][1][0] == "set" and parts[k][2]:
+            return ("seq", parts[:k]), parts[k][1], min(parts[k][2], TAIL)
+    return ("seq", parts), ("seq", []), 0
+
+
 def _add(nfa: _Nfa, tree: tuple, start: int) -> int:
     kind = tree[0]
     if kind == "set":
@@ -190,13 +205,19 @@ def compile_rules(rules: dict[str, str]) -> Automaton:
     nfa = _Nfa([], [])
     root = nfa.state()
     finals: dict[int, int] = {}
+    tail: dict[int, tuple[int, int]] = {}  # states in a rule's last run: the rule, and how far
     reach = 1
     for k, pattern in enumerate(rules.values()):
         tree = _Parser(pattern).parse()
         reach = max(reach, longest(tree))
         start = nfa.state()
         nfa.empty[root].append(start)
-        finals[_add(nfa, tree, start)] = k
+        head, run, least = split_tail(tree)
+        end = _add(nfa, head, start)
+        for i in range(least):
+            end = _add(nfa, run, end)
+            tail[end] = (k, i)
+        finals[end] = k
     # bytes that no edge tells apart are one class
     sets = list({s for e in nfa.edges for s, _ in e})
     member = np.zeros((257, len(sets)), bool)
@@ -222,6 +243,14 @@ def compile_rules(rules: dict[str, str]) -> Automaton:
             out |= closures[s]
         return frozenset(out)
 
+    def advanced(states: frozenset[int]) -> frozenset[int]:
+        most: dict[int, int] = {}
+        for s in states:
+            if s in tail:
+                k, i = tail[s]
+                most[k] = max(i, most.get(k, 0))
+        return frozenset(s for s in states if s not in tail or tail[s][1] == most[tail[s][0]])
+
     steps: list[dict[int, set[int]]] = []
     for e in nfa.edges:
         by: dict[int, set[int]] = {}
@@ -240,7 +269,7 @@ def compile_rules(rules: dict[str, str]) -> Automaton:
                 to.setdefault(c, set()).update(t)
         row = [0] * width
         for c, t in to.items():
-            x = closure(t) | begin  # a match may begin anywhere
+            x = advanced(closure(t) | begin)  # a match may begin anywhere
             if x not in ids:
                 ids[x] = len(ids)
                 todo.append(x)
@@ -313,14 +342,14 @@ def find(a: Automaton, texts: pa.Array) -> list[list[tuple[int, int, str]]]:
                 by.setdefault((r, rule), []).append(p)
         for (r, rule), stops in sorted(by.items()):
             text = part[off[i + r] - off[i] : off[i + r + 1] - off[i]].tobytes()
-            lo, hi = max(0, stops[0] - a.reach), stops[0]
+            lo, hi = max(0, stops[0] - a.reach), stops[0] + a.reach
             for stop in [*stops[1:], None]:
                 if stop is not None and stop - a.reach < hi:
-                    hi = stop
+                    hi = stop + a.reach
                     continue
                 out[i + r] += [(rule, m.start(), m.group().decode()) for m in compiled[rule].finditer(text, lo, hi)]
                 if stop is not None:
-                    lo, hi = max(hi, stop - a.reach), stop
+                    lo, hi = stop - a.reach, stop + a.reach
     return out
 
 
