@@ -1,23 +1,46 @@
-"""The corpus pipeline: documents in, a training mixture out."""
+"""The corpus pipeline: documents in, a training mixture out.
+
+Every stage reads what its predecessor wrote and takes its decisions on all of it: the quality classifier drops what it rejects, exact dedup keeps one of equal texts, the n-gram join one of
+each group of near duplicates, decontamination drops what holds a test item, and mixing draws from the sources. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import exact_dedup, mixing
+from lodestone.llm import decontaminate, exact_dedup, mixing, ngram_join, quality
 from lodestone.llm.common import materialise, table
 
 
+def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.clean(docs, table(spark, sf_dir, "labels"))
+
+
 def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.kept(docs)
 
 
+def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.representatives(docs)
+
+
+def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.label_weights(table(spark, sf_dir, "labels")))
 
 
-STAGES = [("exact dedup", _exact), ("mixing sources to target weights", _mix)]
+STAGES = [
+    ("quality classifier", _quality),
+    ("exact dedup", _exact),
+    ("n-gram Jaccard join", _near),
+    ("benchmark decontamination", _decontaminate),
+    ("mixing sources to target weights", _mix),
+]
 
+#: The classifier is a trained network and the BM25 search is not SQL, so that run() is tested against brute force instead.
 ORACLE_SQL = None
 
 
