@@ -9,7 +9,7 @@ sentence has no answer to verify.
 
 Statistics are over all items; the index is of the test items alone and does not grow with the corpus. Beyond SLICE items it is applied slice by slice.
 
-Defined results: null or empty texts match nothing; items without words are left out; repeated items each match; a null doc_id or item_id is carried through.
+Defined results: case doesn't count, in any alphabet; null or empty texts match nothing; items without words are left out; repeated items each match; a null doc_id or item_id is carried through.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def split_item(text: str) -> tuple[str, str]:
 
 
 def hashed(text: str) -> np.ndarray:
-    return np.concatenate([h for *_, h, _ in words(pa.array([text]))] or [np.zeros(0, U)])
+    return np.concatenate([h for *_, h, _ in words(pa.array([text.lower()]))] or [np.zeros(0, U)])
 
 
 def grams_of(h: np.ndarray, n: int = GRAM) -> np.ndarray:
@@ -238,7 +238,7 @@ _TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("
 def matches(benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, slice_items: int = SLICE) -> Callable[[Column], Column]:
     """A function from a text column to an array of the verified items."""
     spark = benchmark.sparkSession
-    rows = [(r[0], r[1] or "") for r in benchmark.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator()]
+    rows = [(r[0], r[1] or "") for r in benchmark.select(F.col("item_id").cast("long"), F.lower("text").alias("text")).orderBy("item_id", "text").toLocalIterator()]
     stats = statistics([t for _, t in rows])
     parts = [spark.sparkContext.broadcast(build(rows[i : i + slice_items], stats)) for i in range(0, max(1, len(rows)), slice_items)]
 
@@ -251,7 +251,7 @@ def matches(benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float =
         return start
 
     def on(text: Column) -> Column:
-        found = [arrow_map(make(p), RESULT, text) for p in parts]
+        found = [arrow_map(make(p), RESULT, F.lower(text)) for p in parts]
         return found[0] if len(found) == 1 else F.concat(*found)
 
     return on

@@ -174,6 +174,8 @@ def test_decontamination_of_tables(spark):
     docs = spark.createDataFrame([(1, "Intro. What colour is the quiet northern harbour at dawn? It is mostly silver. End.", 0), (2, "A clean text about harbours.", 0), (None, None, 0), (4, "", 0)], "doc_id long, text string, item_id int")
     assert rows(decontaminate.clean(docs, bench), "doc_id") == rows(docs.where("doc_id is null or doc_id <> 1"), "doc_id")
     assert decontaminate.clean(docs, bench.where("false")).count() == 4 and decontaminate.clean(docs.where("false"), bench).count() == 0
+    loud = spark.createDataFrame([(1, "AVANT ÉCOLE ÎLE ÈRE ÉTÉ ÊTRE ÂME ÔTER ÛN? ÉTAIT À L'ÉGLISE.")], "item_id long, text string")
+    assert decontaminate.clean(spark.createDataFrame([(1, "x avant école île ère été être âme ôter ûn? était à l'église. y")], "doc_id long, text string"), loud).count() == 0
     sliced = decontaminate.clean(docs, bench.unionByName(bench), slice_items=1)
     assert sliced.count() == 3
 
