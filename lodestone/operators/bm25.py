@@ -31,7 +31,8 @@ def term_counts(docs: DataFrame, id_col: str = "id", text: str = "text") -> Data
 
 
 def idf_of(n: Column, df: Column) -> Column:
-    return F.log((n - df + 0.5) / (df + 0.5)) + 1
+    without = n - df
+    return F.log((without + 0.5) / (df + 0.5)) + 1
 
 
 def idf_table(counts: DataFrame, stats: DataFrame) -> DataFrame:

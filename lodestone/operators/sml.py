@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 from ..functions.embed import Embedder
 from .chunking import Chunk, chunk_text, strategy_of
 
-TYPE_WORDS = ("struct", "class", "enum", "trait", "interface", "type ", "model", "entity")
-FLOW_WORDS = ("fn ", "def ", "func ", "function", "proc ", "method", "impl", "handle", "process")
-INVARIANT_WORDS = ("must ", "always ", "never ", "require", "assert", "guard", "ensure", "reject", "forbidden", "mandatory", "obligatory")
+TYPE_WORDS = (*"class struct interface trait enum entity model".split(), "type ")
+FLOW_WORDS = (*(w + " " for w in "def fn func proc".split()), *"function method impl process handle".split())
+INVARIANT_WORDS = (*(w + " " for w in "always must never".split()), *"assert ensure forbidden guard mandatory obligatory reject require".split())
 #: What a text is compared with if there is an embedder.
 KEYWORDS = {
     "type": "entity model schema record object struct class enum interface module value".split(),
     "flow": "transform pipeline execute convert generate produce send receive stream ingest deploy migrate export".split(),
     "query": "query find search inspect audit count select filter verify validate".split(),
-    "invariant": "must always never require forbidden mandatory immutable guard ensure reject".split(),
+    "invariant": "never must forbidden always mandatory require immutable reject guard ensure".split(),
 }
 SEMANTIC_LEAST = 0.7
 

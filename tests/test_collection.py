@@ -56,7 +56,7 @@ def test_indexes_filters_and_text(spark, tmp_path):
 
 
 def test_missing_fields(spark, tmp_path):
-    (tmp_path / "x.jsonl").write_text('{"id":"x","text":"hello"}\n{"id":"y","text":"world","embedding":[0.5]}\n')
+    (tmp_path / "x.jsonl").write_text('{"text": "first", "id": "x"}\n{"embedding": [0.5], "text": "second", "id": "y"}\n')
     rows = {r["id"]: r for r in jsonl(spark, str(tmp_path / "x.jsonl")).collect()}
     assert rows["x"]["embedding"] == [] and rows["x"]["metadata"] == {} and rows["y"]["embedding"] == [0.5]
     assert completed(spark.createDataFrame([(None,)], "id string")).first()["text"] == ""
