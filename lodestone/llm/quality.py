@@ -33,11 +33,13 @@ PRIOR = 20.0
 CLASS_WEIGHT = 4.0
 HIDDEN = 32
 KEEP = 0.5
+#: Bytes of text that are cut into tokens at once, and pairs of words that are counted at once: they bound the memory, nothing else.
+PIECE, PAIRS = 1 << 19, 1 << 20
 CLASSES = ("poor", "toxic", "good")
 _CAPS, _NUMBER, _REPEAT = (U(x) for x in (0x5EED0001, 0x5EED0002, 0x5EED0003))
 
 
-def tokens(texts: pa.Array, most: int = 1 << 21):
+def tokens(texts: pa.Array, most: int = PIECE):
     """For pieces of the rows: first row, token hashes, offsets. Words are folded to lower case; words in capitals, numbers and repeats of the word before add a token of
     their own kind; runs of punctuation are tokens."""
     raw, off = buffers(texts)
@@ -76,13 +78,38 @@ def index_vectors(keys: np.ndarray, dim: int = DIM, nonzero: int = NONZERO) -> n
     return out
 
 
+def _added(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of two sorted sets of keys, added up."""
+    if not len(keys):
+        return more, m
+    both = np.concatenate([keys, more])
+    order = np.argsort(both, kind="stable")
+    both, n = both[order], np.concatenate([counts, m])[order]
+    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+    return both[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _by_rows(row: np.ndarray, most: int):  # noqa: ANN202
+    """Ranges of about `most` tokens that end where a row does. row ascends."""
+    lo = 0
+    while lo < len(row):
+        hi = len(row) if lo + most >= len(row) else int(np.searchsorted(row, row[lo + most], "right"))
+        yield lo, hi
+        lo = hi
+
+
 def word_vectors(ids: np.ndarray, row: np.ndarray, classes: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """ids: known words in reading order; row: their documents; classes: by document."""
     n = len(keys)
     out = np.zeros((n, DIM), np.float32)
     index = index_vectors(keys)
-    for a, b in ((ids[:-1], ids[1:]), (ids[1:], ids[:-1])):
-        pair, c = np.unique((a * n + b)[row[:-1] == row[1:]], return_counts=True)
+    for a, b in ((0, 1), (1, 0)):
+        pair, c = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for lo in range(0, len(ids) - 1, PAIRS):
+            hi = min(lo + PAIRS, len(ids) - 1)
+            same = row[lo:hi] == row[lo + 1 : hi + 1]
+            more, m = np.unique((ids[lo + a : hi + a].astype(np.int64) * n + ids[lo + b : hi + b])[same], return_counts=True)
+            pair, c = _added(pair, c, more, m)
         w = np.log1p(c).astype(np.float32)
         word, ctx = pair // n, pair % n
         start = np.searchsorted(word, np.arange(n + 1))
@@ -93,8 +120,11 @@ def word_vectors(ids: np.ndarray, row: np.ndarray, classes: np.ndarray, keys: np
             out[part] += np.add.reduceat(index[ctx[x:y]] * w[x:y, None], start[part] - x, axis=0)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     out /= np.maximum(norm, 1e-6)
-    held = np.unique(row * n + ids)
-    c = np.stack([np.bincount((held % n)[classes[held // n] == k], minlength=n) for k in range(len(CLASSES))], 1).astype(np.float64)
+    c = np.zeros((n, len(CLASSES)))
+    for lo, hi in _by_rows(row, PAIRS):
+        held = np.unique(row[lo:hi].astype(np.int64) * n + ids[lo:hi])
+        for k in range(len(CLASSES)):
+            c[:, k] += np.bincount((held % n)[classes[held // n] == k], minlength=n)
     p = np.bincount(classes, minlength=len(CLASSES)) / max(1, len(classes))
     p = np.maximum(p, 1e-9)
     lift = np.log((c + PRIOR * p) / (c.sum(1, keepdims=True) + PRIOR) / p)
@@ -170,23 +200,28 @@ def fit(texts: pa.Array, classes: np.ndarray) -> Model:
     """classes: positions in CLASSES. Documents must be in random order: the first half makes the vectors, the next 40 % the network, the rest the temperature."""
     n = len(classes)
     a, b = n // 2, n - max(1, n // 10)
-    hs, rows, base = [], [], 0
-    for i, h, ptr in tokens(texts.slice(0, a)):
-        hs.append(h)
-        rows.append(i + np.repeat(np.arange(len(ptr) - 1), np.diff(ptr)))
-    h = np.concatenate(hs) if hs else np.zeros(0, U)
-    row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    keys, ids = np.unique(h, return_inverse=True)
-    df = np.bincount(np.unique(row * max(1, len(keys)) + ids) % max(1, len(keys)), minlength=len(keys))
+    first = texts.slice(0, a)
+    keys, df = np.zeros(0, U), np.zeros(0, np.int64)
+    for _, h, ptr in tokens(first):
+        row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        keys, df = _added(keys, df, *np.unique(h[new], return_counts=True))
     top = np.sort(np.lexsort((keys, -df))[:VOCABULARY])
     top = top[df[top] >= 3]
-    new = np.full(len(keys), -1)
-    new[top] = np.arange(len(top))
-    ok = new[ids] >= 0 if len(keys) else np.zeros(0, bool)
+    keys = keys[top]
+    known, ids, rows = HashTable(keys), [], []
+    for i, h, ptr in tokens(first):
+        at, k = known.find(h)
+        ids.append(k.astype(np.int32))
+        rows.append((i + np.searchsorted(ptr, at, "right") - 1).astype(np.int32))
     good = (classes == 2).astype(np.float64)
     if len(top) == 0 or n < 20 or min(good[a:b].sum(), (1 - good[a:b]).sum()) < 2:
         return Model(np.zeros(0, U), np.zeros((0, DIM), np.float32))
-    model = Model(keys[top], word_vectors(new[ids][ok], row[ok], classes[:a], keys[top]))
+    model = Model(keys, word_vectors(np.concatenate(ids), np.concatenate(rows), classes[:a], keys))
+    del ids, rows
     x = model.features(texts.slice(a))
     model.shift, model.scale = x[: b - a].mean(0), x[: b - a].std(0) + 1e-3
     model.net = _network((x[: b - a] - model.shift) / model.scale, good[a:b])
@@ -209,7 +244,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([(f"{P}o", "ascending"), (f"{P}i", "ascending"), (f"{P}t", "ascending")])
-        return pa.table({"model": pa.array([pickle.dumps(fit(t[f"{P}t"].combine_chunks(), t[f"{P}c"].to_numpy().astype(np.int64)))], pa.binary())})
+        texts, classes = t[f"{P}t"].combine_chunks(), t[f"{P}c"].to_numpy().astype(np.int64)
+        del t
+        pa.default_memory_pool().release_unused()
+        return pa.table({"model": pa.array([pickle.dumps(fit(texts, classes))], pa.binary())})
 
     found = rows.groupBy(F.lit(0).alias(f"{P}g")).applyInArrow(lambda t: run(t), "model binary").collect()
     return pickle.loads(found[0][0]) if found else Model(np.zeros(0, U), np.zeros((0, DIM), np.float32))
