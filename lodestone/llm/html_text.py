@@ -81,40 +81,39 @@ def covered(codes: np.ndarray, page: np.ndarray, depth: int) -> np.ndarray:
     start = np.flatnonzero(np.concatenate([[True], rank[sa][1:] != rank[sa][:-1]]))
     low, high = np.minimum.reduceat(page[sa], start), np.maximum.reduceat(page[sa], start)
     repeated = np.repeat(low != high, np.diff(np.append(start, len(sa))))
-    delta = np.zeros(n + 1, np.int64)
+    delta = np.zeros(n + 1, np.int32)
     np.add.at(delta, sa[repeated], 1)
     np.add.at(delta, sa[repeated] + depth, -1)
     return np.cumsum(delta[:-1]) > 0
 
 
-def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-    """Codes of all tokens with a separator after each page, and the pages of the codes."""
+def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Codes of all tokens with a separator after each page, the pages of the codes, and the pages' tokens. No page's tokens outlive their coding: as strings they take far more than as codes."""
     ids: dict[str, int] = {}
-    split = [t.split(" ") if t else [] for t in texts]
-    codes, page = [], []
-    for k, tokens in enumerate(split):
-        codes.append(np.fromiter((ids.setdefault(t, len(ids)) for t in tokens), np.int64, len(tokens)))
-        codes.append(np.array([-1 - k]))
-        page.append(np.full(len(tokens) + 1, k))
-    return (np.concatenate(codes), np.concatenate(page), split) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64), [])
+    codes, sizes = [], []
+    for k, text in enumerate(texts):
+        tokens = text.split(" ") if text else []
+        codes.append(np.fromiter((*(ids.setdefault(t, len(ids)) for t in tokens), -1 - k), np.int32, len(tokens) + 1))
+        sizes.append(len(tokens))
+    return (np.concatenate(codes), np.repeat(np.arange(len(sizes), dtype=np.int32), np.array(sizes) + 1), sizes) if codes else (np.zeros(0, np.int32), np.zeros(0, np.int32), [])
 
 
 RESULT = "page_id long, host string, text string, n_tokens long, n_removed long"
 _SCHEMA = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("text", pa.string()), ("n_tokens", pa.int64()), ("n_removed", pa.int64())])
 
 
-def _rows(ids: list, hosts: list, texts: list[str | None], split: list[list[str]], gone: list[np.ndarray]) -> pa.Table:
-    kept = [None if t is None else " ".join(w for w, g in zip(s, x.tolist()) if not g) if x.any() else t for t, s, x in zip(texts, split, gone)]
-    return pa.table([ids, hosts, kept, [None if t is None else len(s) for t, s in zip(texts, split)], [None if t is None else int(x.sum()) for t, x in zip(texts, gone)]], schema=_SCHEMA)
+def _rows(ids: list, hosts: list, texts: list[str | None], sizes: list[int], gone: list[np.ndarray]) -> pa.Table:
+    kept = [None if t is None else " ".join(w for w, g in zip(t.split(" "), x.tolist()) if not g) if x.any() else t for t, x in zip(texts, gone)]
+    return pa.table([ids, hosts, kept, [None if t is None else n for t, n in zip(texts, sizes)], [None if t is None else int(x.sum()) for t, x in zip(texts, gone)]], schema=_SCHEMA)
 
 
 def _host(depth: int):
     def run(t: pa.Table) -> pa.Table:
         texts = t["text"].to_pylist()
-        codes, page, split = _codes(texts)
+        codes, page, sizes = _codes(texts)
         gone = covered(codes, page, depth)
-        at = np.concatenate([[0], np.cumsum([len(s) + 1 for s in split])])
-        return _rows(t["page_id"].to_pylist(), t["host"].to_pylist(), texts, split, [gone[a : b - 1] for a, b in zip(at, at[1:])])
+        at = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64) + 1)])
+        return _rows(t["page_id"].to_pylist(), t["host"].to_pylist(), texts, sizes, [gone[a : b - 1] for a, b in zip(at, at[1:])])
 
     return run
 
@@ -153,14 +152,14 @@ def _wide(pages: DataFrame, depth: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
-            split = [t.split(" ") if t else [] for t in texts]
+            sizes = [t.count(" ") + 1 if t else 0 for t in texts]
             gone = []
-            for s, at in zip(split, b.column("at").to_pylist()):
-                delta = np.zeros(len(s) + 1, np.int64)
+            for n, at in zip(sizes, b.column("at").to_pylist()):
+                delta = np.zeros(n + 1, np.int64)
                 np.add.at(delta, np.array(at or [], np.int64), 1)
                 np.add.at(delta, np.array(at or [], np.int64) + depth, -1)
                 gone.append(np.cumsum(delta[:-1]) > 0)
-            yield from _rows(b.column("page_id").to_pylist(), b.column("host").to_pylist(), texts, split, gone).to_batches()
+            yield from _rows(b.column("page_id").to_pylist(), b.column("host").to_pylist(), texts, sizes, gone).to_batches()
 
     return pages.join(marks, f"{P}row", "left").select("page_id", "host", "text", "at").mapInArrow(cut, RESULT)
 
