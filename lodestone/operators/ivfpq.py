@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidConfig
+from ..functions.distance import score as score_pair
 from ..functions.distance import score_query, scores
 from .kmeans import SAMPLE, kmeans, nearest
-from .search import as_matrix
+from .search import BLOCK, _blocks, as_matrix, ranked
+
+#: Neighbours whose recall is calibrated, and most queries for that.
+RECALL_K, CALIBRATION = 10, 500
 
 
 @dataclass(frozen=True)
@@ -25,12 +29,16 @@ class Config:
     rerank: bool = False
     rebuild_threshold: float = 0.20
     batch_rebuild_size: int = 1000
+    #: Mean recall of the best RECALL_K that build() sees to: n_probe is then where the choice of probes begins, as calibrate() finds them. 0: n_probe as it stands.
+    recall: float = 0.0
 
     def __post_init__(self) -> None:
         if self.n_subvectors <= 0 or self.n_subvectors % 8:
             raise InvalidConfig("n_subvectors must be a positive multiple of 8")
         if self.n_clusters <= 0 or self.n_probe <= 0 or self.batch_rebuild_size <= 0 or self.rebuild_threshold < 0:
             raise InvalidConfig("cells, probes and batch size must be positive, the threshold not negative")
+        if not 0 <= self.recall < 1:
+            raise InvalidConfig("recall must be in [0, 1)")
 
     @property
     def effective_probe(self) -> int:
@@ -88,11 +96,42 @@ def train(x: np.ndarray, config: Config) -> Quantizer:
     return q
 
 
+def calibrate(x: np.ndarray, q: Quantizer, config: Config) -> tuple[int, int]:
+    """Probes and rerank depth (rows a result) with which the mean recall of the best RECALL_K of x reaches config.recall, less two standard errors; each of the first CALIBRATION rows is a query.
+    Cells are tried from effective_probe up to all; only if all don't do is the depth doubled, as far as x goes. Without a rerank codes alone may never reach it: then all cells."""
+    n, cells, k = len(x), len(q.centroids), min(RECALL_K, len(x))
+    cell, codes = q.encode(x)
+    prepared = q.prepared(x)
+    at, ranks = np.zeros((min(n, CALIBRATION), k), np.int64), np.zeros((min(n, CALIBRATION), k, cells), np.int64)
+    for i in range(len(at)):
+        exact = scores(prepared[i : i + 1], prepared, config.metric)[0]
+        true = np.lexsort((np.arange(n), -exact))[:k]
+        order = np.empty(cells, np.int64)
+        order[q.probes(x[i], cells)] = np.arange(cells)
+        turn = order[cell]
+        table = q.table(x[i])
+        code = sum(table[j][codes[:, j]] for j in range(codes.shape[1]))
+        at[i] = turn[true]
+        for j, t in enumerate(true.tolist()):  # rows with a code as good or better, by the probe that reaches them
+            ranks[i, j] = np.cumsum(np.bincount(turn[code >= code[t]], minlength=cells))
+    depth = 4
+    while True:
+        most = depth * k if config.rerank else k
+        for p in range(min(config.effective_probe, cells), cells + 1):
+            hit = ((at < p) & (ranks[:, :, p - 1] <= most)).mean(1)
+            if hit.mean() - 2 * hit.std() / np.sqrt(len(hit)) * (len(hit) < n) >= config.recall:
+                return p, depth
+        if not config.rerank or most >= n:
+            return cells, depth
+        depth *= 2
+
+
 class IvfPq:
-    """codes: id, cid, code, live. Training takes a bounded sample, by the smallest hashes of ids; encoding covers every row."""
+    """codes: id, cid, code, live. Training and calibration take a bounded sample, by the smallest hashes of ids; encoding covers every row."""
 
-    def __init__(self, config: Config, quantizer: Quantizer, codes: DataFrame, docs: DataFrame, id_col: str = "id", vector: str = "embedding"):
+    def __init__(self, config: Config, quantizer: Quantizer, codes: DataFrame, docs: DataFrame, id_col: str = "id", vector: str = "embedding", effort: tuple[int, int] | None = None):
         self.config, self.quantizer, self.codes, self.docs, self.id_col, self.vector = config, quantizer, codes, docs, id_col, vector
+        self.effort = self.n_probe, self.depth = effort or (config.effective_probe, 4)
 
     @classmethod
     def build(cls, docs: DataFrame, config: Config, id_col: str = "id", vector: str = "embedding", sample: int = SAMPLE) -> IvfPq:
@@ -102,13 +141,49 @@ class IvfPq:
         if not len(x):
             raise InvalidConfig("no vectors to train on")
         q = train(x, config)
-        return cls(config, q, encode(rows, q), docs, id_col, vector)
+        return cls(config, q, encode(rows, q), docs, id_col, vector, calibrate(x, q, config) if config.recall else None)
+
+    def search_batch(self, queries: DataFrame, k: int) -> DataFrame:
+        """queries: query_id, embedding. query_id, doc_id, score, rank: for every query what search() gives. Codes and queries travel as blocks, each pair of blocks sends on its best rows a query."""
+        most = self.depth * k if self.config.rerank else k
+        quantizer = self.codes.sparkSession.sparkContext.broadcast(self.quantizer)
+        n_probe, euclidean = self.n_probe, self.config.metric == "euclidean"
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lo in range(0, b.num_rows, BLOCK):
+                    part = b.slice(lo, BLOCK)
+                    ids, cids = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
+                    yield pa.RecordBatch.from_pydict({"dids": pa.array([ids.tobytes()]), "cids": pa.array([cids.tobytes()]), "codes": pa.array([b"".join(part.column(2).to_pylist())])})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q = quantizer.value
+            for b in batches:
+                for row in b.to_pylist():
+                    qi, di, cell = (np.frombuffer(row[c], np.int64) for c in ("qids", "dids", "cids"))
+                    codes = np.frombuffer(row["codes"], np.uint8).reshape(len(di), -1)
+                    for query, v in zip(qi.tolist(), np.frombuffer(row["qvectors"], np.float32).reshape(len(qi), -1)):
+                        at = np.flatnonzero(np.isin(cell, q.probes(v, n_probe)))
+                        s = q.table(v)[np.arange(codes.shape[1])[None], codes[at]].sum(1)
+                        best = np.lexsort((di[at], -s))[:most]
+                        if len(best):
+                            s = s[best]
+                            yield pa.RecordBatch.from_pydict({"query_id": np.full(len(best), query), "doc_id": di[at[best]], "score": -np.sqrt(-np.minimum(s, 0)) if euclidean else s})
+
+        rows = self.codes.where("live").select(F.col("id").cast("long"), "cid", "code").mapInArrow(pack, "dids binary, cids binary, codes binary")
+        found = ranked(_blocks(queries, "query_id", "embedding", "q").crossJoin(rows).mapInArrow(run, "query_id long, doc_id long, score double"), most)
+        if not self.config.rerank:
+            return found
+        docs = self.docs.select(F.col(self.id_col).cast("long").alias("doc_id"), F.col(self.vector).alias("_v"))
+        asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").alias("_q"))
+        pairs = found.select("query_id", "doc_id").join(docs, "doc_id").join(asked, "query_id")
+        return ranked(pairs.select("query_id", "doc_id", score_pair(F.col("_v"), F.col("_q"), self.config.metric).alias("score")), k)
 
     def search(self, query: Sequence[float], k: int) -> DataFrame:
-        """id, score: the best k live rows of the probed cells by their codes or, with rerank, of those the best 4k by exact scores."""
+        """id, score: the best k live rows of the probed cells by their codes or, with rerank, of those the best k of depth * k (depth: 4, or as calibrated) by exact scores."""
         q = np.asarray(query, np.float64)
         table = self.quantizer.table(q)
-        rows = self.codes.where(F.col("cid").isin(self.quantizer.probes(q, self.config.effective_probe)) & F.col("live"))
+        rows = self.codes.where(F.col("cid").isin(self.quantizer.probes(q, self.n_probe)) & F.col("live"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -123,7 +198,7 @@ class IvfPq:
         found = rows.select("id", "code").mapInArrow(run, f"id {kind}, score double").orderBy(F.desc("score"), "id")
         if not self.config.rerank:
             return found.limit(max(0, k))
-        top = found.limit(4 * k).select(F.col("id").alias("_found"))
+        top = found.limit(self.depth * k).select(F.col("id").alias("_found"))
         exact = self.docs.join(F.broadcast(top), F.col(self.id_col) == F.col("_found")).select(F.col(self.id_col).alias("id"), score_query(F.col(self.vector), query, self.config.metric).alias("score"))
         return exact.orderBy(F.desc("score"), "id").limit(max(0, k))
 
@@ -137,14 +212,14 @@ class IvfPq:
         """ids: id. Marks rows as dead; compacts once dead rows reach the threshold."""
         gone = ids.select(F.col("id").alias("_gone")).distinct()
         codes = self.codes.join(gone, F.col("id") == F.col("_gone"), "left").withColumn("live", F.col("live") & F.col("_gone").isNull()).drop("_gone")
-        out = IvfPq(self.config, self.quantizer, codes, self.docs.join(gone, F.col(self.id_col) == F.col("_gone"), "left_anti"), self.id_col, self.vector)
+        out = IvfPq(self.config, self.quantizer, codes, self.docs.join(gone, F.col(self.id_col) == F.col("_gone"), "left_anti"), self.id_col, self.vector, self.effort)
         return out.compact() if out.dead_ratio() >= self.config.rebuild_threshold else out
 
     def dead_ratio(self) -> float:
         return self.codes.agg(F.avg((~F.col("live")).cast("int"))).first()[0] or 0.0
 
     def compact(self) -> IvfPq:
-        return IvfPq(self.config, self.quantizer, self.codes.where("live"), self.docs, self.id_col, self.vector)
+        return IvfPq(self.config, self.quantizer, self.codes.where("live"), self.docs, self.id_col, self.vector, self.effort)
 
     def insert(self, docs: DataFrame, stale: int = 0) -> IvfPq:
         """Small batches are encoded with the present codebooks; a batch of batch_rebuild_size rows, or too many rows encoded so (stale counts earlier ones), trains anew."""
@@ -153,23 +228,24 @@ class IvfPq:
         if n >= self.config.batch_rebuild_size or (stale + n) / max(1, everything.count()) >= self.config.rebuild_threshold:
             return IvfPq.build(everything, self.config, self.id_col, self.vector)
         more = encode(docs.where(F.size(self.vector) > 0).select(F.col(self.id_col).alias("id"), F.col(self.vector).alias("v")), self.quantizer)
-        return IvfPq(self.config, self.quantizer, self.codes.unionByName(more), everything, self.id_col, self.vector)
+        return IvfPq(self.config, self.quantizer, self.codes.unionByName(more), everything, self.id_col, self.vector, self.effort)
 
     def save(self, path: str) -> None:
         """Codes by cell, so that a search reads the probed cells' files alone; the small tables beside them."""
         spark = self.codes.sparkSession
         self.codes.write.mode("overwrite").partitionBy("cid").parquet(f"{path}/codes")
         q = self.quantizer
-        row = [(self.config.metric, self.config.n_clusters, self.config.n_subvectors, self.config.n_probe, self.config.rerank, q.centroids.astype("<f8").tobytes(), q.codebooks.astype("<f8").tobytes(), list(q.centroids.shape), list(q.codebooks.shape))]
-        spark.createDataFrame(row, "metric string, n_clusters int, n_subvectors int, n_probe int, rerank boolean, centroids binary, codebooks binary, cs array<int>, bs array<int>").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+        row = [(self.config.metric, self.config.n_clusters, self.config.n_subvectors, self.config.n_probe, self.config.rerank, q.centroids.astype("<f8").tobytes(), q.codebooks.astype("<f8").tobytes(), list(q.centroids.shape), list(q.codebooks.shape), self.config.recall, list(self.effort))]
+        spark.createDataFrame(row, "metric string, n_clusters int, n_subvectors int, n_probe int, rerank boolean, centroids binary, codebooks binary, cs array<int>, bs array<int>, recall double, effort array<int>").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
 
     @classmethod
     def load(cls, path: str, docs: DataFrame, id_col: str = "id", vector: str = "embedding", **changes) -> IvfPq:
         spark = docs.sparkSession
         r = spark.read.parquet(f"{path}/model").first()
-        config = replace(Config(r["n_clusters"], r["n_subvectors"], r["n_probe"], r["metric"], r["rerank"]), **changes)
+        r = r.asDict()  # models of before have neither recall nor effort
+        config = replace(Config(r["n_clusters"], r["n_subvectors"], r["n_probe"], r["metric"], r["rerank"], recall=r.get("recall") or 0.0), **changes)
         q = Quantizer(np.frombuffer(r["centroids"], "<f8").reshape(r["cs"]), np.frombuffer(r["codebooks"], "<f8").reshape(r["bs"]), r["metric"])
-        return cls(config, q, spark.read.parquet(f"{path}/codes").select("id", "code", "live", F.col("cid").cast("int").alias("cid")), docs, id_col, vector)
+        return cls(config, q, spark.read.parquet(f"{path}/codes").select("id", "code", "live", F.col("cid").cast("int").alias("cid")), docs, id_col, vector, tuple(r["effort"]) if config.recall and r.get("effort") else None)
 
 
 def encode(rows: DataFrame, q: Quantizer) -> DataFrame:

@@ -181,11 +181,14 @@ def ivf_probe_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(search.exact_topk(_assigned(e).join(F.broadcast(probed), "cid", "left_semi"), q, 10, id_col="vec_id"))
 
 
+def _ivfpq(e: DataFrame) -> ivfpq.IvfPq:
+    return ivfpq.IvfPq.build(e, ivfpq.Config(n_clusters=32, n_subvectors=16, n_probe=16, rerank=True, recall=0.9), "vec_id")
+
+
 @_query()
 def ivfpq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _vectors(spark, sf_dir)
-    index = ivfpq.IvfPq.build(e, ivfpq.Config(n_clusters=32, n_subvectors=16, n_probe=16, rerank=True), "vec_id")
-    return index.search(_first(e), 10).select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+    return _ivfpq(e).search(_first(e), 10).select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 @_query()
