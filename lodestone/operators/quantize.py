@@ -9,7 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import score_i8, score_query
+from ..functions.distance import score, score_i8, score_query
+from .search import batch_knn, ranked
 
 
 @dataclass(frozen=True)
@@ -57,3 +58,19 @@ def sq_rescored(docs: DataFrame, query: Sequence[float], k: int, sq: Scalar, met
     """The best 2k by codes, of them the best k by exact scores."""
     top = sq_topk(docs, query, 2 * k, sq, metric, id_col, vector)
     return top.withColumn("score", score_query(F.col(vector), query, metric)).orderBy(F.desc("score"), id_col).limit(max(0, k))
+
+
+def sq_batch(queries: DataFrame, docs: DataFrame, k: int, sq: Scalar, id_col: str = "id", vector: str = "embedding") -> DataFrame:
+    """queries: query_id, embedding. query_id, doc_id, score, rank: for every query the best k by the dot products of codes, which are exact in double precision."""
+    codes = lambda v: sq.encode(F.col(v)).cast("array<float>")
+    asked = queries.where(F.size("embedding") == len(sq.scales)).select("query_id", codes("embedding").alias("embedding"))
+    rows = docs.where(F.size(vector) == len(sq.scales)).select(F.col(id_col).alias("id"), codes(vector).alias("embedding"))
+    return batch_knn(asked, rows, k, "dot")
+
+
+def sq_rescored_batch(queries: DataFrame, docs: DataFrame, k: int, sq: Scalar, metric: str = "cosine", id_col: str = "id", vector: str = "embedding") -> DataFrame:
+    """For every query the best 2k by codes, of them the best k by exact scores."""
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").alias("_q"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(vector).alias("_v"))
+    pairs = sq_batch(queries, docs, 2 * k, sq, id_col, vector).select("query_id", "doc_id").join(rows, "doc_id").join(asked, "query_id")
+    return ranked(pairs.select("query_id", "doc_id", score(F.col("_v"), F.col("_q"), metric).alias("score")), k)

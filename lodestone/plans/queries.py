@@ -198,6 +198,73 @@ def hnsw_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search(_first(e), 10).select(F.col("doc_id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
+def _as_queries(e: DataFrame) -> DataFrame:
+    """Every row is a query, and is found by itself too."""
+    return e.select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _exact_batch(e: DataFrame) -> DataFrame:
+    return search.batch_knn(_as_queries(e), e, 10, id_col="vec_id")
+
+
+def _pairs_out(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _recalls(found: DataFrame, e: DataFrame) -> DataFrame:
+    return search.recall(found, _exact_batch(e), 10)
+
+
+_PAIRS = f"{_SQ}, {_CODE}, cl AS (SELECT vec_id, CAST(list(c ORDER BY dim) AS DOUBLE[]) AS c FROM c GROUP BY vec_id), s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_inner_product(a.c, b.c) AS s FROM cl a, cl b)"
+_BEST = "row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id)"
+_COS_PAIR = "CASE WHEN list_inner_product(a.v, a.v) = 0 OR list_inner_product(b.v, b.v) = 0 THEN 0 ELSE list_cosine_similarity(b.v, a.v) END"
+_RESCORED_PAIRS = f"{_PAIRS}, {_E}, t AS (SELECT query_id, doc_id FROM s QUALIFY {_BEST} <= 20), r0 AS (SELECT query_id, doc_id, {_COS_PAIR} AS s FROM t JOIN e a ON a.vec_id = query_id JOIN e b ON b.vec_id = doc_id), r AS (SELECT *, CAST({_BEST} AS INT) AS rank FROM r0 QUALIFY rank <= 10)"
+
+
+@_query(f"WITH {_PAIRS} SELECT query_id, doc_id, s AS score, CAST({_BEST} AS INT) AS rank FROM s QUALIFY rank <= 10")
+def sq_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _vectors(spark, sf_dir)
+    return quantize.sq_batch(_as_queries(e), e, 10, quantize.fit(e), id_col="vec_id").select("query_id", "doc_id", "score", "rank")
+
+
+@_query(f"WITH {_RESCORED_PAIRS} SELECT query_id, doc_id, round(s, 6) AS score, rank FROM r")
+def sq_rescore_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _vectors(spark, sf_dir)
+    return _pairs_out(quantize.sq_rescored_batch(_as_queries(e), e, 10, quantize.fit(e), id_col="vec_id"))
+
+
+@_query(
+    f"WITH {_RESCORED_PAIRS}, x1 AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {_COS_PAIR} AS s FROM e a, e b), x2 AS (SELECT query_id, doc_id FROM x1 QUALIFY {_BEST} <= 10) SELECT query_id, count(r.doc_id) / 10.0::DOUBLE AS recall FROM x2 LEFT JOIN r USING (query_id, doc_id) GROUP BY query_id"
+)
+def recall_at_10_sq_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _vectors(spark, sf_dir)
+    return _recalls(quantize.sq_rescored_batch(_as_queries(e), e, 10, quantize.fit(e), id_col="vec_id"), e)
+
+
+@_query()
+def ivfpq_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _vectors(spark, sf_dir)
+    return _pairs_out(_ivfpq(e).search_batch(_as_queries(e), 10))
+
+
+@_query()
+def recall_at_10_ivfpq_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _vectors(spark, sf_dir)
+    return _recalls(_ivfpq(e).search_batch(_as_queries(e), 10), e)
+
+
+@_query()
+def hnsw_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _vectors(spark, sf_dir)
+    return _pairs_out(hnsw.Hnsw.build(e, hnsw.Config(), "vec_id").search_batch(_as_queries(e), 10))
+
+
+@_query()
+def recall_at_10_hnsw_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _vectors(spark, sf_dir)
+    return _recalls(hnsw.Hnsw.build(e, hnsw.Config(), "vec_id").search_batch(_as_queries(e), 10), e)
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents")
 

@@ -30,3 +30,18 @@ def test_registered_ivfpq_reaches_its_recall_with_every_row_as_a_query(spark, ta
     assert r[0] >= 0.9 and r[1] == 600
     one = index.search(e.where("vec_id = 7").first()["embedding"], 10).collect()
     assert [x["id"] for x in one] == [x["doc_id"] for x in found.where("query_id = 7").orderBy("rank").collect()]
+
+
+@pytest.mark.parametrize("name", ["sq", "ivfpq", "hnsw"])
+def test_every_row_is_a_query_and_has_its_recall(spark, tables, name):
+    e = spark.read.parquet(f"{tables}/embeddings.parquet")
+    found = queries.QUERIES["sq_rescore_batch" if name == "sq" else f"{name}_batch"](spark, tables)
+    n = found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("last"))
+    assert n.where("n = 10 and last = 10").count() == 600
+    got = {r[0]: r[1] for r in queries.QUERIES[f"recall_at_10_{name}_batch"](spark, tables).collect()}
+    assert len(got) == 600 and np.mean(list(got.values())) >= 0.9
+    if name == "sq":
+        v = e.where("vec_id = 7").first()["embedding"]
+        want = queries.quantize.sq_topk(e, v, 10, queries.quantize.fit(e), id_col="vec_id").collect()
+        found = queries.QUERIES["sq_topk_batch"](spark, tables).where("query_id = 7").orderBy("rank").collect()
+        assert [(r["doc_id"], r["score"]) for r in found] == [(r["vec_id"], r["score"]) for r in want]
