@@ -13,13 +13,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import P, arrow_map, table
+from .common import P, arrow_map, materialise, table
 from .html_text import host_of
 
 BAD = frozenset("casino pills viagra poker bets porn xxx adult spam ads scam warez crack escort gambling payday loans replica".split())
@@ -30,8 +29,6 @@ money movie music my net network news now office one online page park party pay
 secure sell seo server sex shop shopping site slot slots smart social soft software solutions spam sport sports spy star stock store stream studio success support system tech the tickets tool tools top track tracker trade
 travel trust tube tv ultimate university vegas viagra video vip warez watch weather web weight win winner women work world xxx your zone""".split()  # noqa: SIM905
 LEXICON_COUNT = 200
-#: Most words of the unigram model and of a class's counts; a bound of the model, which is broadcast. The rarest are left out.
-VOCABULARY = 200_000
 THRESHOLD = 0.0
 LONGEST = 24
 
@@ -40,8 +37,10 @@ _GENERIC = frozenset("www com org net example co m".split())
 
 
 class Segmenter:
-    def __init__(self, counts: dict[str, int]):
-        self.total = float(sum(counts.values()) or 1)
+    """counts: of all words that a name can hold; total: of all words, where counts are only a name's."""
+
+    def __init__(self, counts: dict[str, int], total: float | None = None):
+        self.total = float(total or sum(counts.values()) or 1)
         self.logs = {w: math.log(c / self.total) for w, c in counts.items() if c > 0}
         self.longest = min(LONGEST, max(map(len, self.logs), default=1))
         self.cache: dict[str, tuple[str, ...]] = {}
@@ -77,8 +76,8 @@ class Segmenter:
         return result
 
 
-def host_words(host: str, segmenter: Segmenter) -> list[str]:
-    return [w for run in _WORD.findall(host.lower()) if run not in _GENERIC for w in segmenter.split(run)]
+def host_runs(host: str) -> list[str]:
+    return [run for run in _WORD.findall(host.lower()) if run not in _GENERIC]
 
 
 def path_words(url: str) -> list[str]:
@@ -86,76 +85,93 @@ def path_words(url: str) -> list[str]:
     return ["/" + w for w in _WORD.findall(m[1].lower())] if m else []
 
 
-class NaiveBayes:
-    """Word counts by class, add-one smoothing over the words seen and one more."""
-
-    def __init__(self, counts: dict[str, tuple[int, int]], pages: tuple[int, int]):
-        good, bad = sum(g for g, _ in counts.values()), sum(b for _, b in counts.values())
-        v = len(counts) + 1
-        self.prior = math.log((pages[1] + 1) / (pages[0] + 1))
-        self.unseen = math.log((good + v) / (bad + v))
-        self.odds = {w: math.log((b + 1) / (bad + v)) - math.log((g + 1) / (good + v)) for w, (g, b) in counts.items()}
-
-    def score(self, words: list[str]) -> float:
-        return self.prior + sum(self.odds.get(w, self.unseen) for w in words)
-
-
-def unigrams(pages: DataFrame) -> dict[str, int]:
-    """Counts over all pages; the lexicon's words are added."""
+def unigrams(pages: DataFrame) -> DataFrame:
+    """w, n: counts of every word over all pages; the lexicon's words are added."""
     title = F.regexp_extract(F.col("html"), r"(?is)<title[^>]*>(.*?)</title", 1)
     path = F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$", 1)
     # pieces of host names count only as parts between signs: a concatenation must not outweigh its words
     hyphened = F.when(host_of(F.col("url")).contains("-"), F.array_join(F.filter(F.split(host_of(F.col("url")), r"\."), lambda x: x.contains("-")), " ")).otherwise("")
     words = F.split(F.lower(F.concat_ws(" ", title, path, hyphened)), "[^a-z]+")
-    counted = pages.select(F.explode(words).alias("w")).where(F.length("w").between(2, LONGEST)).groupBy("w").count()
-    out = {r[0]: r[1] for r in counted.orderBy(F.desc("count"), "w").limit(VOCABULARY).collect()}
-    for w in LEXICON:
-        out[w] = out.get(w, 0) + LEXICON_COUNT
-    return out
+    counted = pages.select(F.explode(words).alias("w")).where(F.length("w").between(2, LONGEST)).groupBy("w").agg(F.count("*").alias("n"))
+    lexicon = pages.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, LEXICON))).alias("w"), F.lit(LEXICON_COUNT).cast("long").alias("n"))
+    return counted.unionByName(lexicon).groupBy("w").agg(F.sum("n").alias("n"))
+
 
+def _strings(rows: list[list[str]]) -> pa.Array:
+    return pa.array(rows, pa.list_(pa.string()))
 
-def _words_udf(spark: SparkSession, counts: dict[str, int]) -> Callable[[Column], Column]:
-    shared = spark.sparkContext.broadcast(counts)
+
+def _parts(url: Column) -> Column:
+    """The host's runs of letters and the words of the path."""
 
     def start():  # noqa: ANN202
-        s = Segmenter(shared.value)
         hosts = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
         def run(urls: pa.Array) -> pa.Array:
             out = []
             for u in urls.to_pylist():
                 m = hosts.match(u or "")
-                out.append({"host": host_words(m[1], s) if m else [], "path": path_words(u or "")})
-            return pa.array(out, pa.struct([("host", pa.list_(pa.string())), ("path", pa.list_(pa.string()))]))
+                out.append({"runs": host_runs(m[1]) if m else [], "path": path_words(u or "")})
+            return pa.array(out, pa.struct([("runs", pa.list_(pa.string())), ("path", pa.list_(pa.string()))]))
 
         return run
 
-    return lambda url: arrow_map(start, "struct<host:array<string>,path:array<string>>", url)
+    return arrow_map(start, "struct<runs:array<string>,path:array<string>>", url)
 
 
-def train(pages: DataFrame, counts: dict[str, int], bad: frozenset[str] = BAD) -> NaiveBayes:
-    words = pages.select(_words_udf(pages.sparkSession, counts)(F.col("url")).alias("w"))
-    labelled = words.select(F.concat("w.host", "w.path").alias("w"), F.arrays_overlap("w.host", F.array(*map(F.lit, sorted(bad)))).cast("int").alias("bad"))
-    # one pass: the words, and a mark for each page
-    each = labelled.select("bad", F.explode(F.concat(F.array(F.lit("")), "w")).alias("w")).groupBy("w").agg(F.sum(1 - F.col("bad")).alias("good"), F.sum("bad").alias("bad"))
-    rows = each.orderBy(F.desc(F.expr("w = ''")), F.desc(F.expr("good + bad")), "w").limit(VOCABULARY + 1).collect()
-    pages_ = next(((r["good"], r["bad"]) for r in rows if r["w"] == ""), (0, 0))
-    return NaiveBayes({r["w"]: (r["good"], r["bad"]) for r in rows if r["w"]}, pages_)
+def _substrings(run: Column) -> Column:
+    """What may be a word in it, each once."""
 
+    def start():  # noqa: ANN202
+        return lambda runs: _strings([sorted({r[i:j] for i in range(len(r)) for j in range(i + 2, min(i + LONGEST, len(r)) + 1)}) for r in runs.to_pylist()])
 
-def scored(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """pages: page_id, url, html. page_id, url, words of the host, score, blocked."""
-    spark = pages.sparkSession
-    counts = unigrams(pages)
-    model = spark.sparkContext.broadcast(train(pages, counts))
+    return arrow_map(start, "array<string>", run)
 
-    def start():  # noqa: ANN202
-        nb = model.value
-        return lambda hosts, paths: pa.array([nb.score((h or []) + (p or [])) for h, p in zip(hosts.to_pylist(), paths.to_pylist())], pa.float64())
 
-    w = pages.select("page_id", "url", _words_udf(spark, counts)(F.col("url")).alias(f"{P}w"))
-    w = w.select("page_id", "url", F.array_join(f"{P}w.host", " ").alias("host_words"), arrow_map(start, "double", F.col(f"{P}w.host"), F.col(f"{P}w.path")).alias("score"))
-    return w.withColumn("blocked", F.col("score") > threshold)
+def segmented(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """runs: run, distinct. run, words: the likeliest. Each run meets the counts of its own substrings alone, so counts may be of any size."""
+    total = counts.agg(F.sum("n")).first()[0]
+
+    def start():  # noqa: ANN202
+        return lambda names, known: _strings([list(Segmenter({x["w"]: x["n"] for x in k or []}, total).split(r)) for r, k in zip(names.to_pylist(), known.to_pylist())])
+
+    found = runs.select("run", F.explode(_substrings(F.col("run"))).alias("w")).join(counts, "w").groupBy("run").agg(F.collect_list(F.struct("w", "n")).alias("known"))
+    return runs.join(found, "run", "left").select("run", arrow_map(start, "array<string>", F.col("run"), F.col("known")).alias("words"))
+
+
+def split_hosts(parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """parts: runs. runs, host: the words of each distinct list of runs."""
+    hosts = parts.select("runs").where(F.size("runs") > 0).distinct()
+    each = hosts.select("runs", F.posexplode("runs").alias("at", "run"))
+    words = each.join(segmented(each.select("run").distinct(), counts), "run").groupBy("runs").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("x"))
+    return words.select("runs", F.flatten(F.transform("x", lambda x: x["words"])).alias("host"))
+
+
+def train(labelled: DataFrame) -> tuple[DataFrame, float]:
+    """labelled: words, bad. Naive Bayes: w and its odds, for every word, and the prior's odds. Add-one smoothing over the words seen and one more; totals are of all of them."""
+    each = labelled.select("bad", F.explode("words").alias("w")).groupBy("w").agg(F.sum(1 - F.col("bad")).alias("good"), F.sum("bad").alias("bad"))
+    each = materialise(each, "word-classes")
+    good, bad, v = (x or 0 for x in each.agg(F.sum("good"), F.sum("bad"), F.count("*")).first())
+    pages = [x or 0 for x in labelled.agg(F.sum(1 - F.col("bad")), F.sum("bad")).first()]
+    odds = F.log((F.col("bad") + 1) / F.lit(float(bad + v + 1))) - F.log((F.col("good") + 1) / F.lit(float(good + v + 1)))
+    return each.select("w", odds.alias("odds")), math.log((pages[1] + 1) / (pages[0] + 1))
+
+
+def scored(pages: DataFrame, threshold: float = THRESHOLD, bad: frozenset[str] = BAD) -> DataFrame:
+    """pages: page_id, url, html. page_id, url, words of the host, score, blocked. Counts are tables that are joined to, whatever their size; nothing is broadcast."""
+    counts = materialise(unigrams(pages), "unigrams")
+    parts = pages.select("page_id", "url", _parts(F.col("url")).alias("p")).select("page_id", "url", "p.*", F.monotonically_increasing_id().alias(f"{P}row"))
+    parts = materialise(parts, "url-parts")
+    rows = parts.join(split_hosts(parts, counts), "runs", "left").withColumn("host", F.coalesce("host", F.array().cast("array<string>")))
+    rows = rows.select(f"{P}row", "page_id", "url", "host", F.concat("host", "path").alias("words"), F.arrays_overlap("host", F.array(*map(F.lit, sorted(bad)))).cast("int").alias("bad"))
+    rows = materialise(rows, "url-words")
+    odds, prior = train(rows)
+    # summed in the words' order, so that a score is the same in every run
+    sums = rows.select(f"{P}row", F.posexplode("words").alias("at", "w")).join(odds, "w").groupBy(f"{P}row").agg(F.sort_array(F.collect_list(F.struct("at", "odds"))).alias("x"))
+    sums = sums.select(f"{P}row", F.aggregate("x", F.lit(0.0), lambda s, x: s + x["odds"]).alias("s"))
+    score = (F.lit(prior) + F.coalesce("s", F.lit(0.0))).alias("score")
+    out = rows.join(sums, f"{P}row", "left").select("page_id", "url", F.array_join("host", " ").alias("host_words"), score)
+    return out.withColumn("blocked", F.col("score") > threshold)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
