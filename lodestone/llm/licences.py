@@ -1,8 +1,9 @@
 """Licence scans by a positional rare-token index.
 
-Templates are indexed by word: template and position. Words in few templates (high IDF) are anchors. A file's anchor words are looked up; each posting proposes the
+Templates are indexed by word: template and position. Of the words of a template's mandatory key phrases those in few templates (high IDF) are anchors; what carries a phrase ("released
+under", "this work is") is none, as others may carry it, or nothing in a heading. A file's anchor words are looked up; each posting proposes the
 place at which the template would begin (file position less template position); proposals that agree within DRIFT words are added up by IDF. A template whose anchors agree on one
-place for MINIMUM of their IDF is a candidate, and counts if its mandatory key phrases all stand, word by word, at that place.
+place for MINIMUM of its heaviest phrase's IDF is a candidate, and counts if its mandatory key phrases all stand, word by word, at that place.
 
 Defined results: null and empty texts hold no licence; of each licence the best place counts, of equal ones the first; a null doc_id is carried through; repeated rows each give
 theirs.
@@ -43,10 +44,24 @@ TEMPLATES: list[tuple[str, str, tuple[str, ...]]] = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0", ("cc by sa 4 0",)),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0", ("cc by nc 4 0",)),
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0", ("cc by nc sa 4 0",)),
+    ("MPL-2.0", "Mozilla Public License Version 2.0", ("mozilla public license version 2 0",)),
+    ("GPL-3.0", "GNU General Public License v3", ("gnu general public license v3",)),
+    ("GPL-2.0", "GNU General Public License v2", ("gnu general public license v2",)),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0", ("spdx license identifier apache 2 0",)),
+    ("MIT", "SPDX-License-Identifier: MIT", ("spdx license identifier mit",)),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0", ("spdx license identifier gpl 3 0",)),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0", ("spdx license identifier gpl 2 0",)),
+    ("LGPL", "SPDX-License-Identifier: LGPL", ("spdx license identifier lgpl",)),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0", ("spdx license identifier agpl 3 0",)),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause", ("spdx license identifier bsd 3 clause",)),
+    ("BSD", "SPDX-License-Identifier: BSD-2-Clause", ("spdx license identifier bsd 2 clause",)),
+    ("ISC", "SPDX-License-Identifier: ISC", ("spdx license identifier isc",)),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0", ("spdx license identifier mpl 2 0",)),
+    ("Unlicense", "SPDX-License-Identifier: Unlicense", ("spdx license identifier unlicense",)),
 ]
 DRIFT = 6
 MINIMUM = 0.6
-#: A template's words of at least this share of its highest IDF are its anchors.
+#: Words of a template's phrases of at least this share of their highest IDF are its anchors.
 ANCHOR = 0.5
 
 
@@ -62,36 +77,42 @@ class LicenceIndex:
     position: np.ndarray
     idf: np.ndarray  # by posting
     total: np.ndarray  # by template
+    least: np.ndarray  # by template: IDF at which it is a candidate
     length: np.ndarray
     phrases: list[list[np.ndarray]]
     names: list[str]
 
 
+def _places(h: np.ndarray, phrase: np.ndarray) -> list[int]:
+    if len(h) < len(phrase):
+        return []
+    at = np.flatnonzero(h[: len(h) - len(phrase) + 1] == phrase[0])
+    return [p for p in at.tolist() if (h[p : p + len(phrase)] == phrase).all()]
+
+
 def build(templates: list[tuple[str, str, tuple[str, ...]]] = TEMPLATES) -> LicenceIndex:
     hs = [_hash(t) for _, t, _ in templates]
     df = Counter(x for h in hs for x in set(h.tolist()))
     posts: dict[int, list[tuple[int, int, float]]] = defaultdict(list)
-    total = np.zeros(len(hs))
+    total, least = np.zeros(len(hs)), np.zeros(len(hs))
+    phrases = [[_hash(p) for p in ph] for *_, ph in templates]
     for k, h in enumerate(hs):
         idf = np.array([np.log(1 + len(hs) / df[x]) for x in h.tolist()])
-        for p in np.flatnonzero(idf >= ANCHOR * idf.max()).tolist():
+        own = [np.arange(_places(h, ph)[0], _places(h, ph)[0] + len(ph)) for ph in phrases[k]]
+        among = np.unique(np.concatenate(own))
+        anchors = among[idf[among] >= ANCHOR * idf[among].max()]
+        for p in anchors.tolist():
             posts[int(h[p])].append((k, p, idf[p]))
             total[k] += idf[p]
+        least[k] = MINIMUM * max(idf[np.intersect1d(anchors, o)].sum() for o in own) - 1e-9
     flat = [x for v in posts.values() for x in v]
     ptr = np.concatenate([[0], np.cumsum([len(v) for v in posts.values()])])
     return LicenceIndex(
-        np.array(list(posts), U), ptr, np.array([x[0] for x in flat]), np.array([x[1] for x in flat]), np.array([x[2] for x in flat]), total,
-        np.array([len(h) for h in hs]), [[_hash(p) for p in ph] for *_, ph in templates], [n for n, *_ in templates],
+        np.array(list(posts), U), ptr, np.array([x[0] for x in flat]), np.array([x[1] for x in flat]), np.array([x[2] for x in flat]), total, least,
+        np.array([len(h) for h in hs]), phrases, [n for n, *_ in templates],
     )
 
 
-def _holds(h: np.ndarray, phrase: np.ndarray) -> bool:
-    if len(h) < len(phrase):
-        return False
-    at = np.flatnonzero(h[: len(h) - len(phrase) + 1] == phrase[0])
-    return any((h[p : p + len(phrase)] == phrase).all() for p in at.tolist())
-
-
 class Scanner:
     def __init__(self, index: LicenceIndex):
         self.x = index
@@ -116,7 +137,7 @@ class Scanner:
             cut = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (t[1:] != t[:-1]), [True]]))
             mass = np.add.reduceat(w, cut[:-1])
             best: dict[tuple[int, str], tuple[float, int]] = {}
-            for a, b in [(cut[c], cut[c + 1]) for c in np.flatnonzero(mass >= MINIMUM * x.total[t[cut[:-1]]] - 1e-9).tolist()]:
+            for a, b in [(cut[c], cut[c + 1]) for c in np.flatnonzero(mass >= x.least[t[cut[:-1]]]).tolist()]:
                 template, own = int(t[a]), h[ptr[r[a]] : ptr[r[a] + 1]]
                 found = self._best(place[a:b], p[a:b], w[a:b], template, own)
                 if found:
@@ -128,7 +149,7 @@ class Scanner:
 
     def _best(self, place: np.ndarray, p: np.ndarray, w: np.ndarray, template: int, h: np.ndarray) -> tuple[float, int] | None:
         """The best place at which the template's phrases stand. A template's word counts once for a place."""
-        x, need = self.x, MINIMUM * self.x.total[template] - 1e-9
+        x, need = self.x, self.x.least[template]
         best: tuple[float, int] | None = None
         j = np.searchsorted(place, place + DRIFT, "right")
         first = np.concatenate([[True], place[1:] != place[:-1]])
@@ -140,7 +161,7 @@ class Scanner:
             if score < need or best and score <= best[0] * x.total[template]:
                 continue
             window = h[max(0, int(place[a])) : int(place[b - 1]) + int(x.length[template]) + DRIFT]
-            if all(_holds(window, ph) for ph in x.phrases[template]):
+            if all(_places(window, ph) for ph in x.phrases[template]):
                 best = (score / float(x.total[template]), max(0, int(place[a])))
         return best
 
