@@ -5,16 +5,20 @@ concatenated, with a separator of its own after each page, and put into a suffix
 which suffixes agree in their first REPEAT tokens. A run of agreeing suffixes from two distinct pages or more is a long repeated substring; tokens that such substrings cover are boilerplate; the
 unique runs between them stay.
 
+What only few pages of a host share may as well be an article under several URLs, or a phrase: with a share, runs on fewer than max(3, share of the host's pages) pages stay on the first of
+them, in the table's order, so that no text is lost to the host. op4_page_texts has SHARE.
+
 Hosts of more than HOST_TOKENS tokens need no single task: there windows of REPEAT tokens are grouped by hash across the cluster, and those of two distinct pages or more cover the same
 tokens as the suffix array would.
 
 Defined results: a null html gives a null text, one without tokens an empty text; the host is the URL's, lower case, or empty if there is none (pages without a URL share that host);
-repeats within one page alone are kept; rows that repeat a page_id are pages of their own, so equal pages remove each other's tokens; a null page_id is carried through.
+repeats within one page alone are kept; rows that repeat a page_id are pages of their own, so equal pages remove each other's tokens (with a share, where they are few, all but the first's); a null page_id is carried through.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,6 +32,7 @@ from .textops import U, mix
 
 REPEAT = 6
 HOST_TOKENS = 1 << 24
+SHARE = 0.02
 
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<[!/?]?[A-Za-z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>?|</?>")
@@ -65,8 +70,14 @@ def suffix_ranks(codes: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def covered(codes: np.ndarray, page: np.ndarray, depth: int) -> np.ndarray:
-    """Tokens inside a substring of `depth` tokens or more that occurs in two distinct pages. codes: negative ones separate pages, each a different one."""
+def support(pages: int, share: float) -> int:
+    """Pages from which on a repeated run is removed from all of them."""
+    return max(3, math.ceil(share * pages)) if share else 2
+
+
+def covered(codes: np.ndarray, page: np.ndarray, depth: int, least: int = 2) -> np.ndarray:
+    """Tokens inside a substring of `depth` tokens or more that occurs in two distinct pages; where it occurs in fewer than `least`, the first page's are left out.
+    codes: negative ones separate pages, each a different one. page: ascending."""
     n = len(codes)
     if n < depth:
         return np.zeros(n, bool)
@@ -76,11 +87,22 @@ def covered(codes: np.ndarray, page: np.ndarray, depth: int) -> np.ndarray:
     whole[: n - depth + 1] = bar[depth:] == bar[: n - depth + 1]
     sa = np.argsort(rank, kind="stable")
     sa = sa[whole[sa]]
+    del bar, whole
     if not len(sa):
         return np.zeros(n, bool)
-    start = np.flatnonzero(np.concatenate([[True], rank[sa][1:] != rank[sa][:-1]]))
-    low, high = np.minimum.reduceat(page[sa], start), np.maximum.reduceat(page[sa], start)
-    repeated = np.repeat(low != high, np.diff(np.append(start, len(sa))))
+    rank = rank[sa]
+    start = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
+    del rank
+    size = np.diff(np.append(start, len(sa)))
+    own = page[sa]
+    new = np.ones(len(sa), np.int32)  # the order is by place within a group, so its pages ascend
+    new[1:] = own[1:] != own[:-1]
+    new[start] = 1
+    pages = np.add.reduceat(new, start)
+    del new
+    repeated = np.repeat(pages > 1, size)
+    if least > 2:
+        repeated &= np.repeat(pages >= least, size) | (own != np.repeat(own[start], size))
     delta = np.zeros(n + 1, np.int32)
     np.add.at(delta, sa[repeated], 1)
     np.add.at(delta, sa[repeated] + depth, -1)
@@ -107,13 +129,15 @@ def _rows(ids: list, hosts: list, texts: list[str | None], sizes: list[int], gon
     return pa.table([ids, hosts, kept, [None if t is None else n for t, n in zip(texts, sizes)], [None if t is None else int(x.sum()) for t, x in zip(texts, gone)]], schema=_SCHEMA)
 
 
-def _host(depth: int):
+def _host(depth: int, share: float):
     def run(t: pa.Table) -> pa.Table:
-        texts = t["text"].to_pylist()
+        order = np.argsort(t[f"{P}row"].to_numpy()).tolist()  # of lists, so that no second copy of the texts is made
+        ids, hosts, texts = ([x[i] for i in order] for x in (t[c].to_pylist() for c in ("page_id", "host", "text")))
+        del t
         codes, page, sizes = _codes(texts)
-        gone = covered(codes, page, depth)
+        gone = covered(codes, page, depth, support(len(texts), share))
         at = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64) + 1)])
-        return _rows(t["page_id"].to_pylist(), t["host"].to_pylist(), texts, sizes, [gone[a : b - 1] for a, b in zip(at, at[1:])])
+        return _rows(ids, hosts, texts, sizes, [gone[a : b - 1] for a, b in zip(at, at[1:])])
 
     return run
 
@@ -135,19 +159,21 @@ def _windows(text: str, depth: int) -> np.ndarray:
     return w.view(np.int64)
 
 
-def _wide(pages: DataFrame, depth: int) -> DataFrame:
-    """For hosts too long for one task. pages: _lds_row, page_id, host, text."""
+def _wide(pages: DataFrame, depth: int, hosts: DataFrame) -> DataFrame:
+    """For hosts too long for one task. pages: _lds_row, page_id, host, text; hosts: host, least."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for host, row, text in zip(b.column("host").to_pylist(), b.column(f"{P}row").to_pylist(), b.column("text").to_pylist()):
                 w = _windows(text or "", depth)
                 if len(w):
-                    yield pa.RecordBatch.from_pydict({"host": pa.array([host] * len(w), pa.string()), f"{P}row": np.full(len(w), row, np.int64), "w": w, "at": np.arange(len(w), dtype=np.int32)})
+                    new = np.zeros(len(w), np.int32)
+                    new[np.unique(w, return_index=True)[1]] = 1
+                    yield pa.RecordBatch.from_pydict({"host": pa.array([host] * len(w), pa.string()), f"{P}row": np.full(len(w), row, np.int64), "w": w, "at": np.arange(len(w), dtype=np.int32), "new": new})
 
-    found = pages.mapInArrow(emit, f"host string, {P}row long, w long, at int")
-    many = found.groupBy("host", "w").agg(F.min(f"{P}row").alias("low"), F.max(f"{P}row").alias("high")).where("low <> high").select("host", "w")
-    marks = found.join(many, ["host", "w"], "left_semi").groupBy(f"{P}row").agg(F.collect_list("at").alias("at"))
+    found = pages.mapInArrow(emit, f"host string, {P}row long, w long, at int, new int")
+    many = found.groupBy("host", "w").agg(F.min(f"{P}row").alias("low"), F.sum("new").alias("n")).where("n > 1").join(hosts, "host").select("host", "w", F.when(F.col("n") < F.col("least"), F.col("low")).alias("keeps"))
+    marks = found.join(many, ["host", "w"]).where(f"keeps is null or keeps <> {P}row").groupBy(f"{P}row").agg(F.collect_list("at").alias("at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,19 +190,20 @@ def _wide(pages: DataFrame, depth: int) -> DataFrame:
     return pages.join(marks, f"{P}row", "left").select("page_id", "host", "text", "at").mapInArrow(cut, RESULT)
 
 
-def page_texts(pages: DataFrame, repeat: int = REPEAT, host_tokens: int = HOST_TOKENS) -> DataFrame:
-    """pages: page_id, url, html. A row for each: page_id, host, text without boilerplate, n_tokens before, n_removed."""
+def page_texts(pages: DataFrame, repeat: int = REPEAT, host_tokens: int = HOST_TOKENS, share: float = 0.0) -> DataFrame:
+    """pages: page_id, url, html. share: of the host's pages that a run must stand on to be removed from all; 0: any two. A row for each: page_id, host, text without boilerplate, n_tokens before, n_removed."""
     if repeat < 2:
         raise ValueError("repeat must be 2 or more")
     texts = materialise(pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), extract(F.col("html")).alias("text"), F.monotonically_increasing_id().alias(f"{P}row")), "texts")
     size = F.sum(F.coalesce(F.length("text") - F.length(F.translate("text", " ", "")) + 1, F.lit(1)))
-    sizes = texts.groupBy("host").agg(size.alias("n"))
-    long = materialise(sizes.where(F.col("n") > host_tokens).select("host"), "long-hosts")
+    sizes = texts.groupBy("host").agg(size.alias("n"), F.count("*").alias("pages"))
+    least = F.greatest(F.lit(3), F.ceil(F.lit(share) * F.col("pages"))) if share else F.lit(2)
+    long = materialise(sizes.where(F.col("n") > host_tokens).select("host", least.cast("long").alias("least")), "long-hosts")
     if long.isEmpty():
-        return texts.drop(f"{P}row").groupBy("host").applyInArrow(_host(repeat), RESULT)
-    short = texts.join(long, "host", "left_anti").groupBy("host").applyInArrow(_host(repeat), RESULT)
-    return short.unionByName(_wide(texts.join(long, "host", "left_semi"), repeat))
+        return texts.groupBy("host").applyInArrow(_host(repeat, share), RESULT)
+    short = texts.join(long, "host", "left_anti").groupBy("host").applyInArrow(_host(repeat, share), RESULT)
+    return short.unionByName(_wide(texts.join(long, "host", "left_semi"), repeat, long))
 
 
 def op4_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return page_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"), share=SHARE)
