@@ -8,13 +8,14 @@ from .licences import op2_licences
 from .mixing import OP8_SQL, op8_mix
 from .ngram_join import OP1_SQL, op1_ngram_join
 from .quality import op7_quality
-from .secrets import OP3_SQL, op3_secrets
+from .secrets import OP3_SQL, op3_secrets, op3_secrets_any_case
 from .url_filter import op10_url_filter
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_licences": op2_licences,
     "op3_secrets": op3_secrets,
+    "op3_secrets_any_case": op3_secrets_any_case,
     "op4_page_texts": op4_page_texts,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_chat": op6_chat,

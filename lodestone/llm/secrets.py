@@ -35,6 +35,15 @@ RULES = {
     "assigned_secret": "(?:password|passwd|secret|token|api_key|apikey|access_key) ?[=:] ?[\"']?[0-9a-f]{16,64}[\"']?",
     "basic_auth_url": "https?://[a-z0-9_]{2,24}:[A-Za-z0-9_]{4,32}@",
 }
+
+
+def any_case(pattern: str) -> str:
+    """A pattern of letters and signs without classes, whose letters match in both cases."""
+    return re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", pattern)
+
+
+#: RULES, with assigned secrets under names in any case and with values of any token's letters, digits and signs. OP3_SQL, which op3_secrets must equal, is made of RULES.
+WIDE_RULES = RULES | {"assigned_secret": "(?:" + any_case("password|passwd|secret|token|api_key|apikey|access_key") + ") ?[=:] ?[\"']?[0-9A-Za-z_+/.=-]{16,64}[\"']?"}
 LANE = 2048
 #: Bytes of a rule's last run that the automaton reads; the rule itself, applied there, reads all.
 TAIL = 3
@@ -374,6 +383,12 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.explode(secrets(spark)(F.col("text"))).alias("s")).select("doc_id", "s.rule", "s.match")
 
 
+def op3_secrets_any_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each secret by WIDE_RULES: doc_id, rule, match."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", F.explode(secrets(spark, WIDE_RULES)(F.col("text"))).alias("s")).select("doc_id", "s.rule", "s.match")
+
+
 def _quoted(pattern: str) -> str:
     return pattern.replace("'", "''")
 
