@@ -197,9 +197,16 @@ def _network(x: np.ndarray, y: np.ndarray, epochs: int = 60, batch: int = 256, s
 
 
 def fit(texts: pa.Array, classes: np.ndarray) -> Model:
-    """classes: positions in CLASSES. Documents must be in random order: the first half makes the vectors, the next 40 % the network, the rest the temperature."""
+    """classes: positions in CLASSES. Documents must be in random order: the first half makes the vectors, the next 40 % the network, the rest the temperature.
+    Where that leaves the network fewer than 2 of either kind, or there are fewer than 20 in all, every document makes vectors and network, of all their words, and the temperature is 1."""
     n = len(classes)
+    good = (classes == 2).astype(np.float64)
+    if not 0 < good.sum() < n:
+        return Model(np.zeros(0, U), np.zeros((0, DIM), np.float32))
     a, b = n // 2, n - max(1, n // 10)
+    few = n < 20 or min(good[a:b].sum(), (1 - good[a:b]).sum()) < 2
+    if few:
+        a = b = n
     first = texts.slice(0, a)
     keys, df = np.zeros(0, U), np.zeros(0, np.int64)
     for _, h, ptr in tokens(first):
@@ -210,18 +217,19 @@ def fit(texts: pa.Array, classes: np.ndarray) -> Model:
         new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
         keys, df = _added(keys, df, *np.unique(h[new], return_counts=True))
     top = np.sort(np.lexsort((keys, -df))[:VOCABULARY])
-    top = top[df[top] >= 3]
+    top = top[df[top] >= (1 if few else 3)]
     keys = keys[top]
     known, ids, rows = HashTable(keys), [], []
     for i, h, ptr in tokens(first):
         at, k = known.find(h)
         ids.append(k.astype(np.int32))
         rows.append((i + np.searchsorted(ptr, at, "right") - 1).astype(np.int32))
-    good = (classes == 2).astype(np.float64)
-    if len(top) == 0 or n < 20 or min(good[a:b].sum(), (1 - good[a:b]).sum()) < 2:
+    if len(top) == 0:
         return Model(np.zeros(0, U), np.zeros((0, DIM), np.float32))
     model = Model(keys, word_vectors(np.concatenate(ids), np.concatenate(rows), classes[:a], keys))
     del ids, rows
+    if few:
+        a = 0  # the network's documents, up to b
     x = model.features(texts.slice(a))
     model.shift, model.scale = x[: b - a].mean(0), x[: b - a].std(0) + 1e-3
     model.net = _network((x[: b - a] - model.shift) / model.scale, good[a:b])
