@@ -40,12 +40,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, survives the loss of any executor. Give the result to discard() when nothing needs it any more."""
     path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    return keep_path(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def keep_path(df: DataFrame, path: str) -> DataFrame:
+    """Marks df as what was written to path, for discard() and for the end of the driver."""
     if not _written:
         atexit.register(_clean)
     _written.add((df.sparkSession, path))
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._lodestone_path = path  # type: ignore[attr-defined]
-    return out
+    df._lodestone_path = path  # type: ignore[attr-defined]
+    return df
 
 
 def _delete(spark: SparkSession, path: str) -> None:

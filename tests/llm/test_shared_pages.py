@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 pytest.importorskip("lodestone.llm")
@@ -41,3 +42,32 @@ def test_the_registered_query_keeps_an_article_under_two_urls(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html_text.op4_page_texts(spark, str(tmp_path)).collect()}
     assert (got[2], got[4]) == (article, "") and all("News" not in t for t in got.values())
+
+
+def test_codes_round_trip():
+    rng = np.random.default_rng(4)
+    for bits, n in ((1, 2), (9, 40), (34, 1000), (63, 3), (64, 5000), (12, 4096)):
+        v = np.unique(rng.integers(0, 1 << bits, n, dtype=np.uint64) if bits < 64 else rng.integers(0, (1 << 64) - 1, n, dtype=np.uint64))
+        assert (html_text.decode(len(v), *html_text.encode(v, bits), bits) == v).all()
+
+
+@pytest.mark.parametrize("spare", [-6, 7])
+def test_a_hot_host_a_long_page_and_repeated_rows(spark, spare):
+    """One host has most pages, one page most tokens; ids repeat, one is null; with few bits most suffixes are wrongly taken for repeated at first."""
+    rng = random.Random(3)
+    head = [f"nav{i}" for i in range(7)]
+    pages = [("a" if k % 5 else "b", (head if k % 3 else []) + [f"w{rng.randrange(400)}" for _ in range(5000 if k == 7 else rng.randint(0, 60))]) for k in range(60)]
+    pages += [pages[11], pages[11], pages[20]]
+    ids = [None if k == 4 else k % 50 for k in range(len(pages))]
+    rows = [(ids[k], f"http://{h}.org/{k}", f"<p>{' '.join(t)}</p>", k) for k, (h, t) in enumerate(pages)]
+    df = spark.createDataFrame(rows, SCHEMA + ", _lds_row int").coalesce(1)
+    for share in (0.0, 0.3):
+        got = sorted((-1 if r["page_id"] is None else r["page_id"], r["text"]) for r in html_text.page_texts(df, 6, 200, share, spare).collect())
+        want = brute(pages, 6, share)
+        assert got == sorted((-1 if ids[k] is None else ids[k], want[k]) for k in want)
+
+
+def test_no_pages_no_tokens(spark):
+    assert html_text.page_texts(spark.createDataFrame([], SCHEMA)).collect() == []
+    got = html_text.page_texts(spark.createDataFrame([(1, None, None), (2, None, "<p></p>"), (3, "http://h.org", "a b")], SCHEMA)).collect()
+    assert sorted((r["page_id"], r["text"], r["n_tokens"], r["n_removed"]) for r in got) == [(1, None, None, None), (2, "", 0, 0), (3, "a b", 2, 0)]
