@@ -7,8 +7,8 @@ No host needs a single task, whatever its size, and every host is treated alike:
 
 1. Each batch sorts its own suffixes and sends them, as gaps of truncated hashes, to partitions by range of the order. There the sorted runs of all batches are merged; a suffix
    whose leading tokens no other batch has is told apart. Hashes have SPARE bits beyond what numbers the corpus's suffixes, so about 1 of 2^SPARE is taken for repeated here.
-2. Only suffixes that may be repeated (by another batch, or by two pages of this one) are sent again, once for each batch, with 96 bits of their leading tokens' hash, the pages that have them and the host's support.
-   The merged runs say which are removed.
+2. Only suffixes that may be repeated (by another batch, or by two pages of this one) are sent again, once for each batch, with 96 bits of their leading tokens' hash, the number of pages that have them and the
+   host's support. The merged runs say which are removed.
 3. Each batch covers REPEAT tokens from each such suffix on; tokens that are covered are boilerplate, the unique runs between them stay.
 
 What only few pages of a host share may as well be an article under several URLs, or a phrase: with a share, runs on fewer than max(3, share of the host's pages) pages stay on the first of
@@ -39,7 +39,7 @@ from .textops import U, buffers, hash_spans, mix
 REPEAT = 6
 SHARE = 0.02
 #: Tokens of a batch, about; bounds the memory of a task, nothing else.
-BATCH = 1 << 20
+BATCH = 1 << 21
 SPARE = 7
 #: Bytes of text that are hashed at once.
 PIECE = 1 << 21
@@ -230,80 +230,107 @@ def _groups(s: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return order, start, np.diff(np.append(start, len(w))), np.add.reduceat(new, start) if len(start) else new
 
 
-CANDIDATES = "part int, batch long, w binary, x binary, pages binary, least binary"
+def _may(s: Suffixes, hits: pa.Scalar, bits: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix array's order, groups and numbers of pages, and the groups that may be repeated: by two pages of the batch or, as _repeated said, by another batch."""
+    order, start, size, pages = _groups(s)
+    top = s.w[order[start]] >> U(64 - bits)
+    u = np.unique(top)
+    cut, _ = _ids(u, bits, parts)
+    hit = np.zeros(len(u), bool)
+    for p, x in zip(*(hits.values.field(k).to_pylist() for k in (0, 1))) if hits.is_valid else ():
+        hit[cut[p] : cut[p + 1]] = np.unpackbits(np.frombuffer(x, np.uint8), count=int(cut[p + 1] - cut[p]))
+    return order, start, size, pages, (pages > 1) | hit[np.searchsorted(u, top)]
+
+
+def _small(a: np.ndarray) -> bytes:
+    """Counts, in as few bytes each as the greatest needs."""
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32) if int(a.max(initial=0)) <= np.iinfo(k).max)
+    return a.astype(kind).tobytes()
+
+
+def _counts(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // n]).astype(np.int64)
+
+
+CANDIDATES = "part int, batch long, n int, low binary, high binary, x binary, pages binary, least binary"
 
 
 def _candidates(depth: int, bits: int, parts: int, share: float):
     """Batches with what _repeated said of them, and the sizes of their hosts, to the suffixes that may be repeated."""
+    rest = 64 - int(math.log2(parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 hosts = b.column(1)[i].values
                 s = Suffixes(hosts, b.column(2)[i].values, depth)
-                order, start, _, pages = _groups(s)
-                w = s.w[order[start]]
-                u = np.unique(w >> U(64 - bits))
-                cut, _ = _ids(u, bits, parts)
-                hit = np.zeros(len(u), bool)
-                for p, x in zip(*(b.column(3)[i].values.field(k).to_pylist() for k in (0, 1))) if b.column(3)[i].is_valid else ():
-                    hit[cut[p] : cut[p + 1]] = np.unpackbits(np.frombuffer(x, np.uint8), count=int(cut[p + 1] - cut[p]))
-                may = (pages > 1) | hit[np.searchsorted(u, w >> U(64 - bits))]
-                w, x, pages, page = w[may], s.x[order[start]][may], pages[may].astype(np.uint32), s.page[order[start]][may]
+                order, start, _, pages, may = _may(s, b.column(3)[i], bits, parts)
+                first = order[start][may]
+                w, x, pages = s.w[first], s.x[first], pages[may]
                 known = dict(zip(*(b.column(4)[i].values.field(k).to_pylist() for k in (0, 1))))
-                least = np.array([support(known[h], share) for h in hosts.to_pylist()], np.uint32)[page]
+                least = np.array([support(known[h], share) for h in hosts.to_pylist()], np.int64)[s.page[first]]
                 cut, some = _ids(w, 64, parts)
-                pack = lambda a: pa.array([a[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([b.column(0)[i].as_py()] * len(some), pa.int64()), pack(w), pack(x), pack(pages), pack(least)], names=["part", "batch", "w", "x", "pages", "least"])
+                w &= U((1 << rest) - 1)
+                codes = [encode(w[cut[p] : cut[p + 1]], rest) for p in some]
+                pack = lambda a, f: pa.array([f(a[cut[p] : cut[p + 1]]) for p in some], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int32()), pa.array([b.column(0)[i].as_py()] * len(some), pa.int64()), pa.array(np.diff(cut)[some], pa.int32()), pa.array([c[0] for c in codes], pa.binary()), pa.array([c[1] for c in codes], pa.binary()), pack(x, np.ndarray.tobytes), pack(pages, _small), pack(least, _small)],
+                    names=["part", "batch", "n", "low", "high", "x", "pages", "least"],
+                )
 
     return run
 
 
-def _decide(t: pa.Table) -> pa.Table:
-    """Of one partition's candidates: by batch, those removed from all its pages, and those that stay on the first."""
-    w, x = (np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in (("w", U), ("x", np.uint32)))
-    pages, least = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint32).astype(np.int64) for c in ("pages", "least"))
-    which = np.repeat(np.arange(len(t)), [len(a) // 8 for a in t["w"].to_pylist()])
-    batch = t["batch"].to_numpy()
-    order = np.lexsort((batch[which], x, w))
-    w, x, pages, least, which = w[order], x[order], pages[order], least[order], which[order]
-    start = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (x[1:] != x[:-1])]))
-    size = np.diff(np.append(start, len(w)))
-    total = np.repeat(np.add.reduceat(pages, start), size)
-    first = np.zeros(len(w), bool)
-    first[start] = True
-    few = (total > 1) & (total < least) & first
-    gone = (total > 1) & ~few
-    few &= pages > 1  # a first page alone in its batch needs no word
-    by = np.argsort(which, kind="stable")
-    cut = np.searchsorted(which[by], np.arange(len(t) + 1))
-    rows: dict[str, list] = {"batch": [], "gone": [], "few": []}
-    for k in range(len(t)):
-        own = by[cut[k] : cut[k + 1]]
-        a, b = w[own[gone[own]]], w[own[few[own]]]
-        if len(a) or len(b):
-            for c, v in zip(rows, (batch[k], a.tobytes(), b.tobytes())):
-                rows[c].append(v)
-    return pa.table([pa.array(rows["batch"], pa.int64()), pa.array(rows["gone"], pa.binary()), pa.array(rows["few"], pa.binary())], names=list(rows))
+def _decide(parts: int):
+    """Of one partition's candidates: by batch, in their order, a bit for those removed from all its pages, and for those that stay on the first."""
+    rest = 64 - int(math.log2(parts))
+
+    def run(t: pa.Table) -> pa.Table:
+        n, batch = t["n"].to_numpy(), t["batch"].to_numpy()
+        w = np.concatenate([decode(k, a, b, rest) for k, a, b in zip(n.tolist(), t["low"].to_pylist(), t["high"].to_pylist())])
+        x = np.frombuffer(b"".join(t["x"].to_pylist()), np.uint32)
+        pages, least = (np.concatenate([_counts(a, k) for a, k in zip(t[c].to_pylist(), n.tolist())]) for c in ("pages", "least"))
+        which = np.repeat(np.arange(len(t)), n)
+        order = np.lexsort((batch[which], x, w))
+        w, x, pages, least = w[order], x[order], pages[order], least[order]
+        start = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (x[1:] != x[:-1])]))
+        size = np.diff(np.append(start, len(w)))
+        total = np.repeat(np.add.reduceat(pages, start), size)
+        first = np.zeros(len(w), bool)
+        first[start] = True
+        stays = (total > 1) & (total < least) & first
+        gone, few = np.zeros(len(w), bool), np.zeros(len(w), bool)
+        gone[order] = (total > 1) & ~stays
+        few[order] = stays & (pages > 1)  # a first page alone in its batch needs no word
+        cut = np.concatenate([[0], np.cumsum(n)])
+        some = np.flatnonzero(np.add.reduceat(gone | few, cut[:-1]))
+        bits = lambda a: pa.array([np.packbits(a[cut[k] : cut[k + 1]]).tobytes() for k in some], pa.binary())
+        return pa.table({"part": t["part"].take(pa.array(some)), "batch": t["batch"].take(pa.array(some)), "gone": bits(gone), "few": bits(few)})
+
+    return run
 
 
 RESULT = "page_id long, host string, text string, n_tokens long, n_removed long"
 
 
-def _cut(depth: int):
-    """Batches with what _decide said of them to the pages' texts."""
+def _cut(depth: int, bits: int, parts: int):
+    """Batches with what _repeated and _decide said of them to the pages' texts."""
 
-    def one(ids: pa.Array, hosts: pa.Array, texts: pa.Array, said: pa.Scalar) -> pa.RecordBatch:
+    def one(ids: pa.Array, hosts: pa.Array, texts: pa.Array, hits: pa.Scalar, said: pa.Scalar) -> pa.RecordBatch:
         s = Suffixes(hosts, texts, depth)
         n = len(s.starts)
         covered = np.zeros(n, bool)
         if said.is_valid and n:
-            gone, few = (np.sort(np.frombuffer(b"".join(said.values.field(k).to_pylist()), U)) for k in (0, 1))
-            order, start, size, _ = _groups(s)
-            w = s.w[order[start]]
-            has = lambda known: known[np.minimum(np.searchsorted(known, w), len(known) - 1)] == w if len(known) else np.zeros(len(w), bool)
+            order, start, size, _, may = _may(s, hits, bits, parts)
+            cut, _ = _ids(s.w[order[start]][may], 64, parts)
+            flags = np.zeros((2, int(cut[-1])), bool)
+            for p, *both in zip(*(said.values.field(k).to_pylist() for k in (0, 1, 2))):
+                for k, x in enumerate(both):
+                    flags[k, cut[p] : cut[p + 1]] = np.unpackbits(np.frombuffer(x, np.uint8), count=int(cut[p + 1] - cut[p]))
+            gone, few = np.zeros((2, len(start)), bool)
+            gone[may], few[may] = flags
             page = s.page[order]
-            mark = np.repeat(has(gone), size) | np.repeat(has(few), size) & (page != np.repeat(page[start], size))
+            mark = np.repeat(gone, size) | np.repeat(few, size) & (page != np.repeat(page[start], size))
             at = s.at[order[mark]]
             delta = np.zeros(n + 1, np.int32)
             np.add.at(delta, at, 1)
@@ -326,7 +353,7 @@ def _cut(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                yield one(*(b.column(k)[i].values for k in (0, 1, 2)), b.column(3)[i])
+                yield one(*(b.column(k)[i].values for k in (0, 1, 2)), b.column(3)[i], b.column(4)[i])
 
     return run
 
@@ -335,7 +362,7 @@ def _stored(batches: DataFrame, buckets: int) -> DataFrame:
     """Batches in the shared folder, compressed, in buckets by their number: what is said of them is brought to them, and they are never shuffled."""
     spark, name = batches.sparkSession, f"lodestone_pages_{uuid.uuid4().hex}"
     path = f"{scratch_root(spark)}/{name}"
-    batches.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, "batch").saveAsTable(name)
+    batches.write.format("parquet").option("path", path).option("compression", "zstd").option("parquet.compression.codec.zstd.level", "7").bucketBy(buckets, "batch").saveAsTable(name)
     stored = spark.table(name)
     stored.schema  # noqa: B018 it is resolved before the name goes; the files stay
     spark.sql(f"DROP TABLE {name}")
@@ -348,7 +375,7 @@ def page_texts(pages: DataFrame, repeat: int = REPEAT, batch: int = BATCH, share
         raise ValueError("repeat must be 2 or more")
     spark = pages.sparkSession
     p = shuffle_partitions(spark)
-    parts = 1 << max(1, math.ceil(math.log2(p)))
+    parts = 1 << max(2, math.ceil(math.log2(2 * p)))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), "html")
     stored = _stored(rows.mapInArrow(_batches(batch, repeat), BATCHES), 2 * p)
     windows = stored.agg(F.sum("windows")).first()[0] or 0
@@ -359,10 +386,10 @@ def page_texts(pages: DataFrame, repeat: int = REPEAT, batch: int = BATCH, share
     own = stored.select("batch", F.explode(F.array_distinct("hosts")).alias("host"))
     sizes = stored.select(F.explode("hosts").alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
     sizes = own.join(sizes, "host").groupBy("batch").agg(F.collect_list(F.struct("host", "pages")).alias("sizes"))
-    may = texts.join(hit, "batch", "left").join(sizes, "batch").select("batch", "hosts", "texts", "hits", "sizes").mapInArrow(_candidates(repeat, bits, parts, share), CANDIDATES)
-    said = may.groupBy("part").applyInArrow(lambda t: _decide(t), "batch long, gone binary, few binary")
-    said = said.groupBy("batch").agg(F.collect_list(F.struct("gone", "few")).alias("said"))
-    return stored.join(said, "batch", "left").select("page_ids", "hosts", "texts", "said").mapInArrow(_cut(repeat), RESULT)
+    said = texts.join(hit, "batch", "left").join(sizes, "batch").select("batch", "hosts", "texts", "hits", "sizes").mapInArrow(_candidates(repeat, bits, parts, share), CANDIDATES)
+    said = said.groupBy("part").applyInArrow(_decide(parts), "part int, batch long, gone binary, few binary")
+    said = said.groupBy("batch").agg(F.collect_list(F.struct("part", "gone", "few")).alias("said"))
+    return stored.join(hit, "batch", "left").join(said, "batch", "left").select("page_ids", "hosts", "texts", "hits", "said").mapInArrow(_cut(repeat, bits, parts), RESULT)
 
 
 def op4_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
