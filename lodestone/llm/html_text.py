@@ -39,7 +39,7 @@ from .textops import U, buffers, hash_spans, mix
 REPEAT = 6
 SHARE = 0.02
 #: Tokens of a batch, about; bounds the memory of a task, nothing else.
-BATCH = 1 << 21
+BATCH = 1 << 20
 SPARE = 7
 #: Bytes of text that are hashed at once.
 PIECE = 1 << 21
