@@ -9,12 +9,16 @@ in proportion to the smaller set's size, so the combinations of a set stay in pr
 1. Each batch of documents sends its grams, packed, to the partition of their hash; there document frequencies are counted over all documents. Grams of one document alone
    never match: they are not sent on, and a set with more than e of them has no partner and is dropped.
 2. What is left goes back, packed, to the batch's own partition and gives the sets (in the shared folder), their prefixes, and so their signatures.
-3. Sets that share a signature are linked to one of them; connected sets form a cluster. Each set travels once to its cluster, where all pairs are verified by matrix products.
-   A cluster of more than CELL sets is cut into blocks, and pairs of blocks are verified apart.
+3. Sets that share a signature are linked to one of them; connected sets form a cluster. Each distinct set travels to its cluster, where all pairs are verified by matrix products.
+   A cluster of more than CELL sets is cut into blocks by their sizes, and pairs of blocks whose sizes allow the similarity are verified apart.
+
+Links of documents are not sent as pairs: classes() gives a row for each document with its class (all that chains of links connect) and the number of its links, from sums by distinct set. Documents with equal sets are
+one set there, with a count, so that thousands of copies cost no more than one.
 
 Defined results: a text of 1 or 2 words has one gram, of all its words; a null text, or one without words, has no set and no partner; a null doc_id takes no part; rows that
-repeat a doc_id are no pair with each other; of equal sets all pairs have similarity 1. Grams are compared by hashes of 40 bits and those of
-the partition's number, at least 46. Other columns, whatever their names, are not touched.
+repeat a doc_id are no pair with each other (in classes(), such a document has the links of all its different texts, and one class); of equal sets all pairs have similarity 1. Texts may be of any length; an empty table
+gives no rows. Sets are told apart by 64 bits; within two sets that are compared, grams by hashes of 40 bits and those of the partition's number, at least 46, so that a pair's overlap is wrong with a
+probability of about the product of their sizes over 2^46. Other columns, whatever their names, are not touched.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import P, materialise, shuffle_partitions, table
+from .common import P, discard, materialise, shuffle_partitions, table
 from .components import components
 from .textops import U, buffers, mix, ngrams, pieces, words
 
@@ -344,91 +348,100 @@ def similar(sets: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right:
     return left[i], (left if same else right)[j], s[i, j]
 
 
-def _verify(theta: float, pairs: bool):
-    """The clusters of one partition: similar pairs of documents or, if not pairs, a forest of them (which leads to the smallest doc_id)."""
+def _verify(theta: float):
+    """The similar pairs of documents in the cells of one partition."""
 
     def cell(t: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
         hashes, ids, half = t["hash"].to_numpy(), t["doc_id"].to_numpy(), t["half"].to_numpy()
         u, first, node = np.unique(hashes, return_index=True, return_inverse=True)
-        sizes = t["size"].to_numpy()[first]
-        blobs = t["grams"].take(pa.array(first)).to_pylist()
-        sets = [np.sort(np.frombuffer(b, U)) for b in blobs]
-        members: dict[int, np.ndarray] = {}
+        sizes, side = t["size"].to_numpy()[first], half[first]
+        sets = [np.sort(np.frombuffer(b, U)) for b in t["grams"].take(pa.array(first)).to_pylist()]
         order = np.argsort(node, kind="stable")
         cut = np.searchsorted(node[order], np.arange(len(u) + 1))
-        for k in range(len(u)):
-            members[k] = np.unique(ids[order[cut[k] : cut[k + 1]]])
-        side = half[first]
+        members = [np.unique(ids[order[cut[k] : cut[k + 1]]]) for k in range(len(u))]
         split = t["x"][0].as_py() != t["y"][0].as_py()
-        if split and len(np.unique(side)) < 2:
+        every = np.arange(len(u))
+        left, right = (every[side == 0], every[side == 1]) if split else (every, every)
+        if len(left) == 0 or len(right) == 0:
             return [], [], []
-        everyone = np.arange(len(u))
-        left, right = (everyone[side == 0], everyone[side == 1]) if split else (everyone, everyone)
-        i, j, s = similar(sets, sizes, left, right if split else left, theta) if len(u) > 1 else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         a, b, c = [], [], []
-        for k in () if split else np.flatnonzero(np.diff(cut) > 1):  # equal sets
-            m = members[k]
-            x, y = np.triu_indices(len(m), 1) if pairs else (np.zeros(len(m) - 1, np.int64), np.arange(1, len(m)))
-            a.append(m[x])
-            b.append(m[y])
-            c.append(np.ones(len(x)))
-        if not pairs:
-            low = np.array([members[k][0] for k in range(len(u))])
-            a.append(low[i])
-            b.append(low[j])
-            c.append(s)
-        else:
-            many = np.array([len(members[k]) for k in range(len(u))])
-            single = (many[i] == 1) & (many[j] == 1)
-            one = np.array([members[k][0] for k in range(len(u))])
-            a.append(one[i[single]])
-            b.append(one[j[single]])
-            c.append(s[single])
-            for x, y, z in zip(i[~single].tolist(), j[~single].tolist(), s[~single].tolist()):
+        if len(u) > 1:
+            for x, y, z in zip(*(v.tolist() for v in similar(sets, sizes, left, right if split else left, theta))):
                 m, n = members[x], members[y]
                 a.append(np.repeat(m, len(n)))
                 b.append(np.tile(n, len(m)))
                 c.append(np.full(len(m) * len(n), z))
+        for k in () if split else np.flatnonzero(np.diff(cut) > 1):  # equal sets
+            x, y = np.triu_indices(len(members[k]), 1)
+            a.append(members[k][x])
+            b.append(members[k][y])
+            c.append(np.ones(len(x)))
         return a, b, c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
-
-        def out(done: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            a, b, c = cell(pa.Table.from_batches(done))
+        for t in _by_cell(batches):
+            a, b, c = cell(t)
             if not a:
-                return
+                continue
             a, b, c = np.concatenate(a), np.concatenate(b), np.concatenate(c)
-            if not pairs:
-                a, b = forest(a, b)
-                c = np.ones(len(a))
             ok = a != b
             a, b, c = np.minimum(a, b)[ok], np.maximum(a, b)[ok], c[ok]
             for lo in range(0, len(a), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)]) for x in (a, b, c)], names=["doc_a", "doc_b", "jaccard"])
 
-        for batch in batches:
-            cells = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("cluster", "x", "y")], 1)
-            cut = [0, *(np.flatnonzero((cells[1:] != cells[:-1]).any(1)) + 1).tolist(), len(cells)]
-            for i, j in zip(cut, cut[1:]):
-                if i == j:
-                    continue
-                if held and tuple(cells[i]) != key:
-                    yield from out(held)
-                    held = []
-                key = tuple(cells[i])
-                held.append(batch.slice(i, j - i))
-        if held:
-            yield from out(held)
+    return run
+
+
+CELLS = "cluster long, x long, y long, half int"
+
+
+def _counted(theta: float):
+    """The distinct sets of a block, or of a pair of blocks: for each with a link, the documents that it is linked with (a = b), and a forest of the links (a, b)."""
+
+    def cell(t: pa.Table) -> pa.RecordBatch | None:
+        hashes, sizes, many, half = (t[c].to_numpy() for c in ("hash", "size", "copies", "half"))
+        sets = [np.sort(np.frombuffer(g, U)) for g in t["grams"].to_pylist()]
+        split = t["x"][0].as_py() != t["y"][0].as_py()
+        every = np.arange(len(sets))
+        left, right = (every[half == 0], every[half == 1]) if split else (every, every)
+        if len(left) == 0 or len(right) == 0 or len(sets) < 2:
+            return None
+        i, j, _ = similar(sets, sizes, left, right if split else left, theta)
+        links = np.bincount(i, many[j], len(sets)) + np.bincount(j, many[i], len(sets))
+        some = np.flatnonzero(links)
+        a, b = forest(hashes[i], hashes[j])
+        return pa.RecordBatch.from_pydict({"a": np.concatenate([hashes[some], a]), "b": np.concatenate([hashes[some], b]), "links": np.concatenate([links[some], np.zeros(len(a))]).astype(np.int64)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_cell(batches):
+            if (found := cell(t)) is not None and found.num_rows:
+                yield found
 
     return run
 
 
-def similar_documents(docs: DataFrame, theta: float = THETA, n: int = N, pairs: bool = True, cell: int = CELL) -> DataFrame:
-    """doc_a < doc_b, jaccard: all pairs, each once; with pairs=False only edges that connect the same documents."""
-    spark = docs.sparkSession
-    p = shuffle_partitions(spark)
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted batches, cut into the rows of each cell."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        cells = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("cluster", "x", "y")], 1)
+        cut = [0, *(np.flatnonzero((cells[1:] != cells[:-1]).any(1)) + 1).tolist(), len(cells)]
+        for i, j in zip(cut, cut[1:]):
+            if i == j:
+                continue
+            if held and tuple(cells[i]) != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = tuple(cells[i])
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _prepared(docs: DataFrame, theta: float, n: int) -> tuple[DataFrame, DataFrame]:
+    """Sets that may have a partner, in the shared folder, and hash, component: those of them whose signatures connect them."""
+    p = shuffle_partitions(docs.sparkSession)
     parts = 1 << int(np.ceil(np.log2(max(16, 4 * p))))
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     packed = rows.mapInArrow(_postings(parts, n), POSTINGS)
@@ -436,36 +449,70 @@ def similar_documents(docs: DataFrame, theta: float = THETA, n: int = N, pairs:
     sets = materialise(counted.groupBy("batch").applyInArrow(_sets(theta), SETS), "sets")
     signed = sets.mapInArrow(_signature_rows(theta, parts), "part int, sig binary, node binary, size binary")
     links = materialise(signed.groupBy("part").applyInArrow(_links(theta), "a long, b long").distinct(), "links")
-    clusters = components(links)
-    members = sets.join(clusters, F.col("hash") == F.col("node"), "left").withColumn("cluster", F.coalesce("component", "hash"))
+    found = components(links)
+    discard(links)
+    return sets, found
+
+
+def _placed(nodes: DataFrame, theta: float, cell: int) -> DataFrame:
+    """nodes: hash, size, cluster, distinct. Adds the cells that each is verified in: CELLS. Blocks are of one binary order of size; sizes further apart than theta allows never meet."""
+    order = F.floor(F.log2("size")).cast("int")
+    reach = int(np.ceil(np.log2(1 / theta) - 1e-9)) if theta > 0 else 31
+    blocks = nodes.groupBy("cluster", order.alias("o")).agg(F.count("*").alias("n")).withColumn("k", F.ceil(F.col("n") / cell).cast("int"))
+    blocks = blocks.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("o", "k"))).alias("blocks"), F.sum("n").alias("all"))  # at most 31 orders
+    at = nodes.withColumn("o", order).join(blocks, "cluster")
+    whole = F.col("all") <= cell
+    own = F.when(whole, 0).otherwise(F.col("o") * (1 << 32) + F.pmod(F.xxhash64("hash"), F.col("blocks")[F.col("o")]))
+    near = F.filter(F.transform(F.sequence(F.col("o") - reach, F.col("o") + reach), lambda o: F.struct(o.alias("o"), F.col("blocks")[o].alias("k"))), lambda s: s["k"].isNotNull())
+    others = F.flatten(F.transform(near, lambda s: F.transform(F.sequence(F.lit(0), s["k"] - 1), lambda k: s["o"] * F.lit(1 << 32) + k)))
+    at = at.withColumn("own", own.cast("long")).withColumn("other", F.explode(F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(others)))
+    return at.select(*nodes.columns, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("half"))
+
+
+def similar_documents(docs: DataFrame, theta: float = THETA, n: int = N, cell: int = CELL) -> DataFrame:
+    """doc_a < doc_b, jaccard: all pairs, each once. Groups of copies give all their pairs here; classes() says the same in a row for each document."""
+    sets, found = _prepared(docs, theta, n)
+    light = sets.groupBy("hash", "size").agg(F.count("*").alias("n")).join(found, F.col("hash") == F.col("node"), "left")
     # sets alone in their cluster have no partner, unless another document has the same set
-    light = sets.select("hash").join(clusters, F.col("hash") == F.col("node"), "left").withColumn("cluster", F.coalesce("component", "hash"))
-    count = light.groupBy("cluster", "hash").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("rows"), F.count("*").alias("nodes")).where("rows > 1")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("nodes") / cell)).cast("int")
-    members = members.drop("node", "component", "freqs").join(count.select(F.col("cluster").alias(f"{P}c"), blocks.alias("blocks")), F.col("cluster") == F.col(f"{P}c"))
-    own = F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int")
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    members = members.withColumn("own", own).withColumn("other", F.explode(other))
-    members = members.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("half"), "doc_id", "hash", "size", "grams")
-    # of a pair of blocks, the higher one's sets are the half 1
-    return members.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(_verify(theta, pairs), "doc_a long, doc_b long, jaccard double")
-
-
-def groups(docs: DataFrame, **how) -> DataFrame:
-    """node, component: every document of a group but the one that stays, and that one (the smallest doc_id)."""
-    edges = materialise(similar_documents(docs, pairs=False, **how).select(F.col("doc_b").alias("a"), F.col("doc_a").alias("b")), "edges")
-    return components(edges)
+    light = light.where("component is not null or n > 1").select("hash", "size", F.coalesce("component", "hash").alias("cluster"))
+    placed = _placed(light, theta, cell).withColumnsRenamed({"hash": f"{P}h"}).drop("size")
+    members = sets.drop("freqs").join(placed, F.col("hash") == F.col(f"{P}h")).drop(f"{P}h")
+    return members.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(_verify(theta), "doc_a long, doc_b long, jaccard double")
+
+
+def classes(docs: DataFrame, theta: float = THETA, n: int = N, cell: int = CELL) -> DataFrame:
+    """doc_id, class_id, n_links for each distinct doc_id: the smallest doc_id that links connect it with (or its own), and the number of documents whose similarity with it is theta or more."""
+    sets, found = _prepared(docs, theta, n)
+    ids = materialise(sets.select("doc_id", "hash").distinct(), "ids")
+    copies = ids.groupBy("hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"))
+    light = sets.select("hash", "size").distinct().join(copies, "hash").join(found.withColumnRenamed("node", "hash").withColumnRenamed("component", "cluster"), "hash")
+    light = materialise(_placed(light, theta, cell), "placed")
+    # each distinct set once: what is joined by hash lies by hash
+    grams = sets.select(F.col("hash").alias(f"{P}h"), "grams").join(light.select("hash").distinct(), F.col(f"{P}h") == F.col("hash"), "left_semi").groupBy(f"{P}h").agg(F.first("grams").alias("grams"))
+    members = grams.join(light, F.col(f"{P}h") == F.col("hash")).drop(f"{P}h", "low")
+    linked = members.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(_counted(theta), "a long, b long, links long")
+    linked = materialise(linked, "links")
+    discard(sets, light)
+    joined = components(linked.where("a <> b").select("a", "b"))
+    each = ids.join(copies, "hash").join(linked.where("a = b").groupBy(F.col("a").alias("hash")).agg(F.sum("links").alias("links")), "hash", "left")
+    each = each.join(joined.withColumnRenamed("node", "hash"), "hash", "left").withColumn("component", F.coalesce("component", "hash"))
+    lowest = each.groupBy("component").agg(F.min("low").alias("lowest"))
+    each = each.join(lowest, "component").select(F.col("doc_id").alias(f"{P}i"), "lowest", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    each = each.groupBy(f"{P}i").agg(F.min("lowest").alias("lowest"), F.sum("links").alias("links"))
+    every = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    rows = every.join(each, F.col("doc_id") == F.col(f"{P}i"), "left")
+    return rows.select("doc_id", F.coalesce("lowest", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def representatives(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, but of each group of near duplicates (connected by similar pairs) only those with the smallest doc_id."""
-    gone = materialise(groups(docs, **how).where("node <> component").select(F.col("node").alias(f"{P}gone")), "gone")
+    """The rows of docs, but of each class of near duplicates only those with the smallest doc_id."""
+    gone = materialise(classes(docs, **how).where("class_id <> doc_id").select(F.col("doc_id").alias(f"{P}gone")), "gone")
     return docs.join(gone, F.col("doc_id").cast("long") == F.col(f"{P}gone"), "left_anti")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents with a Jaccard similarity of THETA or more."""
-    return similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """A row for each document: its class of documents connected by Jaccard similarities of THETA or more, and the number of its links."""
+    return classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def pairs_sql(docs: str = "documents") -> str:
@@ -477,4 +524,13 @@ shared AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS o FROM grams
 pairs AS (SELECT doc_a, doc_b, o / CAST(x.n + y.n - o AS DOUBLE) AS jaccard FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b WHERE o >= {THETA} * (x.n + y.n - o))"""
 
 
-OP1_SQL = f"WITH {pairs_sql()} SELECT doc_a, doc_b, jaccard FROM pairs"
+def classes_sql(docs: str = "documents") -> str:
+    """CTEs up to classes(doc_id, class_id, n_links), for WITH RECURSIVE."""
+    return f"""{pairs_sql(docs)},
+e AS (SELECT doc_a AS a, doc_b AS b FROM pairs UNION ALL SELECT doc_b, doc_a FROM pairs),
+reach(doc_id, other) AS (SELECT a, b FROM e UNION SELECT r.doc_id, e.b FROM reach r JOIN e ON r.other = e.a),
+low AS (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id), links AS (SELECT a, count(*) AS n FROM e GROUP BY a),
+classes AS (SELECT d.doc_id, least(d.doc_id, coalesce(low, d.doc_id)) AS class_id, coalesce(n, 0) AS n_links FROM (SELECT DISTINCT doc_id FROM {docs} WHERE doc_id IS NOT NULL) d LEFT JOIN low USING (doc_id) LEFT JOIN links ON a = d.doc_id)"""
+
+
+OP1_SQL = f"WITH RECURSIVE {classes_sql()} SELECT doc_id, class_id, n_links FROM classes"

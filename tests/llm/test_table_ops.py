@@ -92,6 +92,49 @@ def test_pairs_with_odd_rows(spark):
     assert ngram_join.similar_documents(df.where("false")).count() == 0
 
 
+def brute_classes(pairs, theta):
+    """doc_id: class and links."""
+    links = brute_pairs(pairs, theta)
+    low = {i: i for i, _ in pairs if i is not None}
+    n = dict.fromkeys(low, 0)
+    for _ in low:
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    for p in links:
+        for i in p:
+            n[i] += 1
+    return {i: (low[i], n[i]) for i in low}
+
+
+def found_classes(df):
+    rows = df.collect()
+    out = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
+@pytest.mark.parametrize(("theta", "cell"), [(0.5, 2000), (0.5, 7), (0.8, 3)])
+def test_classes_equal_brute_force(spark, theta, cell):
+    pairs = corpus()
+    got = found_classes(ngram_join.classes(make(spark, pairs), theta, cell=cell))
+    assert got == brute_classes(pairs, theta) and len({c for c, n in got.values() if n}) > 10
+
+
+def test_a_chain_of_links_is_one_class_and_copies_are_one_set(spark):
+    """Windows that slide over a text chain into one class, though far ones share nothing; a text's copies each link with all others."""
+    words = [f"w{i}" for i in range(400)]
+    pairs = [(i, " ".join(words[5 * i : 5 * i + 40])) for i in range(70)] + [(1000 + i, " ".join(words[:40])) for i in range(50)]
+    got = found_classes(ngram_join.classes(make(spark, pairs), 0.5, cell=10))
+    assert got == brute_classes(pairs, 0.5) and {c for c, _ in got.values()} == {0} and got[1000][1] >= 50
+
+
+def test_classes_of_odd_rows(spark):
+    rows = [(1, "a b c d"), (2, "A b. c D"), (None, "a b c d"), (3, None), (4, ""), (5, "solo"), (6, "solo"), (1, "a b c d"), (7, "..."), (8, "z " * 120_000)]
+    df = make(spark, rows).withColumn("hash", F.lit(1)).withColumn("cluster", F.lit("x")).withColumn("class_id", F.lit(0))
+    assert found_classes(ngram_join.classes(df)) == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0), 5: (5, 1), 6: (5, 1), 7: (7, 0), 8: (8, 0)}
+    assert ngram_join.classes(df.where("false")).count() == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (7, 6), (9, 9), (3, 1)], "a long, b long")
     assert sorted((r["node"], r["component"]) for r in components(edges).collect()) == [(1, 1), (2, 1), (3, 1), (6, 6), (7, 6)]
