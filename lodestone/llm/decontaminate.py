@@ -1,21 +1,24 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, searched with block-max WAND by every passage of every training text.
 
 Items are cut into segments of at most SEGMENT words. A segment's BM25 score is divided by the score that it gets for its own words, so that one threshold holds
-for all. A text is cut into blocks of SEGMENT words; a passage is two adjacent blocks, so any copied segment lies whole in one passage. All passages above the
-threshold are retrieved: terms found in most segments are non-essential (together they can add at most SLACK to any); the others, by their maxima over blocks of
-segments, give upper bounds by passage and block, then, for passages that are left, by passage and segment; only pairs above the threshold less SLACK are scored in full. A pair counts once the text is verified to hold
-OVERLAP of the item's question 3-grams and of its answer 3-grams; the answer is the item's last sentence, the question what precedes it. An item of one
-sentence has no answer to verify.
+for all. A text is cut into blocks of SEGMENT words; a passage is two adjacent blocks, so any copied segment lies whole in one passage. All segments that score the
+threshold or more for a passage are retrieved, by block-max WAND over ranges of RANGE segments: a range in which the greatest weights of the passage's terms don't add up to the threshold is dead, and none of its
+postings are touched. In a live one, the passage has a cursor into the postings of each of its terms; in the order of the cursors, the terms' greatest weights in the range are added up until they reach the
+threshold, which makes the pivot; what is before the pivot can't reach it and is skipped. If the greatest weights within the pivot's block of BLOCK segments don't reach the threshold either, the whole
+block is skipped; else the pivot is scored. Passages go in step: each round moves the cursors of all that are still searching, as arrays. So the cost follows the matching postings of live ranges, not the number of items.
 
-Statistics are over all items; the index is of the test items alone and does not grow with the corpus. Beyond SLICE items it is applied slice by slice.
+A pair counts once the text around the passage, as long as the item, is verified to hold OVERLAP of the item's question 3-grams and of its answer 3-grams; the answer is the item's last sentence, the question
+what precedes it. An item of one sentence has no answer to verify.
 
-Defined results: case doesn't count, in any alphabet; null or empty texts match nothing; items without words are left out; repeated items each match; a null doc_id or item_id is carried through.
+Statistics are over all items. The index is built by numpy on the driver: it is of the test items alone and does not grow with the corpus. It is broadcast in slices of SLICE items; texts are tokenised once for all of them.
+
+Defined results: case doesn't count, in any alphabet; null or empty texts match nothing; texts of any length are searched whole; items without words are left out; repeated items each match, and so do repeated documents;
+a null doc_id or item_id is carried through; without items, or without documents, nothing is found. Other columns of the documents, whatever their names, play no part and clean() carries them along.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -30,11 +33,14 @@ from .textops import HashTable, U, ngrams, words
 K1, B = 1.2, 0.75
 SEGMENT = 64
 THRESHOLD = 0.5
-SLACK = 0.05
 OVERLAP = 0.5
 GRAM = 3
-BLOCK = 4
+#: Segments of a block and of a range, which is whole blocks.
+BLOCK, RANGE = 4, 8
 SLICE = 50_000
+#: Cursors that move in step, at most about.
+CURSORS = 1 << 18
+_EPS = 1e-9
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -43,183 +49,241 @@ def split_item(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, "")
 
 
-def hashed(text: str) -> np.ndarray:
-    return np.concatenate([h for *_, h, _ in words(pa.array([text.lower()]))] or [np.zeros(0, U)])
+def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts, and the texts' offsets."""
+    hs, sizes = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    for *_, h, ptr in words(pa.array([t.lower() for t in texts], pa.large_string())) if texts else ():
+        hs.append(h)
+        sizes.append(np.diff(ptr))
+    return np.concatenate(hs), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+
+
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of each text, and the texts' offsets."""
+    g, row = ngrams(*_hashed(texts), GRAM)
+    order = np.lexsort((g, row))
+    g, row = g[order], row[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
+    return g[new], np.searchsorted(row[new], np.arange(len(texts) + 1))
+
+
+@dataclass
+class Segments:
+    """The segments of items: their words' hashes, distinct by segment and in its order, with counts; their lengths, items, and places in the item."""
+
+    seg: np.ndarray
+    term: np.ndarray
+    tf: np.ndarray
+    length: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+
+
+def segments(texts: list[str]) -> Segments:
+    h, ptr = _hashed(texts)
+    size = np.diff(ptr)
+    n = -(-size // SEGMENT)
+    item = np.repeat(np.arange(len(texts)), n)
+    place = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+    length = size[item] // n[item] + (place < size[item] % n[item])
+    seg = np.repeat(np.arange(len(item)), length)
+    order = np.lexsort((h, seg))
+    h, seg = h[order], seg[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (seg[1:] != seg[:-1])])) if len(h) else np.zeros(0, np.int64)
+    return Segments(seg[first], h[first], np.diff(np.append(first, len(h))), length, item, place)
+
+
+@dataclass
+class Statistics:
+    """Over all segments of all items: terms (ascending) and the segments that have them, the number of segments, their mean length."""
+
+    terms: np.ndarray
+    df: np.ndarray
+    n: int
+    mean: float
 
 
-def grams_of(h: np.ndarray, n: int = GRAM) -> np.ndarray:
-    return np.unique(ngrams(h, np.array([0, len(h)]), n)[0])
+def statistics(texts: list[str]) -> Statistics:
+    s = segments(texts)
+    terms, df = np.unique(s.term, return_counts=True)
+    return Statistics(terms, df, len(s.length), float(s.length.mean()) if len(s.length) else 0.0)
 
 
 @dataclass
 class Index:
     terms: np.ndarray  # hashes
-    essential: np.ndarray  # by term
-    post_ptr: np.ndarray  # by term, postings in the order of segments
-    post_seg: np.ndarray
-    post_w: np.ndarray
-    block_ptr: np.ndarray  # by term, its blocks with their maximum
-    block_id: np.ndarray
-    block_w: np.ndarray
-    segments: list[int]  # item of each
-    items: list[tuple[int | None, np.ndarray, np.ndarray]]  # id, question and answer grams
-
-
-def statistics(texts: list[str]) -> tuple[Counter, int, float]:
-    """Segment frequencies, segments, mean length."""
-    df: Counter = Counter()
-    n = total = 0
-    for t in texts:
-        for s in segments(hashed(t)):
-            df.update(np.unique(s).tolist())
-            n += 1
-            total += len(s)
-    return df, n, total / max(1, n)
-
-
-def segments(h: np.ndarray) -> list[np.ndarray]:
-    return np.array_split(h, -(-len(h) // SEGMENT)) if len(h) else []
-
-
-def build(items: list[tuple[int | None, str]], stats: tuple[Counter, int, float]) -> Index:
-    df, n, mean = stats
-    terms: dict[int, int] = {}
-    post: list[list[tuple[int, float]]] = []
-    seg_item, out = [], []
-    for item_id, text in items:
-        h = hashed(text)
-        if not len(h):
-            continue
-        q, a = split_item(text)
-        out.append((item_id, grams_of(hashed(q)), grams_of(hashed(a))))
-        for s in segments(h):
-            t, tf = np.unique(s, return_counts=True)
-            idf = np.log(1 + (n - np.array([df[x] for x in t.tolist()]) + 0.5) / (np.array([df[x] for x in t.tolist()]) + 0.5))
-            w = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(s) / mean))
-            w = w / w.sum()
-            for x, y in zip(t.tolist(), w.tolist()):
-                k = terms.setdefault(x, len(terms))
-                if k == len(post):
-                    post.append([])
-                post[k].append((len(seg_item), y))
-            seg_item.append(len(out) - 1)
-    order = sorted(range(len(post)), key=lambda k: -len(post[k]))
-    spent = np.zeros(len(seg_item))
-    essential = np.ones(len(post), bool)
-    for k in order:  # the most common first, as long as no segment owes more than SLACK to them
-        at = np.array([s for s, _ in post[k]])
-        more = spent[at] + np.array([w for _, w in post[k]])
-        if len(at) < 2 or more.max() > SLACK:
-            continue
-        spent[at] = more
-        essential[k] = False
-    ptr = np.concatenate([[0], np.cumsum([len(p) for p in post])]).astype(np.int64)
-    seg = np.array([s for p in post for s, _ in p], np.int64)
-    w = np.array([x for p in post for _, x in p])
-    term = np.repeat(np.arange(len(post)), np.diff(ptr))
-    nb = len(seg_item) // BLOCK + 1
-    key, inverse = np.unique(term * nb + seg // BLOCK, return_inverse=True)
-    bw = np.zeros(len(key))
-    np.maximum.at(bw, inverse, w)
-    return Index(
-        np.array(list(terms), U), essential, ptr, seg, w,
-        np.searchsorted(key // nb, np.arange(len(post) + 1)), key % nb, bw, seg_item, out,
-    )
+    key: np.ndarray  # of the postings, term * segments + segment, ascending
+    weight: np.ndarray
+    range_ptr: np.ndarray  # by term, the ranges that it has postings in
+    range_id: np.ndarray
+    range_weight: np.ndarray  # the greatest in it
+    range_at: np.ndarray  # the postings in it, up to the next one's
+    block_key: np.ndarray  # of the terms' blocks, term * blocks + block, ascending
+    block_weight: np.ndarray  # the greatest in it
+    item: np.ndarray  # by segment
+    place: np.ndarray
+    ids: list[int | None]
+    parts: np.ndarray  # by item, its segments
+    question: tuple[np.ndarray, np.ndarray]
+    answer: tuple[np.ndarray, np.ndarray]
+
+    @property
+    def n(self) -> int:
+        return len(self.item)
 
 
 def _expand(ptr: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each of k the positions ptr[k] to ptr[k + 1]: which of k, and the position."""
     size = ptr[k + 1] - ptr[k]
     which = np.repeat(np.arange(len(k)), size)
-    first = np.repeat(ptr[k] - (np.cumsum(size) - size), size)
-    return which, first + np.arange(len(which))
+    return which, np.repeat(ptr[k] - (np.cumsum(size) - size), size) + np.arange(len(which))
+
+
+def build(items: list[tuple[int | None, str]], stats: Statistics) -> Index:
+    s = segments([t for _, t in items])
+    n = len(s.item)
+    df = stats.df[np.searchsorted(stats.terms, s.term)]
+    idf = np.log(1 + (stats.n - df + 0.5) / (df + 0.5))
+    w = idf * s.tf * (K1 + 1) / (s.tf + K1 * (1 - B + B * s.length[s.seg] / stats.mean)) if n else np.zeros(0)
+    w = w / np.bincount(s.seg, w, n)[s.seg] if n else w
+    terms, term = np.unique(s.term, return_inverse=True)
+    key = term * n + s.seg
+    order = np.argsort(key)
+    key, w, term, seg = key[order], w[order], term[order], s.seg[order]
+
+    def cells(width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The runs of a term's postings in one cell of so many segments: key, first posting, greatest weight."""
+        k = term * (n // width + 1) + seg // width
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+        return k[first], first, np.maximum.reduceat(w, first) if len(first) else np.zeros(0)
+
+    rkey, rfirst, rweight = cells(RANGE)
+    bkey, _, bweight = cells(BLOCK)
+    ranges = n // RANGE + 1
+    halves = [split_item(t) for _, t in items]
+    return Index(
+        terms, key, w, np.searchsorted(rkey // ranges, np.arange(len(terms) + 1)), rkey % ranges, rweight, np.append(rfirst, len(key)), bkey, bweight, s.item, s.place,
+        [i for i, _ in items], np.bincount(s.item, minlength=len(items)), _grams([q for q, _ in halves]), _grams([a for _, a in halves]),
+    )
 
 
 class Searcher:
     def __init__(self, index: Index, threshold: float = THRESHOLD, overlap: float = OVERLAP):
         self.x, self.threshold, self.overlap = index, threshold, overlap
-        self.small = HashTable(index.terms[index.essential])
-        self.of_small = np.flatnonzero(index.essential)
-        self.nb = len(index.segments) // BLOCK + 1
-        self._by_segment: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-
-    def candidates(self, h: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, segments and scores of all passages whose score reaches the threshold."""
-        x, n = self.x, len(self.x.terms)
-        out: list[tuple[int, int, float]] = []
-        at, k = self.small.find(h)
+        self.known = HashTable(index.terms)
+
+    def passages(self, h: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct terms of the passages of texts, by passage; the passages' rows and first blocks. A passage is named by its first block, counted over all rows."""
+        x = self.x
+        at, term = self.known.find(h)
         blocks = np.maximum(1, -(-np.diff(ptr) // SEGMENT))
         base = np.concatenate([[0], np.cumsum(blocks)])
         row = np.searchsorted(ptr, at, "right") - 1
-        key = (base[row] + (at - ptr[row]) // SEGMENT) * n + self.of_small[k]
-        key.sort()
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-        block, k = key // max(1, n), key % max(1, n)
-        of_block = np.repeat(np.arange(len(blocks)), blocks)
-        joins = np.zeros(base[-1] + 1, bool)  # the next block is of the same row
-        joins[: base[-1] - 1] = of_block[1:] == of_block[:-1]
-        step = max(1, (1 << 23) // len(x.segments))
-        for lo in range(0, int(base[-1]), step):
-            hi = min(lo + step, int(base[-1]))  # passages begin in lo..hi-1, so they reach into block hi
-            i, j = np.searchsorted(block, [lo, hi + 1])
-            if i == j:
+        place = (at - ptr[row]) // SEGMENT
+        block = base[row] + place
+        # in the passage that begins with its block, unless that is the row's last of several, and in the one before
+        first, second = (place < blocks[row] - 1) | (blocks[row] == 1), place > 0
+        m = max(1, len(x.terms))
+        key = np.unique(np.concatenate([block[first] * m + term[first], (block[second] - 1) * m + term[second]]))
+        rows = np.repeat(np.arange(len(blocks)), blocks)
+        return key // m, key % m, rows, np.arange(len(rows)) - base[rows]
+
+    def search(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Passages (ascending, as passages() gives them), segments and scores of all pairs whose score reaches the threshold."""
+        x, least = self.x, self.threshold - _EPS
+        ranges = x.n // RANGE + 1
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        start = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]])) if len(passage) else np.zeros(0, np.int64)
+        lo = 0
+        width = np.concatenate([[0], np.cumsum(x.range_ptr[term + 1] - x.range_ptr[term])]) if len(term) else np.zeros(1, np.int64)
+        before = width[start]
+        while lo < len(start):  # whole passages, with so many cursors or cells at most
+            hi = max(lo + 1, min(int(np.searchsorted(before, before[lo] + CURSORS, "right")) - 1, int(np.searchsorted(passage[start], passage[start[lo]] + CURSORS * 8 // ranges, "right"))))
+            i, j = start[lo], start[hi] if hi < len(start) else len(passage)
+            which, k = _expand(x.range_ptr, term[i:j])
+            base = passage[i]
+            query = (passage[i:j][which] - base) * ranges + x.range_id[k]
+            live = np.bincount(query, x.range_weight[k])[query] >= least if len(query) else np.zeros(0, bool)
+            query, k = query[live], k[live]
+            for q, segment, score in self._wand(query, term[i:j][which[live]], k):
+                out.append((base + q // ranges, segment, score))
+            lo = hi
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def _wand(self, query: np.ndarray, term: np.ndarray, k: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Block-max WAND of queries (a passage in a range) in step. k: the term's postings in the range. pos: cursors into the postings; at: their segments, n when they are at the range's end."""
+        x, n, blocks, least, out = self.x, self.x.n, self.x.n // BLOCK + 1, self.threshold - _EPS, []
+        most, pos, end = x.range_weight[k], x.range_at[k], x.range_at[k + 1]
+        at = x.key[pos] - term * n
+        while len(term):
+            order = np.argsort(query * (n + 1) + at)
+            query, term, most, pos, end, at = (a[order] for a in (query, term, most, pos, end, at))
+            first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
+            last = np.append(first[1:], len(query))
+            total = np.cumsum(most)
+            pivot = np.searchsorted(total, np.concatenate([[0.0], total])[first] + least)
+            live = (pivot < last) & (at[np.minimum(pivot, len(at) - 1)] < n)
+            if not live.all():  # without a pivot a query is done
+                keep = np.repeat(live, last - first)
+                query, term, most, pos, end, at = (a[keep] for a in (query, term, most, pos, end, at))
                 continue
-            b, t = block[i:j] - lo, k[i:j]
-            link = joins[lo:hi]
-            live = self._passages(b, t, x.block_ptr, x.block_id, x.block_w, self.nb, hi - lo, link, self.threshold - SLACK)
-            wanted = np.zeros(hi - lo + 1, bool)
-            passages = live[0]
-            wanted[passages] = True
-            wanted[passages + 1] = True
-            some = wanted[b]
-            for p, seg in zip(*(a.tolist() for a in self._passages(b[some], t[some], x.post_ptr, x.post_seg, x.post_w, len(x.segments), hi - lo, link, self.threshold - SLACK))):
-                r = int(of_block[lo + p])
-                start = int(ptr[r] + (lo + p - base[r]) * SEGMENT)
-                terms, w = self.weights(seg)
-                score = float(w[np.isin(terms, h[start : min(start + 2 * SEGMENT, int(ptr[r + 1]))])].sum())
-                if score >= self.threshold - 1e-9:
-                    out.append((r, seg, score))
-        return tuple(np.array([o[c] for o in out], np.float64 if c == 2 else np.int64) for c in range(3))
-
-    @staticmethod
-    def _passages(block: np.ndarray, term: np.ndarray, ptr: np.ndarray, col: np.ndarray, w: np.ndarray, cols: int, n: int, link: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Passages (by their first block) and columns whose upper bound reaches the floor: the sum of both blocks' own sums."""
-        which, pos = _expand(ptr, term)
-        s = np.bincount(block[which] * cols + col[pos], w[pos], (n + 1) * cols).reshape(n + 1, cols)
-        return np.nonzero(s[:-1] + s[1:] * link[:, None] >= floor - 1e-9)
-
-    def weights(self, seg: int) -> tuple[np.ndarray, np.ndarray]:
-        """The segment's terms, and what each adds to its score."""
-        if self._by_segment is None:
-            order = np.argsort(self.x.post_seg, kind="stable")
-            term = np.repeat(np.arange(len(self.x.terms)), np.diff(self.x.post_ptr))[order]
-            self._by_segment = np.searchsorted(self.x.post_seg[order], np.arange(len(self.x.segments) + 1)), self.x.terms[term], self.x.post_w[order]
-        at, terms, w = self._by_segment
-        return terms[at[seg] : at[seg + 1]], w[at[seg] : at[seg + 1]]
-
-    def matches(self, texts: pa.Array) -> list[list[tuple[int | None, float, float, float]]]:
-        """For each text: item, best score, overlap with question and answer."""
-        out: list[list] = [[] for _ in range(len(texts))]
-        for i, _, h, ptr in words(texts) if self.x.segments else ():
-            best: dict[tuple[int, int], float] = {}
-            for row, seg, score in zip(*(a.tolist() for a in self.candidates(h, ptr))):
-                pair = (row, self.x.segments[seg])
-                best[pair] = max(best.get(pair, 0.0), score)
-            grams: dict[int, np.ndarray] = {}
-            for (row, item), score in sorted(best.items()):
-                own = h[ptr[row] : ptr[row + 1]]
-                item_id, q, a = self.x.items[item]
-                held = [1.0 if not len(g) else float(np.isin(g, self._grams(own, g, grams, row, n)).mean()) for n, g in ((0, q), (1, a))]
-                if min(held) >= self.overlap:
-                    out[i + row].append((item_id, score, *held))
+            segment, group = at[pivot], np.repeat(np.arange(len(first)), last - first)
+            mine = segment[group]
+            behind, ahead = np.flatnonzero(at <= mine), np.flatnonzero(at > mine)
+            t, g = term[behind], group[behind]
+            key = t * blocks + segment[g] // BLOCK
+            b = np.minimum(np.searchsorted(x.block_key, key), len(x.block_key) - 1)
+            open_ = np.bincount(g, np.where(x.block_key[b] == key, x.block_weight[b], 0), len(first)) >= least
+            # a block that can't reach it is skipped up to its end, or to the first cursor beyond the pivot
+            beyond = np.full(len(first), n)
+            np.minimum.at(beyond, group[ahead], at[ahead])
+            to = np.where(open_, segment, np.minimum((segment // BLOCK + 1) * BLOCK, beyond))
+            p, s, e = pos[behind], at[behind], end[behind]
+            self._seek(t, p, s, e, to[g])
+            hit = open_[g] & (s == segment[g])
+            score = np.bincount(g[hit], x.weight[p[hit]], len(first))
+            found = np.flatnonzero(open_ & (score >= least))
+            if len(found):
+                out.append((query[first[found]], segment[found], score[found]))
+            p[hit] += 1
+            s[hit] = self._at(t[hit], p[hit], e[hit])
+            pos[behind], at[behind] = p, s
         return out
 
-    @staticmethod
-    def _grams(own: np.ndarray, wanted: np.ndarray, cache: dict, row: int, part: int) -> np.ndarray:
-        """The text's grams; shorter ones too, since a question or answer of fewer words than GRAM is one shorter gram."""
-        if row not in cache:
-            cache[row] = np.concatenate([ngrams(own, np.array([0, len(own)]), GRAM)[0], *(_short(own, n) for n in range(1, GRAM))])
-        return cache[row]
+    def _at(self, term: np.ndarray, pos: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return np.where(pos < end, self.x.key[np.minimum(pos, len(self.x.key) - 1)] - term * self.x.n, self.x.n)
+
+    def _seek(self, term: np.ndarray, pos: np.ndarray, at: np.ndarray, end: np.ndarray, to: np.ndarray) -> None:
+        """Moves cursors to the first segments that aren't below `to`."""
+        move = np.flatnonzero(at < to)
+        pos[move] = np.minimum(np.searchsorted(self.x.key, term[move] * self.x.n + to[move]), end[move])
+        at[move] = self._at(term[move], pos[move], end[move])
+
+    def found(self, h: np.ndarray, ptr: np.ndarray) -> list[tuple[int, tuple[int | None, float, float, float]]]:
+        """Row and match of each item that a text is verified to hold."""
+        x = self.x
+        if not x.n:
+            return []
+        passage, term, rows, place = self.passages(h, ptr)
+        best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        cache: dict[tuple[int, int], np.ndarray] = {}
+        for p, seg, score in zip(*(a.tolist() for a in self.search(passage, term))):
+            row, item = int(rows[p]), int(x.item[seg])
+            # the item may begin so many segments before the passage, and end so many after
+            lo = ptr[row] + max(0, int(place[p]) - int(x.place[seg]) - 1) * SEGMENT
+            hi = min(ptr[row + 1], ptr[row] + (int(place[p]) + 2 + int(x.parts[item] - x.place[seg])) * SEGMENT)
+            if (lo, hi) not in cache:
+                own = h[lo:hi]
+                cache[lo, hi] = np.unique(np.concatenate([ngrams(own, np.array([0, len(own)]), GRAM)[0], *(_short(own, n) for n in range(1, GRAM))]))
+            held = []
+            for grams, at in (x.question, x.answer):
+                g = grams[at[item] : at[item + 1]]
+                held.append(float(np.isin(g, cache[lo, hi]).mean()) if len(g) else 1.0)
+            if min(held) >= self.overlap:
+                now = (round(score, 9), *held)
+                best[row, item] = max(best.get((row, item), now), now)
+        return [(row, (x.ids[item], *b)) for (row, item), b in sorted(best.items())]
 
 
 def _short(own: np.ndarray, n: int) -> np.ndarray:
@@ -231,6 +295,16 @@ def _short(own: np.ndarray, n: int) -> np.ndarray:
     return ngrams(parts, np.arange(0, m * n + 1, n), GRAM)[0]
 
 
+def find(searchers: list[Searcher], texts: pa.Array) -> list[list[tuple[int | None, float, float, float]]]:
+    """For each text: item, best score (to nine digits; of equal ones the best overlaps), overlap with question and answer. Texts are tokenised once."""
+    out: list[list] = [[] for _ in range(len(texts))]
+    for i, _, h, ptr in words(texts):
+        for s in searchers:
+            for row, match in s.found(h, ptr):
+                out[i + row].append(match)
+    return out
+
+
 RESULT = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
 _TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
 
@@ -242,19 +316,12 @@ def matches(benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float =
     stats = statistics([t for _, t in rows])
     parts = [spark.sparkContext.broadcast(build(rows[i : i + slice_items], stats)) for i in range(0, max(1, len(rows)), slice_items)]
 
-    def make(part):  # noqa: ANN001, ANN202
-        def start():  # noqa: ANN202
-            searcher = Searcher(part.value, threshold, overlap)
-            fields = ("item_id", "score", "question_overlap", "answer_overlap")
-            return lambda texts: pa.array([[dict(zip(fields, m)) for m in ms] for ms in searcher.matches(texts)], _TYPE)
-
-        return start
-
-    def on(text: Column) -> Column:
-        found = [arrow_map(make(p), RESULT, F.lower(text)) for p in parts]
-        return found[0] if len(found) == 1 else F.concat(*found)
+    def start():  # noqa: ANN202
+        searchers = [Searcher(p.value, threshold, overlap) for p in parts]
+        fields = ("item_id", "score", "question_overlap", "answer_overlap")
+        return lambda texts: pa.array([[dict(zip(fields, m)) for m in ms] for ms in find(searchers, texts)], _TYPE)
 
-    return on
+    return lambda text: arrow_map(start, RESULT, F.lower(text))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

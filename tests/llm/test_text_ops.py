@@ -1,7 +1,9 @@
 """Operators that look at one text at a time, against brute force."""
 
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -135,38 +137,105 @@ def test_long_texts_count_the_same_in_stretches():
 # decontamination (9)
 
 
-def brute_matches(items, texts, threshold, overlap):
-    """BM25 of every passage and segment without an index; then the overlaps."""
-    stats = decontaminate.statistics([t for _, t in items])
-    index = decontaminate.build(items, stats)
-    s = decontaminate.Searcher(index)
-    out = []
-    for text in texts:
-        h = decontaminate.hashed(text or "")
-        found = set()
-        for start in range(0, max(1, len(h)), decontaminate.SEGMENT):
-            passage = set(h[start : start + 2 * decontaminate.SEGMENT].tolist())
-            for seg in range(len(index.segments)):
-                terms, w = s.weights(seg)
-                if sum(x for t, x in zip(terms.tolist(), w.tolist()) if t in passage) >= threshold:
-                    found.add(index.segments[seg])
-        grams = set(decontaminate.grams_of(h).tolist()) | {int(x) for n in (1, 2) for x in decontaminate._short(h, n)}
-        ok = [i for i in found if all(not len(g) or np.mean([int(x) in grams for x in g]) >= overlap for g in index.items[i][1:])]
-        out.append(sorted(index.items[i][0] for i in ok))
-    return out
+def word_list(text):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+
+
+def word_grams(w, n=3):
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+
 
+def brute_matches(items, texts, threshold=0.5, overlap=0.5, size=64):
+    """BM25 by its formula, over words, of every passage and every segment; then the overlaps around the passage. Items and texts as words, nothing of the operator's own."""
+    segs = []  # item, place, words
+    for k, (_, text) in enumerate(items):
+        w = word_list(text)
+        n = -(-len(w) // size)
+        at = 0
+        for j in range(n):
+            step = len(w) // n + (j < len(w) % n)
+            segs.append((k, j, w[at : at + step]))
+            at += step
+    parts = Counter(k for k, *_ in segs)
+    df = Counter(t for *_, w in segs for t in set(w))
+    mean = sum(len(w) for *_, w in segs) / len(segs)
 
-def test_decontamination_equals_brute_force():
-    rng = random.Random(9)
-    words = [f"w{i}" for i in range(60)]
+    def weights(w):
+        out = {}
+        for t, tf in Counter(w).items():
+            out[t] = math.log(1 + (len(segs) - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+        return {t: x / sum(out.values()) for t, x in out.items()}
+
+    weighted = [weights(w) for *_, w in segs]
+    result = []
+    for text in texts:
+        w = word_list(text)
+        found = {}
+        for b in range(max(1, -(-len(w) // size) - 1)):
+            passage = set(w[b * size : (b + 2) * size])
+            for (k, j, _), wt in zip(segs, weighted):
+                score = sum(x for t, x in wt.items() if t in passage)
+                if score < threshold - 1e-9:
+                    continue
+                own = w[max(0, b - j - 1) * size : (b + 2 + parts[k] - j) * size]
+                held = word_grams(own) | {tuple(own[i : i + n]) for n in (1, 2) for i in range(len(own) - n + 1)}
+                sides = [word_grams(word_list(x)) for x in decontaminate.split_item(items[k][1])]
+                share = [len(g & held) / len(g) if g else 1.0 for g in sides]
+                if min(share) >= overlap:
+                    found[k] = max(found.get(k, (0,)), (round(score, 9), *share))
+        result.append(sorted((items[k][0], *(round(x, 6) for x in v)) for k, v in found.items()))
+    return result
+
+
+def planted(seed=9, n=30, vocabulary=60):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(vocabulary)]
     sentence = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    items = [(i, f"{sentence(rng.randint(5, 120))}? {sentence(6)}.") for i in range(30)] + [(98, "single words"), (99, "")]
+    items = [(i, f"{sentence(rng.randint(5, 150))}? {sentence(6)}.") for i in range(n)] + [(98, "single words"), (99, "")]
     texts = [sentence(rng.randint(0, 300)) for _ in range(40)] + [None, ""]
-    texts += [f"{sentence(rng.randint(0, 500))} {t} {sentence(40)}" for _, t in items[:30]] + [" ".join(t for _, t in items)]
-    s = decontaminate.Searcher(decontaminate.build(items, decontaminate.statistics([t for _, t in items])))
-    got = [sorted({m[0] for m in ms}) for ms in s.matches(pa.array(texts))]
-    assert got == brute_matches(items, texts, decontaminate.THRESHOLD, decontaminate.OVERLAP)
-    assert all(i in g for i, g in zip(range(30), got[42:])) and set(range(30)) <= set(got[-1])
+    texts += [f"{sentence(rng.randint(0, 500))} {t} {sentence(40)}" for _, t in items[:n]] + [" ".join(t for _, t in items)]
+    return items, texts
+
+
+def run_search(items, texts, slices=1):
+    stats = decontaminate.statistics([t for _, t in items])
+    step = -(-len(items) // slices)
+    s = [decontaminate.Searcher(decontaminate.build(items[i : i + step], stats)) for i in range(0, len(items), step)]
+    return [sorted((m[0], *(round(x, 6) for x in m[1:])) for m in ms) for ms in decontaminate.find(s, pa.array(texts))]
+
+
+@pytest.mark.parametrize(("seed", "vocabulary", "slices"), [(9, 60, 1), (10, 20, 1), (11, 2000, 1), (12, 60, 4)])
+def test_decontamination_equals_brute_force(seed, vocabulary, slices):
+    items, texts = planted(seed, 30, vocabulary)
+    got = run_search(items, texts, slices)
+    assert got == brute_matches(items, texts)
+    assert all(i in [m[0] for m in g] for i, g in zip(range(30), got[42:])) and set(range(30)) <= {m[0] for m in got[-1]}
+
+
+def test_an_items_grams_elsewhere_in_a_long_text_do_not_count():
+    """The question's and the answer's grams must stand around the passage, not anywhere in the text."""
+    question, answer = " ".join(f"q{i}" for i in range(40)), " ".join(f"a{i}" for i in range(40))
+    filler = " ".join(f"f{i}" for i in range(2000))
+    items = [(1, f"{question}? {answer}.")]
+    texts = [f"{question} {answer}", f"{question} {filler} {answer}", f"{filler} {question} {answer} {filler}"]
+    assert [bool(g) for g in run_search(items, texts)] == [True, False, True]
+    assert run_search(items, texts) == brute_matches(items, texts)
+
+
+def test_the_search_follows_matching_postings_not_items():
+    """A hundred times the items, of words that the texts lack, move hardly any more cursors."""
+    items, texts = planted(13, 30, 60)
+    other = random.Random(5)
+    more = items + [(1000 + i, " ".join(f"z{other.randrange(50_000)}" for _ in range(40))) for i in range(3000)]
+    steps = []
+    for rows in (items, more):
+        s = decontaminate.Searcher(decontaminate.build(rows, decontaminate.statistics([t for _, t in rows])))
+        seek, n = s._seek, [0]
+        s._seek = lambda t, *a, seek=seek, n=n: (n.__setitem__(0, n[0] + len(t)), seek(t, *a))[1]
+        got = decontaminate.find([s], pa.array(texts))
+        assert all(i in [m[0] for m in g] for i, g in zip(range(30), got[42:]))
+        steps.append(n[0])
+    assert steps[1] <= 2 * steps[0]
 
 
 def test_decontamination_of_tables(spark):
