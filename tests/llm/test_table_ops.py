@@ -135,12 +135,13 @@ def test_classes_of_odd_rows(spark):
     assert ngram_join.classes(df.where("false")).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [1 << 20, 0])
+def test_components(spark, local):
     edges = spark.createDataFrame([(1, 2), (2, 3), (7, 6), (9, 9), (3, 1)], "a long, b long")
-    assert sorted((r["node"], r["component"]) for r in components(edges).collect()) == [(1, 1), (2, 1), (3, 1), (6, 6), (7, 6)]
+    assert sorted((r["node"], r["component"]) for r in components(edges, local).collect()) == [(1, 1), (2, 1), (3, 1), (6, 6), (7, 6)]
     path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
-    assert {r["component"] for r in components(path).collect()} == {0}
-    assert components(edges.where("false")).count() == 0
+    assert {r["component"] for r in components(path, local).collect()} == {0}
+    assert components(edges.where("false"), local).count() == 0
 
 
 # exact dedup (5)
@@ -173,10 +174,19 @@ def test_history_removes_repeats_and_groups_the_rest(spark):
     assert sorted(r["doc_id"] for r in exact_dedup.kept(new, history).collect()) == [11, 14]
 
 
+def test_earlier_sources_are_the_history(spark):
+    """a (0cc1...) is an earlier source, b (92eb...) a later one, and so is none (d41d...)."""
+    df = make(spark, [(5, "both"), (6, "both"), (9, "a only"), (9, "a only"), (None, "odd"), (7, None), (3, "twice")], "a")
+    df = df.unionByName(make(spark, [(1, "both"), (2, "b only"), (4, "b only"), (5, "both"), (8, "odd"), (3, "twice")], "b")).unionByName(make(spark, [(0, "b only"), (11, "")], None))
+    for shard in (1 << 17, 1):
+        got = exact_dedup.kept(df, keys_per_shard=shard, old=exact_dedup.historic())
+        assert sorted(((r["doc_id"] if r["doc_id"] is not None else -1), r["text"] or "", r["source"] or "") for r in got.collect()) == [(-1, "odd", "a"), (0, "b only", ""), (3, "twice", "a"), (5, "both", "a"), (7, "", "a"), (9, "a only", "a"), (11, "", "")]
+
+
 # mixing (8)
 
 
-def brute_mix(rows, weights, ratio):
+def brute_mix(rows, weights, ratio, targets=None, other=0.0):
     """rows: doc_id, source, text."""
     import hashlib
     import math
@@ -189,8 +199,9 @@ def brute_mix(rows, weights, ratio):
             by[s].append((-math.log(u) / weights.get(i, mixing.UNKNOWN), i, tokens(t)))
     total = sum(n for x in by.values() for *_, n in x)
     out = []
+    share = {s: 1.0 if targets is None else targets.get(s, other) for s in by}
     for s, x in by.items():
-        budget, all_ = math.floor(total * ratio / len(by)), sum(n for *_, n in x)
+        budget, all_ = math.floor(total * ratio * share[s] / sum(share.values())), sum(n for *_, n in x)
         full, rest = divmod(budget, all_)
         at = 0
         for _, i, n in sorted(x):
@@ -209,6 +220,12 @@ def test_mix_equals_brute_force(spark, ratio):
     got = mixing.mix(df, mixing.label_weights(labels), ratio=ratio, buckets=16)
     assert sorted(((r["doc_id"], r["source"], r["epoch"]) for r in got.collect()), key=repr) == brute_mix(rows, w, ratio)
     assert set(got.columns) == {*df.columns, "epoch"}
+    targets = {"a": 0.5, None: 3.0}
+    got = mixing.mix(df, mixing.label_weights(labels), ratio=ratio, buckets=16, targets=targets, other=1.5)
+    assert sorted(((r["doc_id"], r["source"], r["epoch"]) for r in got.collect()), key=repr) == brute_mix(rows, w, ratio, targets, 1.5)
+    of_column = mixing.mix(df.withColumn("n_chars", F.col("doc_id") % 5), F.col("n_chars") / 4, ratio=ratio, buckets=16)
+    w = {i: max(i % 5 / 4, mixing.LEAST) for i, *_ in rows}
+    assert sorted(((r["doc_id"], r["source"], r["epoch"]) for r in of_column.collect()), key=repr) == brute_mix(rows, w, ratio)
 
 
 def test_mix_of_repeats_targets_and_nothing(spark):
@@ -238,7 +255,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         rows.append((i, " ".join(rng.choice(good if ok else bad) for _ in range(50)), "en", rng.choice(["a", "b"]), 0))
         labels.append((i, int(ok), 0))
     item = "Which distant river carries amber ships home in spring? The long one does."
-    rows += [(500, rows[1][1], "en", "a", 0), (501, rows[2][1].replace("good1 ", "good2 ", 1) + " good3", "en", "a", 0), (502, " ".join(rng.choice(good) for _ in range(40)) + " " + item, "en", "b", 0)]
+    rows += [(500, rows[1][1], "en", rows[1][3], 0), (501, rows[2][1].replace("good1 ", "good2 ", 1) + " good3", "en", "a", 0), (502, " ".join(rng.choice(good) for _ in range(40)) + " " + item, "en", "b", 0)]
     spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
