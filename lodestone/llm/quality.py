@@ -1,40 +1,46 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network with temperature-calibrated probabilities.
 
-Random indexing: every context has a fixed sparse ternary index vector; a word's vector is the weighted sum of the index vectors of the contexts it occurs in.
-Contexts are the neighbouring words and the classes of the labelled documents, the latter weighted by smoothed positive pointwise mutual information.
+Random indexing: every context has a fixed sparse ternary index vector; a word's vector is the sum of the index vectors of the contexts it occurs in. Words have places in two tables of BUCKETS each, by two hashes, and
+go by the less crowded one: so the model is of fixed size and still no word is left out; words that share a place share a vector. Contexts are the neighbouring words, summed over all documents of the corpus (each task sums its own, the sums are
+added up by place), taken as the mean less that of all words, shrunk for rare words; and the classes of labelled documents, weighted by smoothed positive pointwise mutual information.
 A document is pooled to the mean, the maximum and the minimum over its words' vectors, by dimension, so that a few telling words in a long text still show.
-The network is trained on other documents than the vectors, and its temperature fitted on yet others.
+The network is trained on other labelled documents than the class contexts, and its temperature fitted on yet others.
 
-The fit uses at most SAMPLE labelled documents, those with the smallest hash of doc_id; the bound keeps the model, and what trains it, of fixed size. Every document is scored over its
-whole text. good means quality 1 and toxic 0.
+Labels are used of at most SAMPLE documents, those with the smallest hash of doc_id; all else is of the whole corpus. Every document is scored over its whole text. good means quality 1 and toxic 0.
 
 Defined results: labels with a null are left out, and so are conflicting labels of one doc_id; without labelled documents of both kinds every document gets probability 1.
-A null or empty text, or one without known words, gets the score of pooled zeros. Other columns are carried along.
+A null or empty text gets the score of pooled zeros; texts may be of any length; equal texts get equal scores, and rows that are repeated count as often for the vectors; an empty table gives an empty one.
+Other columns, whatever their names, are carried along.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import P, arrow_map, table
-from .textops import DIGIT, KIND, UPPER, HashTable, U, buffers, hash_spans, mix, pieces, spans
+from .common import P, arrow_map, discard, materialise, shuffle_partitions, table
+from .textops import DIGIT, KIND, UPPER, U, buffers, hash_spans, mix, pieces, spans
 
 SAMPLE = 20_000
 DIM = 32
 NONZERO = 6
-VOCABULARY = 1 << 16
-PRIOR = 20.0
+#: Places in each of two tables, a power of 2.
+BUCKETS = 1 << 17
+PRIOR = 8.0
+#: Occurrences at which a word's neighbours count by half.
+RARE = 10.0
 CLASS_WEIGHT = 4.0
 HIDDEN = 32
 KEEP = 0.5
-#: Bytes of text that are cut into tokens at once, and pairs of words that are counted at once: they bound the memory, nothing else.
-PIECE, PAIRS = 1 << 19, 1 << 20
+#: Bytes of text that are cut into tokens at once, and words whose neighbours are summed at once: they bound the memory, nothing else.
+PIECE, WORDS = 1 << 19, 1 << 20
 CLASSES = ("poor", "toxic", "good")
 _CAPS, _NUMBER, _REPEAT = (U(x) for x in (0x5EED0001, 0x5EED0002, 0x5EED0003))
 
@@ -69,96 +75,168 @@ def tokens(texts: pa.Array, most: int = PIECE):
         yield i, h, np.searchsorted(row, np.arange(j - i + 1))
 
 
-def index_vectors(keys: np.ndarray, dim: int = DIM, nonzero: int = NONZERO) -> np.ndarray:
-    """Sparse ternary vectors, a function of the keys alone."""
-    out = np.zeros((len(keys), dim), np.float32)
-    for k in range(nonzero):
-        x = mix(keys + U((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        out[np.arange(len(keys)), (x % U(dim)).astype(np.int64)] += np.where(x >> U(63), 1.0, -1.0)
+def _nonzero(keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the keys' index vectors, which are a function of the keys alone, the k-th dimension that isn't zero, and its sign."""
+    x = mix(keys + U((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    return (x % U(DIM)).astype(np.int64), np.where(x >> U(63), 1.0, -1.0)
+
+
+def index_vectors(keys: np.ndarray) -> np.ndarray:
+    """Sparse ternary vectors."""
+    out = np.zeros((len(keys), DIM), np.float32)
+    for k in range(NONZERO):
+        dim, sign = _nonzero(keys, k)
+        out[np.arange(len(keys)), dim] += sign
     return out
 
 
-def _added(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of two sorted sets of keys, added up."""
-    if not len(keys):
-        return more, m
-    both = np.concatenate([keys, more])
-    order = np.argsort(both, kind="stable")
-    both, n = both[order], np.concatenate([counts, m])[order]
-    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-    return both[first], np.add.reduceat(n, first) if len(first) else n
-
-
-def _by_rows(row: np.ndarray, most: int):  # noqa: ANN202
-    """Ranges of about `most` tokens that end where a row does. row ascends."""
-    lo = 0
-    while lo < len(row):
-        hi = len(row) if lo + most >= len(row) else int(np.searchsorted(row, row[lo + most], "right"))
-        yield lo, hi
-        lo = hi
-
-
-def word_vectors(ids: np.ndarray, row: np.ndarray, classes: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """ids: known words in reading order; row: their documents; classes: by document."""
-    n = len(keys)
-    out = np.zeros((n, DIM), np.float32)
-    index = index_vectors(keys)
-    for a, b in ((0, 1), (1, 0)):
-        pair, c = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for lo in range(0, len(ids) - 1, PAIRS):
-            hi = min(lo + PAIRS, len(ids) - 1)
-            same = row[lo:hi] == row[lo + 1 : hi + 1]
-            more, m = np.unique((ids[lo + a : hi + a].astype(np.int64) * n + ids[lo + b : hi + b])[same], return_counts=True)
-            pair, c = _added(pair, c, more, m)
-        w = np.log1p(c).astype(np.float32)
-        word, ctx = pair // n, pair % n
-        start = np.searchsorted(word, np.arange(n + 1))
-        some = np.flatnonzero(np.diff(start))
-        for lo in range(0, len(some), 4096):
-            part = some[lo : lo + 4096]
-            x, y = start[part[0]], start[part[-1] + 1]
-            out[part] += np.add.reduceat(index[ctx[x:y]] * w[x:y, None], start[part] - x, axis=0)
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    out /= np.maximum(norm, 1e-6)
-    c = np.zeros((n, len(CLASSES)))
-    for lo, hi in _by_rows(row, PAIRS):
-        held = np.unique(row[lo:hi].astype(np.int64) * n + ids[lo:hi])
-        for k in range(len(CLASSES)):
-            c[:, k] += np.bincount((held % n)[classes[held // n] == k], minlength=n)
-    p = np.bincount(classes, minlength=len(CLASSES)) / max(1, len(classes))
-    p = np.maximum(p, 1e-9)
-    lift = np.log((c + PRIOR * p) / (c.sum(1, keepdims=True) + PRIOR) / p)
-    out += (np.maximum(lift, 0) @ index_vectors(np.arange(1, len(CLASSES) + 1, dtype=U) * U(0xC1A55))).astype(np.float32) * CLASS_WEIGHT
+def _both(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A word's two places."""
+    shift = U(64 - int(np.log2(BUCKETS)))
+    return (mix(h) >> shift).astype(np.int64), BUCKETS + (mix(h ^ U(0x5BD1E9955BD1E995)) >> shift).astype(np.int64)
+
+
+@dataclass
+class Places:
+    """By place: the words' occurrences, and the neighbours' part of their vector."""
+
+    n: np.ndarray
+    vectors: np.ndarray
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """The less crowded of each word's two places."""
+        a, b = _both(h)
+        return np.where(self.n[a] <= self.n[b], a, b)
+
+
+class Neighbours:
+    """By place: occurrences, and the sum of their neighbours' index vectors."""
+
+    def __init__(self) -> None:
+        self.n = np.zeros(2 * BUCKETS, np.int64)
+        self.sums = np.zeros((2 * BUCKETS, DIM), np.int32)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, texts: pa.Array) -> None:
+        for _, h, ptr in tokens(texts):
+            joined = np.ones(len(h), bool)  # with the word before
+            joined[ptr[:-1][ptr[:-1] < len(h)]] = False
+            self.held.append((h, joined))
+            self.size += len(h)
+            if self.size >= WORDS:
+                self.flush()
+
+    def flush(self) -> None:
+        if self.size:
+            h, joined = (np.concatenate(x) for x in zip(*self.held))
+            u, at, n = np.unique(h, return_inverse=True, return_counts=True)
+            right = np.flatnonzero(joined)
+            word, context = np.concatenate([at[right], at[right - 1]]), np.concatenate([at[right - 1], at[right]])
+            sums = np.zeros(len(u) * DIM)
+            for k in range(NONZERO):
+                dim, sign = _nonzero(u, k)
+                sums += np.bincount(word * DIM + dim[context], sign[context], len(u) * DIM)
+            sums = sums.reshape(-1, DIM).astype(np.int32)
+            for places in _both(u):
+                order = np.argsort(places, kind="stable")
+                first = np.flatnonzero(np.concatenate([[True], np.diff(places[order]) > 0]))
+                self.n[places[order[first]]] += np.add.reduceat(n[order], first)
+                self.sums[places[order[first]]] += np.add.reduceat(sums[order], first, axis=0)
+        self.held, self.size = [], 0
+
+
+def vectors_of(n: np.ndarray, sums: np.ndarray, all_n: int, all_sums: np.ndarray) -> np.ndarray:
+    """The neighbours' part of the words' vectors: the direction in which they differ from all words', of length n / (n + RARE)."""
+    mean = sums / np.maximum(n, 1)[:, None] - all_sums / max(1, all_n)
+    out = mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-6) * (n / (n + RARE))[:, None]
+    return (out * (n > 0)[:, None]).astype(np.float16)
+
+
+def places_of(texts: pa.Array) -> Places:
+    x = Neighbours()
+    x.add(texts)
+    x.flush()
+    return Places(x.n, vectors_of(x.n, x.sums, x.n.sum(), x.sums.sum(0, dtype=np.int64)))
+
+
+def corpus_places(docs: DataFrame) -> Places:
+    """Over all documents. Tasks send sums of the places that they have; what the driver gets is a vector a place, so its size is BUCKETS', not the corpus's."""
+    parts = 16
+    step = 2 * BUCKETS // parts
+    salts = max(1, shuffle_partitions(docs.sparkSession) // parts)  # sums are added up in two steps, so that no task adds those of all others
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, salt = Neighbours(), TaskContext.get().partitionId() % salts
+        for b in batches:
+            x.add(b.column(0))
+        x.flush()
+        for p in range(parts):
+            own = np.flatnonzero(x.n[p * step : (p + 1) * step])
+            if len(own):
+                s = x.sums[p * step + own]
+                wide = bool(np.abs(s).max() >= 1 << 15)
+                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "salt": pa.array([salt], pa.int32()), "wide": pa.array([wide]), "at": pa.array([own.astype(np.int32).tobytes()]), "n": pa.array([x.n[p * step + own].tobytes()]), "sums": pa.array([s.astype(np.int64 if wide else np.int16).tobytes()])})
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = np.zeros(step, np.int64), np.zeros((step, DIM), np.int64)
+        for b in batches:
+            for wide, at, k, s in zip(*(b.column(c).to_pylist() for c in ("wide", "at", "n", "sums"))):
+                own = np.frombuffer(at, np.int32)
+                n[own] += np.frombuffer(k, np.int64)
+                sums[own] += np.frombuffer(s, np.int64 if wide else np.int16).reshape(-1, DIM)
+        own = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "wide": pa.array([True]), "at": pa.array([own.astype(np.int32).tobytes()]), "n": pa.array([n[own].tobytes()]), "sums": pa.array([sums[own].tobytes()])})
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                yield pa.RecordBatch.from_pydict({"n": pa.array([int(np.frombuffer(n, np.int64).sum())]), "sums": pa.array([np.frombuffer(s, np.int64).reshape(-1, DIM).sum(0).tolist()])})
+
+    kind = "part int, salt int, wide boolean, at binary, n binary, sums binary"
+    found = docs.where("text is not null").select("text").mapInArrow(count, kind).groupBy("part", "salt").applyInArrow(add, kind)
+    if salts > 1:
+        found = found.groupBy("part").applyInArrow(add, kind)
+    found = materialise(found, "neighbours")
+    rows = found.select("n", "sums").mapInArrow(total, "n long, sums array<long>").collect()
+    all_n, all_sums = sum(r["n"] for r in rows), np.array([r["sums"] for r in rows] or [[0] * DIM]).sum(0)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, at, k, s in zip(*(b.column(c).to_pylist() for c in range(4))):
+                n = np.frombuffer(k, np.int64)
+                v = vectors_of(n, np.frombuffer(s, np.int64).reshape(-1, DIM), all_n, all_sums)
+                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "at": pa.array([at]), "n": pa.array([k]), "vectors": pa.array([v.tobytes()])})
+
+    out = Places(np.zeros(2 * BUCKETS, np.int64), np.zeros((2 * BUCKETS, DIM), np.float16))
+    for p, at, k, v in found.select("part", "at", "n", "sums").mapInArrow(finish, "part int, at binary, n binary, vectors binary").toLocalIterator():
+        own = p * step + np.frombuffer(at, np.int32)
+        out.n[own] = np.frombuffer(k, np.int64)
+        out.vectors[own] = np.frombuffer(v, np.float16).reshape(-1, DIM)
+    discard(found)
     return out
 
 
 class Model:
-    """Vectors, network and temperature. Without a network every probability is 1."""
+    """Vectors by place, network and temperature. Without a network every probability is 1."""
 
-    def __init__(self, keys: np.ndarray, vectors: np.ndarray):
-        self.keys, self.vectors = keys, vectors
+    def __init__(self, places: Places):
+        self.places = places
         self.net: tuple[np.ndarray, ...] | None = None
         self.shift = self.scale = None
         self.temperature = 1.0
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_table"}
-
     def features(self, texts: pa.Array) -> np.ndarray:
-        if not hasattr(self, "_table"):
-            self._table = HashTable(self.keys)
         out = np.zeros((len(texts), 3 * DIM), np.float32)
-        n = max(1, len(self.keys))
         for i, h, ptr in tokens(texts):
-            at, k = self._table.find(h)
-            if not len(at):
+            if not len(h):
                 continue
-            row = np.searchsorted(ptr, at, "right") - 1
-            key, count = np.unique(row * n + k, return_counts=True)
-            row, k = key // n, key % n
+            row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+            key, count = np.unique(row * 2 * BUCKETS + self.places.of(h), return_counts=True)
+            row, k = key // (2 * BUCKETS), key % (2 * BUCKETS)
             first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
             who = i + row[first]
-            v = self.vectors[k]
+            v = self.places.vectors[k].astype(np.float32)
             out[who, DIM : 2 * DIM] = np.maximum.reduceat(v, first, axis=0)
             out[who, 2 * DIM :] = np.minimum.reduceat(v, first, axis=0)
             v *= count[:, None].astype(np.float32)
@@ -196,38 +274,30 @@ def _network(x: np.ndarray, y: np.ndarray, epochs: int = 60, batch: int = 256, s
     return tuple(p)
 
 
-def fit(texts: pa.Array, classes: np.ndarray) -> Model:
-    """classes: positions in CLASSES. Documents must be in random order: the first half makes the vectors, the next 40 % the network, the rest the temperature.
-    Where that leaves the network fewer than 2 of either kind, or there are fewer than 20 in all, every document makes vectors and network, of all their words, and the temperature is 1."""
+def fit(texts: pa.Array, classes: np.ndarray, base: Places | None = None) -> Model:
+    """classes: positions in CLASSES; base: the places and the neighbours' part of their vectors, by default of these texts. Documents must be in random order: the first half makes the class contexts, the next 40 % the network, the rest the
+    temperature. Where that leaves the network fewer than 2 of either kind, or there are fewer than 20 in all, every document makes contexts and network, and the temperature is 1."""
     n = len(classes)
     good = (classes == 2).astype(np.float64)
     if not 0 < good.sum() < n:
-        return Model(np.zeros(0, U), np.zeros((0, DIM), np.float32))
+        return Model(Places(np.zeros(0, np.int64), np.zeros((0, DIM), np.float16)))
+    base = places_of(texts) if base is None else base
     a, b = n // 2, n - max(1, n // 10)
     few = n < 20 or min(good[a:b].sum(), (1 - good[a:b]).sum()) < 2
     if few:
         a = b = n
-    first = texts.slice(0, a)
-    keys, df = np.zeros(0, U), np.zeros(0, np.int64)
-    for _, h, ptr in tokens(first):
+    c = np.zeros((2 * BUCKETS, len(CLASSES)))
+    for i, h, ptr in tokens(texts.slice(0, a)):
         row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
-        order = np.lexsort((h, row))
-        h, row = h[order], row[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-        keys, df = _added(keys, df, *np.unique(h[new], return_counts=True))
-    top = np.sort(np.lexsort((keys, -df))[:VOCABULARY])
-    top = top[df[top] >= (1 if few else 3)]
-    keys = keys[top]
-    known, ids, rows = HashTable(keys), [], []
-    for i, h, ptr in tokens(first):
-        at, k = known.find(h)
-        ids.append(k.astype(np.int32))
-        rows.append((i + np.searchsorted(ptr, at, "right") - 1).astype(np.int32))
-    if len(top) == 0:
-        return Model(np.zeros(0, U), np.zeros((0, DIM), np.float32))
-    model = Model(keys, word_vectors(np.concatenate(ids), np.concatenate(rows), classes[:a], keys))
-    del ids, rows
+        held = np.unique(row * 2 * BUCKETS + base.of(h))
+        kind = classes[i + held // (2 * BUCKETS)]
+        for k in range(len(CLASSES)):
+            c[:, k] += np.bincount(held[kind == k] % (2 * BUCKETS), minlength=2 * BUCKETS)
+    p = np.maximum(np.bincount(classes[:a], minlength=len(CLASSES)) / max(1, a), 1e-9)
+    lift = np.log((c + PRIOR * p) / (c.sum(1, keepdims=True) + PRIOR) / p)
+    kinds = index_vectors(np.arange(1, len(CLASSES) + 1, dtype=U) * U(0xC1A55))
+    model = Model(Places(base.n, (base.vectors + (np.maximum(lift, 0) @ kinds) * CLASS_WEIGHT).astype(np.float16)))
+    del c, lift
     if few:
         a = 0  # the network's documents, up to b
     x = model.features(texts.slice(a))
@@ -242,7 +312,7 @@ def fit(texts: pa.Array, classes: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits in one task of an executor; what comes to the driver is the model, of at most VOCABULARY vectors."""
+    """The vectors are the whole corpus's; class contexts, network and temperature are fitted in one task of an executor. What comes to the driver is the model, of a vector a place."""
     q, t = F.min("quality"), F.max("toxic")
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias(f"{P}l"))
     known = known.agg(F.when(t == 1, 1).when(q == 1, 2).otherwise(0).alias(f"{P}c"), (F.min("quality") == F.max("quality")).alias(f"{P}a"), (F.min("toxic") == F.max("toxic")).alias(f"{P}b")).where(f"{P}a and {P}b")
@@ -250,15 +320,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias(f"{P}i"), F.col("text").alias(f"{P}t"))
     rows = texts.join(F.broadcast(known), F.col(f"{P}i") == F.col(f"{P}l")).select(F.xxhash64(f"{P}i").alias(f"{P}o"), f"{P}i", f"{P}t", f"{P}c")
 
+    base = docs.sparkSession.sparkContext.broadcast(corpus_places(docs))
+
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([(f"{P}o", "ascending"), (f"{P}i", "ascending"), (f"{P}t", "ascending")])
         texts, classes = t[f"{P}t"].combine_chunks(), t[f"{P}c"].to_numpy().astype(np.int64)
         del t
         pa.default_memory_pool().release_unused()
-        return pa.table({"model": pa.array([pickle.dumps(fit(texts, classes))], pa.binary())})
+        return pa.table({"model": pa.array([pickle.dumps(fit(texts, classes, base.value))], pa.binary())})
 
     found = rows.groupBy(F.lit(0).alias(f"{P}g")).applyInArrow(lambda t: run(t), "model binary").collect()
-    return pickle.loads(found[0][0]) if found else Model(np.zeros(0, U), np.zeros((0, DIM), np.float32))
+    base.unpersist()
+    return pickle.loads(found[0][0]) if found else Model(Places(np.zeros(0, np.int64), np.zeros((0, DIM), np.float16)))
 
 
 def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
