@@ -275,31 +275,42 @@ def test_quality_without_labels_keeps_everything(spark):
 # URLs (10)
 
 
-def brute_split(s, name):
-    best = {0: (0.0, ())}
+def log_share(shares, w):
+    return math.log(shares[w]) if w in shares else math.log(url_filter.UNKNOWN) - len(w) * math.log(26)
+
+
+def brute_split(shares, name):
+    """The best score of all ways to split."""
+    best = [0.0] + [-math.inf] * len(name)
     for j in range(1, len(name) + 1):
-        options = []
-        for i in range(j):
-            w = name[i:j]
-            lp = s.logs[w] if w in s.logs else s.unknown(len(w))
-            options.append((best[i][0] + lp, best[i][1] + (w,)))
-        best[j] = max(options, key=lambda o: o[0])
-    return best[len(name)]
+        best[j] = max(best[i] + log_share(shares, name[i:j]) for i in range(j))
+    return best[-1]
 
 
-def test_segmentation_is_the_likeliest(spark):
-    s = url_filter.Segmenter({"cheap": 50, "pills": 40, "online": 60, "on": 100, "line": 30, "lines": 5, "hea": 2, "p": 1})
+def test_segmentation_is_the_likeliest():
+    shares = {w: n / 288 for w, n in {"cheap": 50, "pills": 40, "online": 60, "on": 100, "line": 30, "lines": 5, "hea": 2, "p": 1}.items()}
+    s = url_filter.Segmenter(shares)
     rng = random.Random(4)
     for name in ["cheappillsonline", "onlines", "zzzz", "cheapzzpills"] + ["".join(rng.choice(["cheap", "on", "line", "s", "q", "p"]) for _ in range(5)) for _ in range(50)]:
         got = s.split(name)
-        score = sum(s.logs[w] if w in s.logs else s.unknown(len(w)) for w in got)
-        assert "".join(got) == name and score == pytest.approx(brute_split(s, name)[0])
-    assert s.split("cheappillsonline") == ("cheap", "pills", "online") and len("".join(s.split("x" * 5000))) == 5000
+        assert "".join(got) == name and sum(log_share(shares, w) for w in got) == pytest.approx(brute_split(shares, name))
+    assert s.split("cheappillsonline") == ("cheap", "pills", "online") and s.split("x" * 5000) == ("x" * 5000,)
 
 
 def test_urls_of_a_table(spark):
     pages = [(i, f"http://cheapcasino{i % 3}.example.com/win/{i}", "<title>win</title>") for i in range(20)] + [(100 + i, f"http://gardenschool.example.org/lesson/{i}", "<title>garden lesson</title>") for i in range(20)]
     df = spark.createDataFrame([*pages, (None, None, None), (7, "not a url", "")], "page_id long, url string, html string")
     got = {r["page_id"]: r for r in url_filter.scored(df).collect() if r["url"] != "not a url"}
-    assert all(got[i]["blocked"] == (i < 100) for i, *_ in pages) and got[1]["host_words"] == "cheap casino" and not got[None]["blocked"]
+    assert all(got[i]["blocked"] == (i < 100) for i, *_ in pages) and got[1]["host_words"] == "cheap casino example" and not got[None]["blocked"]
     assert url_filter.scored(df.where("false")).count() == 0
+
+
+def test_names_split_alike_at_any_size(spark):
+    """The same pages a thousand times give the same splits."""
+    rng = random.Random(2)
+    words = [f"{a}{b}" for a in ("ca", "sino", "gar", "den") for b in ("", "s", "ing", "er")]
+    pages = [(i, f"http://{rng.choice(words)}{rng.choice(words)}{rng.choice(words)}.example.com/{rng.choice(words)}", f"<title>{' '.join(rng.choice(words) for _ in range(6))}</title>", None) for i in range(40)]
+    one = spark.createDataFrame([*pages, pages[0]], "page_id long, url string, html string, words string")
+    many = one.crossJoin(spark.range(1000).select(F.col("id").alias("host")))
+    split = lambda df: {(r["page_id"], r["host_words"]) for r in url_filter.scored(df).select("page_id", "host_words").distinct().collect()}
+    assert split(one) == split(many) and len(split(one)) == 40

@@ -1,11 +1,10 @@
 """Counts of the whole corpus, whatever its vocabulary."""
 
 import math
-from collections import Counter
+from collections import defaultdict
 from itertools import product
 
 import pytest
-from pyspark.sql import functions as F
 
 pytest.importorskip("lodestone.llm")
 
@@ -20,16 +19,29 @@ def test_url_words_beyond_any_cap_are_counted(spark):
     assert url_filter.scored(df).where("page_id = 1000").first()["host_words"] == "zworchard zwmeadow"
 
 
+def bayes(rows):
+    """Multinomial naive Bayes over (words, probability of bad), by dictionaries: the words' odds, the prior's."""
+    n = [defaultdict(float), defaultdict(float)]
+    for words, bad in rows:
+        for w in words:
+            n[0][w] += 1 - bad
+            n[1][w] += bad
+    a, v, total = url_filter.ALPHA, len({*n[0], *n[1]}) + 1, [sum(x.values()) for x in n]
+    odds = {w: math.log((n[1][w] + a) / (total[1] + a * v)) - math.log((n[0][w] + a) / (total[0] + a * v)) for w in n[0]}
+    return odds, math.log((sum(b for _, b in rows) + 1) / (sum(1 - b for _, b in rows) + 1))
+
+
 def test_url_scores_equal_naive_bayes_over_all_words(spark):
     hosts = ["cheapcasino", "gardenschool", "casino-news", "x"]
-    df = spark.createDataFrame([(i, f"http://{hosts[i % 4]}.example.com/p{'ab'[i % 2]}x/{'uvw'[i % 3]}", "") for i in range(30)] + [(99, None, None)], "page_id long, url string, html string")
-    got = {r["page_id"]: r for r in url_filter.scored(df).collect()}
-    words = {i: r["host_words"].split() + url_filter.path_words(r["url"] or "") for i, r in got.items()}
-    bad = {i: bool(url_filter.BAD & set(r["host_words"].split())) for i, r in got.items()}
-    n = [Counter(w for i in words if bad[i] == k for w in words[i]) for k in (False, True)]
-    v = len({*n[0], *n[1]}) + 1
-    prior = math.log((sum(bad.values()) + 1) / (len(bad) - sum(bad.values()) + 1))
-    for i, r in got.items():
-        odds = sum(math.log((n[1][w] + 1) / (n[1].total() + v)) - math.log((n[0][w] + 1) / (n[0].total() + v)) for w in words[i])
-        assert r["score"] == pytest.approx(prior + odds)
-    assert df.count() == len(got) == url_filter.scored(df).select(F.countDistinct("page_id")).first()[0]
+    df = spark.createDataFrame([(i, f"http://{hosts[i % 4]}.example.com/p{'ab'[i % 2]}x/{'uvw'[i % 3]}", "") for i in range(30)] + [(99, None, None), (5, f"http://{hosts[1]}.example.com/pbx/w", "")], "page_id long, url string, html string")
+    seeds = {1: ["casinocheap", "cheapbets"], 0: ["school", "gardennews"]}
+    got = url_filter.scored(df, seeds=seeds).collect()
+    words = [r["host_words"].split() + url_filter.path_words(r["url"] or "") for r in got]
+    examples = [(x, k) for k, xs in ((1, [["casino", "cheap"], ["cheap", "bets"]]), (0, [["school"], ["garden", "news"]])) for x in xs]
+    odds, _ = bayes(examples)
+    first = math.log(url_filter.BAD_SHARE / (1 - url_filter.BAD_SHARE))
+    guess = [1 / (1 + math.exp(-(first + sum(odds.get(w, 0) for w in ws)))) for ws in words]
+    odds, prior = bayes([*zip(words, guess), *examples])
+    assert len(got) == df.count()
+    for r, ws in zip(got, words):
+        assert r["score"] == pytest.approx(prior + sum(odds[w] for w in ws)) and r["blocked"] == (r["score"] > 0)
