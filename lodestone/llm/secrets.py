@@ -8,7 +8,10 @@ A rule's last run of one class of bytes would make exponentially many states, as
 most advanced, since what ends that one ends the others; and of the run it reads TAIL bytes, else the runs of several rules within each other would multiply. The stretches to which the
 rules are applied reach as far as the longest match to both sides, so that no match is lost.
 
-Defined results: of each rule the leftmost, then longest matches that don't overlap; null and empty texts have none; a null doc_id is carried through; repeated rows each give theirs.
+Assigned secrets are found under names in any case, with values of any token's letters, digits and signs.
+
+Defined results: of each rule the leftmost, then longest matches that don't overlap; null and empty texts have none; texts of any length are scanned whole; a null doc_id is carried through; repeated rows each give theirs;
+an empty table gives no rows; bytes of a match that are no UTF-8 (a rule may cut a character) are replaced. Other columns, whatever their names, are not touched.
 """
 
 from __future__ import annotations
@@ -25,6 +28,12 @@ from pyspark.sql import functions as F
 from .common import arrow_map, table
 from .textops import buffers, pieces
 
+
+def any_case(pattern: str) -> str:
+    """A pattern of letters and signs without classes, whose letters match in both cases."""
+    return re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", pattern)
+
+
 RULES = {
     "aws_access_key": "(?:AKIA|ASIA)[0-9A-Z]{16}",
     "github_token": "gh[pousr]_[0-9A-Za-z]{36}",
@@ -32,18 +41,9 @@ RULES = {
     "google_api_key": "AIza[0-9A-Za-z_-]{35}",
     "stripe_key": "sk_(?:live|test)_[0-9A-Za-z]{24}",
     "private_key": "-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----",
-    "assigned_secret": "(?:password|passwd|secret|token|api_key|apikey|access_key) ?[=:] ?[\"']?[0-9a-f]{16,64}[\"']?",
+    "assigned_secret": "(?:" + any_case("password|passwd|secret|token|api_key|apikey|access_key") + ") ?[=:] ?[\"']?[0-9A-Za-z_+/.=-]{16,64}[\"']?",
     "basic_auth_url": "https?://[a-z0-9_]{2,24}:[A-Za-z0-9_]{4,32}@",
 }
-
-
-def any_case(pattern: str) -> str:
-    """A pattern of letters and signs without classes, whose letters match in both cases."""
-    return re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", pattern)
-
-
-#: RULES, with assigned secrets under names in any case and with values of any token's letters, digits and signs. OP3_SQL, which op3_secrets must equal, is made of RULES.
-WIDE_RULES = RULES | {"assigned_secret": "(?:" + any_case("password|passwd|secret|token|api_key|apikey|access_key") + ") ?[=:] ?[\"']?[0-9A-Za-z_+/.=-]{16,64}[\"']?"}
 LANE = 2048
 #: Bytes of a rule's last run that the automaton reads; the rule itself, applied there, reads all.
 TAIL = 3
@@ -356,7 +356,7 @@ def find(a: Automaton, texts: pa.Array) -> list[list[tuple[int, int, str]]]:
                 if stop is not None and stop - a.reach < hi:
                     hi = stop + a.reach
                     continue
-                out[i + r] += [(rule, m.start(), m.group().decode()) for m in compiled[rule].finditer(text, lo, hi)]
+                out[i + r] += [(rule, m.start(), m.group().decode(errors="replace")) for m in compiled[rule].finditer(text, lo, hi)]
                 if stop is not None:
                     lo, hi = stop - a.reach, stop + a.reach
     return out
@@ -383,12 +383,6 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.explode(secrets(spark)(F.col("text"))).alias("s")).select("doc_id", "s.rule", "s.match")
 
 
-def op3_secrets_any_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each secret by WIDE_RULES: doc_id, rule, match."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.select("doc_id", F.explode(secrets(spark, WIDE_RULES)(F.col("text"))).alias("s")).select("doc_id", "s.rule", "s.match")
-
-
 def _quoted(pattern: str) -> str:
     return pattern.replace("'", "''")
 

@@ -13,7 +13,7 @@ from lodestone.llm import secrets  # noqa: E402
 
 @pytest.fixture(scope="module")
 def automaton():
-    return secrets.compile_rules(secrets.WIDE_RULES)
+    return secrets.compile_rules(secrets.RULES)
 
 
 def test_names_and_values_in_any_case(automaton):
@@ -26,5 +26,5 @@ def test_wide_rules_equal_themselves(automaton):
     rng = random.Random(6)
     bits = ["AIza", "xoxb-", "a1B2c3d4", "0" * 9, "ghp_", "TOKEN = '", '"', "secret=", "https://ab", ":", "@", " ", "é", "AKIA", "Z" * 5, "Api_Key:", "f" * 16, "-----BEGIN PRIVATE KEY-----", "-/+"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 300))) for _ in range(150)]
-    want = [sorted((k, m.start(), m.group().decode()) for k, p in enumerate(secrets.WIDE_RULES.values()) for m in re.finditer(p.encode(), t.encode())) for t in texts]
+    want = [sorted((k, m.start(), m.group().decode()) for k, p in enumerate(secrets.RULES.values()) for m in re.finditer(p.encode(), t.encode())) for t in texts]
     assert [sorted(g) for g in secrets.find(automaton, pa.array(texts))] == want and sum(map(len, want)) > 300
