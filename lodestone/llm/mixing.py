@@ -4,10 +4,13 @@ A source's budget is its share of the token budget. While a source's tokens fit,
 each document has an exponential key -ln(u) / w, with u from a hash of its doc_id and w its quality weight; in the order of the keys a document is
 taken as long as the sum of tokens up to and with it stays within the rest of the budget.
 
+Target weights are given by source (TARGETS for op8_mix and the pipeline; sources without one have OTHER). Quality weights are those of labels, or any column of the documents, such as a classifier's probability.
+
 Sorting a source needs no single task: keys fall into buckets, tokens are summed by bucket, and only the bucket in which a source's budget runs out is sorted.
 
-Defined results: a null source is a source; documents without words, or without a text, are never taken; without a label the weight is UNKNOWN; equal keys go by
-doc_id, then text. A source with target weight 0 gives nothing. Other columns are carried along.
+Defined results: a null source is a source; documents without words, or without a text, are never taken; without a label, or with a null weight, it is UNKNOWN, and no weight is below LEAST; equal keys go by
+doc_id, then by a hash of the text; rows equal in all three are drawn as often as they occur. A source with target weight 0 gives nothing, an empty table an empty one; texts may be of any length. Other columns,
+whatever their names, are carried along; an epoch that there was is replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +24,10 @@ SEED = "lodestone-1"
 #: Of the tokens that there are, the budget.
 RATIO = 1.0
 BUCKETS = 1 << 14
-GOOD, POOR, TOXIC, UNKNOWN = 1.0, 0.5, 0.25, 0.75
+GOOD, POOR, TOXIC, UNKNOWN, LEAST = 1.0, 0.5, 0.25, 0.75, 1e-3
+#: Target weights of sources, and of all others.
+TARGETS: dict[str | None, float] = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
+OTHER = 1.0
 
 
 def tokens(text: Column) -> Column:
@@ -39,12 +45,15 @@ def label_weights(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy(F.col("doc_id").alias(f"{P}l")).agg(F.when(t == 1, TOXIC).when(q == 0, POOR).when(q == 1, GOOD).otherwise(UNKNOWN).alias(f"{P}w"))
 
 
-def select(docs: DataFrame, weights: DataFrame, targets: dict[str | None, float] | None = None, ratio: float = RATIO, seed: str = SEED, buckets: int = BUCKETS) -> DataFrame:
-    """weights: _lds_l (doc_id) and _lds_w. A row for each doc_id, source, text digest that is taken: _lds_id, _lds_s, _lds_x, its complete epochs _lds_full, and _lds_part
-    of its equal rows are taken once more. targets: weights by source; None: all the same."""
-    d = docs.select(F.col("doc_id").alias(f"{P}id"), F.col("source").alias(f"{P}s"), F.xxhash64("text").alias(f"{P}x"), tokens(F.col("text")).alias(f"{P}t"))
+def select(docs: DataFrame, weights: DataFrame | Column, targets: dict[str | None, float] | None = None, ratio: float = RATIO, seed: str = SEED, buckets: int = BUCKETS, other: float = 0.0) -> DataFrame:
+    """weights: _lds_l (doc_id) and _lds_w, or a column of docs. A row for each doc_id, source, text digest that is taken: _lds_id, _lds_s, _lds_x, its complete epochs _lds_full, and _lds_part
+    of its equal rows are taken once more. targets: weights by source, other: of the rest; None: all the same."""
+    own = [weights.alias(f"{P}w")] if isinstance(weights, Column) else []
+    d = docs.select(F.col("doc_id").alias(f"{P}id"), F.col("source").alias(f"{P}s"), F.xxhash64("text").alias(f"{P}x"), tokens(F.col("text")).alias(f"{P}t"), *own)
     d = d.where(F.col(f"{P}t") > 0)
-    d = d.join(weights, F.col(f"{P}id") == F.col(f"{P}l"), "left").withColumn(f"{P}w", F.coalesce(f"{P}w", F.lit(UNKNOWN))).drop(f"{P}l")
+    if not own:
+        d = d.join(weights, F.col(f"{P}id") == F.col(f"{P}l"), "left").drop(f"{P}l")
+    d = d.withColumn(f"{P}w", F.greatest(F.coalesce(f"{P}w", F.lit(UNKNOWN)), F.lit(LEAST)))
     d = d.withColumn(f"{P}k", -F.log(uniform(F.col(f"{P}id"), seed)) / F.col(f"{P}w"))
     d = materialise(d.withColumn(f"{P}b", F.floor((1 - F.exp(-F.col(f"{P}k") / 2)) * buckets).cast("int")), "keys")
     cells = materialise(d.groupBy(f"{P}s", f"{P}b").agg(F.sum(f"{P}t").alias(f"{P}sum")), "cells")
@@ -52,7 +61,7 @@ def select(docs: DataFrame, weights: DataFrame, targets: dict[str | None, float]
     if targets is None:
         total = total.withColumn(f"{P}target", F.lit(1.0))
     else:
-        share = F.lit(0.0)
+        share = F.lit(float(other))
         for source, x in targets.items():
             share = F.when(F.col(f"{P}s").eqNullSafe(F.lit(source)), float(x)).otherwise(share)
         total = total.withColumn(f"{P}target", share)
@@ -74,7 +83,7 @@ def select(docs: DataFrame, weights: DataFrame, targets: dict[str | None, float]
     return taken.groupBy(f"{P}id", f"{P}s", f"{P}x").agg(F.min(f"{P}full").alias(f"{P}full"), F.count("*").alias(f"{P}rows"), F.sum(F.col(f"{P}in").cast("long")).alias(f"{P}part"), F.min(f"{P}k").alias(f"{P}k"), F.min(f"{P}t").alias(f"{P}t"))
 
 
-def mix(docs: DataFrame, weights: DataFrame, **how) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | Column, **how) -> DataFrame:
     """The taken rows of docs, once for each epoch (column epoch, from 0; it replaces an epoch that docs have). The last epoch of a source is the fractional one."""
     chosen = select(docs, weights, **how)
     # equal rows: each is in every complete epoch; in the fractional one as many of them as were drawn
@@ -92,7 +101,7 @@ def mix(docs: DataFrame, weights: DataFrame, **how) -> DataFrame:
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, tokens and epoch of every draw."""
-    chosen = select(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), label_weights(table(spark, sf_dir, "labels")))
+    chosen = select(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), label_weights(table(spark, sf_dir, "labels")), TARGETS, other=OTHER)
     draws = F.sequence(F.lit(1).cast("long"), F.col(f"{P}full") * F.col(f"{P}rows") + F.col(f"{P}part"))
     draws = chosen.where(F.col(f"{P}full") + F.col(f"{P}part") > 0).select(f"{P}id", f"{P}s", f"{P}t", f"{P}rows", F.explode(draws).alias(f"{P}i"))
     return draws.select(F.col(f"{P}id").alias("doc_id"), F.col(f"{P}s").alias("source"), F.col(f"{P}t").alias("tokens"), F.floor((F.col(f"{P}i") - 1) / F.col(f"{P}rows")).cast("long").alias("epoch"))
@@ -104,7 +113,8 @@ def mix_sql(docs: str = "documents") -> str:
 t AS (SELECT d.*, CAST(len(regexp_extract_all(d.text, '[^ \\t\\n\\r]+')) AS BIGINT) AS tokens FROM {docs} d),
 k AS (SELECT t.*, -ln((CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(t.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / {1 << 52}::DOUBLE) / coalesce(w.w, {UNKNOWN})::DOUBLE AS k FROM t LEFT JOIN w ON t.doc_id = w.doc_id WHERE tokens > 0),
 s AS (SELECT source, sum(tokens) AS all_ FROM k GROUP BY source),
-b AS (SELECT source, all_, floor((SELECT sum(all_) FROM s)::DOUBLE * {RATIO} / (SELECT count(*) FROM s)) AS budget FROM s),
+g AS (SELECT source, all_, (CASE {" ".join(f"WHEN source = '{x}' THEN {w}" for x, w in TARGETS.items())} ELSE {OTHER} END)::DOUBLE AS target FROM s),
+b AS (SELECT source, all_, floor((SELECT sum(all_) FROM s)::DOUBLE * {RATIO} * target / (SELECT sum(target) FROM g)) AS budget FROM g),
 r AS (SELECT source, floor(budget / all_) AS full_, budget - floor(budget / all_) * all_ AS rest FROM b),
 c AS (SELECT k.*, r.full_, r.rest, sum(tokens) OVER (PARTITION BY k.source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) AS to_ FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source),
 taken AS (SELECT c.*, CAST(full_ + CASE WHEN to_ <= rest THEN 1 ELSE 0 END AS BIGINT) AS n FROM c)"""
