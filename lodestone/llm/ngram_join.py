@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import P, discard, materialise, shuffle_partitions, table
-from .components import components
+from .components import components, forest
 from .textops import U, buffers, mix, ngrams, pieces, words
 
 N = 3
@@ -270,29 +270,6 @@ def _signature_rows(theta: float, parts: int):
     return run
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For edges a-b: each node of a component that isn't its smallest, and the smallest."""
-    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = inverse[: len(a)], inverse[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        new = new[new]
-        while True:
-            again = new[new]
-            if (again == new).all():
-                break
-            new = again
-        if (new == label).all():
-            break
-        label = new
-    other = label != np.arange(len(nodes))
-    return nodes[other], nodes[label[other]]
-
-
 def _links(theta: float):
     """Sets that share a signature, and whose sizes allow the similarity, as a forest."""
 
