@@ -1,23 +1,37 @@
 """The corpus pipeline: documents in, a training mixture out.
 
 Every stage reads what its predecessor wrote and takes its decisions on all of it: the quality classifier drops what it rejects, exact dedup keeps one of equal texts, the n-gram join one of
-each group of near duplicates, decontamination drops what holds a test item, and mixing draws from the sources. All but the last return the columns of documents.
+each group of near duplicates, decontamination drops what holds a test item, and mixing draws from the sources, by their target weights and by the probability that the classifier gives a document. All but the last
+return the columns of documents. The classifier is fitted once, on the documents that run() begins with.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, exact_dedup, mixing, ngram_join, quality
-from lodestone.llm.common import materialise, table
+from lodestone.llm.common import discard, materialise, table
+
+
+#: The classifiers of this application's corpora. A stage that runs in another one fits the same.
+_models: dict[tuple[str, str], quality.Model] = {}
+
+
+def _probability(spark: SparkSession, sf_dir: str) -> Column:
+    """Of the documents that the classifier is to keep."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _models:
+        _models[key] = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.scorer(spark, _models[key])(F.col("text"))
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.clean(docs, table(spark, sf_dir, "labels"))
+    return docs.where(_probability(spark, sf_dir) >= quality.KEEP)
 
 
 def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.kept(docs)
+    return exact_dedup.kept(docs, old=exact_dedup.historic())
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +43,7 @@ def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, mixing.label_weights(table(spark, sf_dir, "labels")))
+    return mixing.mix(docs, _probability(spark, sf_dir), targets=mixing.TARGETS, other=mixing.OTHER)
 
 
 STAGES = [
@@ -46,6 +60,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES):
+        after = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:
+            discard(docs)
+        docs = after
     return docs
