@@ -40,7 +40,7 @@ CLASS_WEIGHT = 4.0
 HIDDEN = 32
 KEEP = 0.5
 #: Bytes of text that are cut into tokens at once, and words whose neighbours are summed at once: they bound the memory, nothing else.
-PIECE, WORDS = 1 << 19, 1 << 20
+PIECE, WORDS = 1 << 19, 1 << 18
 CLASSES = ("poor", "toxic", "good")
 _CAPS, _NUMBER, _REPEAT = (U(x) for x in (0x5EED0001, 0x5EED0002, 0x5EED0003))
 
@@ -175,8 +175,15 @@ def corpus_places(docs: DataFrame) -> Places:
             own = np.flatnonzero(x.n[p * step : (p + 1) * step])
             if len(own):
                 s = x.sums[p * step + own]
-                wide = bool(np.abs(s).max() >= 1 << 15)
-                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "salt": pa.array([salt], pa.int32()), "wide": pa.array([wide]), "at": pa.array([own.astype(np.int32).tobytes()]), "n": pa.array([x.n[p * step + own].tobytes()]), "sums": pa.array([s.astype(np.int64 if wide else np.int16).tobytes()])})
+                narrow = np.abs(s).max(1) < 128
+                for wide, rows in ((False, narrow), (True, ~narrow)):
+                    if rows.any():
+                        yield packed(p, salt, wide, own[rows], x.n[p * step + own[rows]], s[rows])
+
+    def packed(part: int, salt: int, wide: bool, at: np.ndarray, n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        """Most words are rare in a task: their sums fit a byte a dimension."""
+        cols = (pa.array([part], pa.int32()), pa.array([salt], pa.int32()), pa.array([wide]), pa.array([at.astype(np.int32).tobytes()]), pa.array([n.astype(np.int64).tobytes()]), pa.array([sums.astype(np.int64 if wide else np.int8).tobytes()]))
+        return pa.RecordBatch.from_arrays(list(cols), names=["part", "salt", "wide", "at", "n", "sums"])
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sums = np.zeros(step, np.int64), np.zeros((step, DIM), np.int64)
@@ -184,9 +191,9 @@ def corpus_places(docs: DataFrame) -> Places:
             for wide, at, k, s in zip(*(b.column(c).to_pylist() for c in ("wide", "at", "n", "sums"))):
                 own = np.frombuffer(at, np.int32)
                 n[own] += np.frombuffer(k, np.int64)
-                sums[own] += np.frombuffer(s, np.int64 if wide else np.int16).reshape(-1, DIM)
+                sums[own] += np.frombuffer(s, np.int64 if wide else np.int8).reshape(-1, DIM)
         own = np.flatnonzero(n)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "wide": pa.array([True]), "at": pa.array([own.astype(np.int32).tobytes()]), "n": pa.array([n[own].tobytes()]), "sums": pa.array([sums[own].tobytes()])})
+        yield packed(key[0].as_py(), 0, True, own, n[own], sums[own])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
