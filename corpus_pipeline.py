@@ -7,6 +7,8 @@ return the columns of documents. The classifier is fitted once, on the documents
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,16 +16,17 @@ from lodestone.llm import decontaminate, exact_dedup, mixing, ngram_join, qualit
 from lodestone.llm.common import discard, materialise, table
 
 
-#: The classifiers of this application's corpora. A stage that runs in another one fits the same.
-_models: dict[tuple[str, str], quality.Model] = {}
+#: The scorer of the last corpus. A stage that runs in another application fits the same.
+_scorers: dict[tuple[str, str], Callable[[Column], Column]] = {}
 
 
 def _probability(spark: SparkSession, sf_dir: str) -> Column:
     """Of the documents that the classifier is to keep."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _models:
-        _models[key] = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality.scorer(spark, _models[key])(F.col("text"))
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = quality.scorer(spark, quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    return _scorers[key](F.col("text"))
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
