@@ -301,7 +301,7 @@ def fit(texts: pa.Array, classes: np.ndarray, base: Places | None = None) -> Mod
         for k in range(len(CLASSES)):
             c[:, k] += np.bincount(held[kind == k] % (2 * BUCKETS), minlength=2 * BUCKETS)
     p = np.maximum(np.bincount(classes[:a], minlength=len(CLASSES)) / max(1, a), 1e-9)
-    lift = np.log((c + PRIOR * p) / (c.sum(1, keepdims=True) + PRIOR) / p)
+    lift = np.log((c + PRIOR * p) / (c.sum(1, keepdims=True) + PRIOR) / p) * (c.sum(1, keepdims=True) > 1)  # what one document has alone tells nothing of others
     kinds = index_vectors(np.arange(1, len(CLASSES) + 1, dtype=U) * U(0xC1A55))
     model = Model(Places(base.n, (base.vectors + (np.maximum(lift, 0) @ kinds) * CLASS_WEIGHT).astype(np.float16)))
     del c, lift
