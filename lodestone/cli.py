@@ -1,16 +1,20 @@
-"""Command line: info, list, query, ingest, delete, export over a collection; rag-ingest and rag-query over a directory."""
+"""Command line: info, list, query, ingest, delete, export over a collection; rag-ingest, rag-query, rag-watch and rag-info over a directory."""
 
 from __future__ import annotations
 
 import argparse
 import json
+from dataclasses import asdict
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from . import rag, tools
+from .functions.embed import BagEmbedder, HashEmbedder
 from .schema import Document
 from .sources.collection import INDEXES, Collection, Config
+from .sources.files import skipped
+from .streaming.watch import Reindexer
 
 
 def parser() -> argparse.ArgumentParser:
@@ -34,17 +38,28 @@ def parser() -> argparse.ArgumentParser:
     r = sub.add_parser("rag-ingest")
     r.add_argument("directory")
     r.add_argument("--extensions", default=",".join(rag.EXTENSIONS))
-    r = sub.add_parser("rag-query")
-    r.add_argument("text")
-    r.add_argument("-k", type=int, default=10)
-    r.add_argument("--hybrid", action="store_true")
+    q = sub.add_parser("rag-query")
+    q.add_argument("text")
+    q.add_argument("-k", type=int, default=10)
+    q.add_argument("--hybrid", action="store_true")
+    w = sub.add_parser("rag-watch")
+    w.add_argument("directory")
+    w.add_argument("--extensions", default=",".join(rag.EXTENSIONS))
+    w.add_argument("--debounce-ms", type=int, default=500)
+    w.add_argument("--no-initial", action="store_true")
+    w.add_argument("--once", action="store_true", help="handle what is there and end")
+    for x in (r, q, w):
+        x.add_argument("--hash", action="store_true", help="the embedder of hashes")
+        x.add_argument("--dim", type=int, default=64)
+    sub.add_parser("rag-info")
     return p
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     c = Collection(spark or SparkSession.builder.appName("lodestone").getOrCreate(), a.collection, Config(a.index, a.metric))
-    if a.command == "info":
+    embedder = HashEmbedder(a.dim) if getattr(a, "hash", False) else None
+    if a.command in ("info", "rag-info"):
         out: object = tools.info(c)
     elif a.command == "list":
         out = tools.listing(c, a.limit)
@@ -60,9 +75,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         c.export_jsonl(a.path or f"{a.collection}.jsonl")
         out = {"exported": len(c)}
     elif a.command == "rag-ingest":
-        out = {"chunks": rag.ingest(c, a.directory, a.extensions.split(","))}
+        out = {"chunks": rag.ingest(c, a.directory, a.extensions.split(","), embedder), "skipped": skipped(c.spark, a.directory, a.extensions.split(","))}
+    elif a.command == "rag-watch":
+        w = Reindexer(c.spark, a.directory, c, a.extensions.split(","), embedder or BagEmbedder(), lambda e: print(json.dumps(asdict(e)), flush=True))
+        w.start(f"{a.collection}.watch", None if a.once else a.debounce_ms / 1000, not a.no_initial).awaitTermination()
+        out = {"chunks": len(c)}
     else:
-        out = [{"id": r["id"], "score": r["score"], "text": r["text"][:100]} for r in rag.query(c, a.text, a.k, a.hybrid).collect()]
+        out = [{"id": r["id"], "score": r["score"], "text": r["text"][:100]} for r in rag.query(c, a.text, a.k, a.hybrid, embedder).collect()]
     print(json.dumps(out, ensure_ascii=False))
     return 0
 

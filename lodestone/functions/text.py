@@ -1,13 +1,13 @@
-"""Tokens of a text: lower-case runs of letters and digits of any alphabet."""
+"""Tokens of a text: lower-case runs of letters (with the marks that spell them) and digits of any alphabet."""
 
 from __future__ import annotations
 
-import re
-
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPLIT = r"[^\p{L}\p{N}]+"
+SPLIT = r"[^\p{IsAlphabetic}\p{N}]+"
+_SPLIT = regex.compile(r"[^\p{Alphabetic}\p{N}]+")
 
 
 def tokens(text: Column) -> Column:
@@ -16,4 +16,4 @@ def tokens(text: Column) -> Column:
 
 def tokens_of(text: str) -> list[str]:
     """The same on the driver, for queries."""
-    return [t for t in re.split(r"[\W_]+", text.lower()) if t]
+    return [t for t in _SPLIT.split(text.lower()) if t]

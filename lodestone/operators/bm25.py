@@ -1,4 +1,4 @@
-"""BM25 over an inverted index held as DataFrames: postings with positions, document lengths, one row of statistics."""
+"""BM25 over an inverted index held as DataFrames: postings with positions, document lengths, one row of statistics; in memory of no one, or stored."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, tokens_of
+from ..sources.versions import Versions
 
 K1, B = 1.2, 0.75
 
@@ -18,11 +19,9 @@ def doc_lengths(docs: DataFrame, id_col: str = "id", text: str = "text") -> Data
 
 
 def postings(docs: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
-    """term, doc_id, positions, tf. A document's positions are gathered in its own row, so nothing is shuffled: ids are taken to be unique."""
-    t = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text)).alias("t"))
-    placed = t.select("doc_id", F.explode(F.array_distinct("t")).alias("term"), "t")
-    at = F.filter(F.transform("t", lambda x, i: F.when(x == F.col("term"), i)), lambda i: i.isNotNull())
-    return placed.select("term", "doc_id", at.alias("positions")).withColumn("tf", F.size("positions").cast("long"))
+    """term, doc_id, positions (ascending), tf. A text is tokenised once; its terms' positions are gathered before the shuffle, which is by term and document, so that common terms are spread."""
+    placed = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(tokens(F.col(text))).alias("pos", "term"))
+    return placed.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions")).withColumn("tf", F.size("positions").cast("long"))
 
 
 def term_counts(docs: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
@@ -41,19 +40,25 @@ def idf_table(counts: DataFrame, stats: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).select("term", "df", idf_of(F.col("n"), F.col("df")).alias("idf"))
 
 
+def vocabulary(docs: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
+    """term, df, idf from one pass: a document's distinct terms are counted where it lies, only counts are shuffled. The number of documents counts those without a token too."""
+    df = docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return df.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")))).select("term", "df", idf_of(F.col("n"), F.col("df")).alias("idf"))
+
+
 def statistics(lengths: DataFrame) -> DataFrame:
     """One row: n, avgdl."""
     return lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
 
 
 class Bm25:
-    """The index of one table. counts may be any DataFrame with term, doc_id, tf, such as stored postings; queries touch the rows of their own terms alone."""
+    """The index of one table. counts may be any DataFrame with term, doc_id, tf (and positions, for phrases), such as stored postings; queries touch the rows of their own terms alone."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "id", text: str = "text", counts: DataFrame | None = None, lengths: DataFrame | None = None):
+    def __init__(self, docs: DataFrame, id_col: str = "id", text: str = "text", counts: DataFrame | None = None, lengths: DataFrame | None = None, stats: DataFrame | None = None):
         self.docs, self.id_col, self.text = docs, id_col, text
         self.lengths = lengths if lengths is not None else doc_lengths(docs, id_col, text)
         self.counts = counts
-        self.stats = statistics(self.lengths)
+        self.stats = stats if stats is not None else statistics(self.lengths)
 
     def __len__(self) -> int:
         return self.docs.count()
@@ -61,10 +66,45 @@ class Bm25:
     def is_empty(self) -> bool:
         return self.docs.isEmpty()
 
+    def save(self, path: str) -> Bm25:
+        """Writes the index and gives it as stored: postings ordered by term, so that row groups of other terms are skipped; a document's length stands in its postings, so that a search joins nothing.
+        Readers of an index that is replaced keep theirs."""
+        p = postings(self.docs, self.id_col, self.text)
+        lengths = doc_lengths(self.docs, self.id_col, self.text)
+        v = Versions(self.docs.sparkSession, path)
+        new = v.begin()
+        lengths.write.parquet(f"{new}/lengths")
+        stored = self.docs.sparkSession.read.parquet(f"{new}/lengths")
+        spread = p.join(stored, "doc_id").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        spread.write.option("parquet.bloom.filter.enabled#term", "true").parquet(f"{new}/postings")
+        statistics(stored).coalesce(1).write.parquet(f"{new}/statistics")
+        v.commit(new)
+        return Bm25.load(path, self.docs, self.id_col, self.text)
+
+    @classmethod
+    def load(cls, path: str, docs: DataFrame, id_col: str = "id", text: str = "text") -> Bm25:
+        spark = docs.sparkSession
+        now = Versions(spark, path).current()
+        if now is None:
+            raise FileNotFoundError(path)
+        return cls(docs, id_col, text, *(spark.read.parquet(f"{now}/{x}") for x in ("postings", "lengths", "statistics")))
+
+    @classmethod
+    def cached(cls, path: str, docs: DataFrame, id_col: str = "id", text: str = "text") -> Bm25:
+        """The stored index if it has as many documents as docs; otherwise, or if it can't be read, it is built anew and stored."""
+        try:
+            found = cls.load(path, docs, id_col, text)
+            if found.stats.first()["n"] == docs.count():
+                return found
+        except Exception:  # noqa: BLE001, S110 whatever is wrong with the cache, a new one takes its place
+            pass
+        return cls(docs, id_col, text).save(path)
+
     def _hits(self, terms: list[str]) -> DataFrame:
         """term, doc_id, tf, len of these terms: without stored postings one pass over the texts that explodes only what the query asks for."""
         if self.counts is not None:
-            return self.counts.where(F.col("term").isin(terms)).join(self.lengths, "doc_id")
+            own = self.counts.where(F.col("term").isin(terms))
+            return own if "len" in own.columns else own.join(self.lengths, "doc_id")
         t = self.docs.select(F.col(self.id_col).alias("doc_id"), tokens(F.col(self.text)).alias("t")).withColumn("len", F.size("t").cast("long"))
         own = F.filter("t", lambda x: x.isin(terms))
         return t.select("doc_id", "len", F.explode(own).alias("term")).groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
@@ -84,14 +124,20 @@ class Bm25:
 
     def phrase(self, words: list[str]) -> DataFrame:
         """doc_id, score of the documents that hold the words side by side; the score is that of the bag of words, 0 if no word counts."""
-        t = self.docs.select(F.col(self.id_col).alias("doc_id"), tokens(F.col(self.text)).alias("t"))
-        n = len(words)
-        starts = F.sequence(F.lit(1), F.greatest(F.size("t") - n + 1, F.lit(1)))
-        lit = F.array(*map(F.lit, words))
-        has = t.where(reduce(lambda a, w: a & F.array_contains("t", w), words, F.lit(True)) & (F.size("t") >= n))
-        held = has.where(F.exists(starts, lambda i: F.slice("t", i, n) == lit)).select("doc_id")
+        if self.counts is not None and "positions" in self.counts.columns:
+            held = self._adjacent(words)
+        else:  # tokens have no spaces, so the phrase is a string between spaces: a text is tokenised once
+            line = F.concat(F.lit(" "), F.array_join(tokens(F.col(self.text)), " "), F.lit(" "))
+            held = self.docs.where(F.contains(line, F.lit(f" {' '.join(words)} "))).select(F.col(self.id_col).alias("doc_id"))
         return held.join(self._sum(self._hits(sorted(set(words))), Counter(words)), "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
+    def _adjacent(self, words: list[str]) -> DataFrame:
+        """By stored positions: a place counts for the phrase's start once for each of its words that stands where it should."""
+        offsets = F.create_map(*(x for w in set(words) for x in (F.lit(w), F.array(*(F.lit(i) for i, v in enumerate(words) if v == w)))))
+        own = self.counts.where(F.col("term").isin(sorted(set(words)))).select("doc_id", "positions", F.explode(offsets[F.col("term")]).alias("off"))
+        starts = own.select("doc_id", F.explode(F.transform("positions", lambda p: p - F.col("off"))).alias("at"))
+        return starts.groupBy("doc_id", "at").agg(F.count("*").alias("n")).where(F.col("n") == len(words)).select("doc_id").distinct()
+
     def search(self, query: str, k: int) -> DataFrame:
         """doc_id, score: the k best. A query in double quotes is a phrase."""
         q = query.strip()
@@ -105,12 +151,19 @@ class Bm25:
     def search_batch(self, queries: DataFrame, query_id: str = "query_id", text: str = "text") -> DataFrame:
         """query_id, doc_id, score of all pairs with a score, by one join on the term; take the best with search.ranked()."""
         q = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-        counts = self.counts if self.counts is not None else term_counts(self.docs, self.id_col, self.text)
+        counts = self.counts if self.counts is not None else self._tokenised()
         counts = counts.join(q.select("term").distinct(), "term", "left_semi")
+        if "len" not in counts.columns:
+            counts = counts.join(self.lengths, "doc_id")
         idf = idf_table(counts, self.stats).where("idf > 0")
-        rows = q.join(idf, "term").join(counts, "term").join(self.lengths, "doc_id").crossJoin(F.broadcast(self.stats.select("avgdl")))
+        rows = q.join(idf, "term").join(counts, "term").crossJoin(F.broadcast(self.stats.select("avgdl")))
         return rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * term_score(F.col("idf"), F.col("tf"), F.col("len"), F.col("avgdl"))).alias("score"))
 
+    def _tokenised(self) -> DataFrame:
+        """term, doc_id, tf, len: a document's length travels with its terms."""
+        t = self.docs.select(F.col(self.id_col).alias("doc_id"), tokens(F.col(self.text)).alias("t")).withColumn("len", F.size("t").cast("long"))
+        return t.select("doc_id", "len", F.explode("t").alias("term")).groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
+
 
 def term_score(idf: Column, tf: Column, length: Column, avgdl: Column) -> Column:
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avgdl))

@@ -1,4 +1,7 @@
-"""Navigable small-world graphs, one a shard: built and searched where the shard lies, the shards' best merged."""
+"""Navigable small-world graphs, one a shard: built and searched where the shard lies, the shards' best merged. Stored graphs are read back, so that a search builds nothing.
+
+With codes, a beam walks over vectors quantized to signed bytes, and the best of what it finds are scored again by the vectors themselves.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ import heapq
 import math
 import pickle
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidConfig
+from ..sources.versions import Versions
+from .base import Index
 from .search import as_matrix, ranked
 
 _MASK = (1 << 64) - 1
+#: Blocks that queries are cut into.
+BLOCKS = 16
 
 
 @dataclass(frozen=True)
@@ -26,6 +33,8 @@ class Config:
     ef_search: int = 50
     metric: str = "cosine"
     shard_rows: int = 50_000
+    #: Beams over signed bytes, rescored.
+    codes: bool = False
 
     def __post_init__(self) -> None:
         if self.m < 2 or self.ef_construction < 1 or self.ef_search < 1 or self.shard_rows < 1:
@@ -52,8 +61,24 @@ class Graph:
         self.entry = -1
         for node in range(len(v)):
             self._insert(node)
+        self.codes: np.ndarray | None = None
+        if config.codes and len(v):
+            lo, hi = v.min(0), v.max(0)
+            self.scale, self.bias = np.where(hi > lo, (hi - lo) / 255, 1).astype(np.float32), (hi + lo) / 2
+            self.codes = self._encode(v)
+
+    def _encode(self, x: np.ndarray) -> np.ndarray:
+        y = (x - self.bias) / self.scale
+        return np.clip(np.copysign(np.floor(np.abs(y) + 0.5), y), -128, 127).astype(np.int8)
+
+    def _code_scores(self, q: np.ndarray, nodes: list[int]) -> np.ndarray:
+        """q: codes, as 32-bit numbers. Products of codes are exact in them."""
+        x = self.codes[nodes].astype(np.int32)
+        return -np.sqrt(((x - q) ** 2).sum(1)) if self.config.metric == "euclidean" else (x @ q).astype(np.float64)
 
     def _scores(self, q: np.ndarray, nodes: list[int]) -> np.ndarray:
+        if q.dtype == np.int32:
+            return self._code_scores(q, nodes)
         x = self.v[nodes]
         return -np.sqrt(((x - q) ** 2).sum(1)) if self.config.metric == "euclidean" else x @ q
 
@@ -131,13 +156,19 @@ class Graph:
         if self.config.metric == "cosine":
             n = float(np.linalg.norm(q))
             q = q / (n or 1)
+        coded = self.codes is not None
+        walk = self._encode(q).astype(np.int32) if coded else q
         at = [self.entry]
         for layer in range(self.height, 0, -1):
-            at = [self._beam(q, at, 1, layer)[0][1]]
-        return self._beam(q, at, max(ef or self.config.ef_search, k), 0)[:k]
+            at = [self._beam(walk, at, 1, layer)[0][1]]
+        found = self._beam(walk, at, max(ef or self.config.ef_search, 5 * k if coded else k), 0)
+        if coded:  # the best 2k by codes, in the order of their vectors
+            nodes = [n for _, n in found[: 2 * k]]
+            found = sorted(zip(self._scores(q, nodes).tolist(), nodes), key=lambda p: (-p[0], p[1]))
+        return found[:k]
 
 
-class Hnsw:
+class Hnsw(Index):
     """shards: a row for each with its pickled graph and ids. Rows without a vector are left out."""
 
     def __init__(self, config: Config, shards: DataFrame, docs: DataFrame, id_col: str, vector: str):
@@ -156,16 +187,40 @@ class Hnsw:
         shards = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("shard")).applyInArrow(lambda t: run(t), "graph binary, ids binary")
         return cls(config, shards, docs, id_col, vector)
 
+    def save(self, path: str) -> Hnsw:
+        """Writes the graphs, once built, and gives the index as stored. Readers of a version that is replaced keep theirs."""
+        v = Versions(self.docs.sparkSession, path)
+        new = v.begin()
+        self.shards.withColumn("config", F.lit(repr(self.config))).write.parquet(new)
+        v.commit(new)
+        return Hnsw.load(path, self.docs, self.config, self.id_col, self.vector)
+
+    @classmethod
+    def load(cls, path: str, docs: DataFrame, config: Config, id_col: str = "id", vector: str = "embedding") -> Hnsw:
+        """The stored graphs, if they were built so; searches may widen ef_search."""
+        now = Versions(docs.sparkSession, path).current()
+        if now is None:
+            raise FileNotFoundError(path)
+        shards = docs.sparkSession.read.parquet(now)
+        built = shards.select("config").first()
+        if built is not None and replace(eval(built[0], {"Config": Config}), ef_search=config.ef_search) != config:  # noqa: S307 what save() wrote
+            raise InvalidConfig("the stored graphs have another configuration")
+        return cls(config, shards.drop("config"), docs, id_col, vector)
+
     def search_batch(self, queries: DataFrame, k: int, ef: int | None = None) -> DataFrame:
-        """queries: query_id, embedding. query_id, doc_id, score, rank."""
+        """queries: query_id, embedding. query_id, doc_id, score, rank. Queries travel in blocks; a task reads a graph once for all blocks that meet it."""
         rows = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<float>").alias("q")).where(F.size("q") > 0)
-        packed = rows.groupBy(F.floor(F.col("query_id") / 1024).alias("block")).agg(F.collect_list("query_id").alias("qids"), F.collect_list("q").alias("qs")).drop("block")
+        packed = rows.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(BLOCKS)).alias("block")).agg(F.collect_list("query_id").alias("qids"), F.collect_list("q").alias("qs")).drop("block")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, g, ids = None, None, None
             for b in batches:
-                for r in b.to_pylist():
-                    g, ids = pickle.loads(r["graph"]), np.frombuffer(r["ids"], np.int64)
-                    for q, v in zip(r["qids"], r["qs"]):
+                for k_ in range(b.num_rows):
+                    r = {c: b.column(c)[k_] for c in ("graph", "ids", "qids", "qs")}
+                    raw = r["ids"].as_py()
+                    if raw != last:
+                        last, g, ids = raw, pickle.loads(r["graph"].as_py()), np.frombuffer(raw, np.int64)
+                    for q, v in zip(r["qids"].as_py(), r["qs"].as_py()):
                         found = g.search(np.array(v, np.float32), k, ef)
                         if found:
                             yield pa.RecordBatch.from_pydict({"query_id": [q] * len(found), "doc_id": ids[[n for _, n in found]], "score": [s for s, _ in found]})

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidConfig
 from ..functions.distance import score as score_pair
 from ..functions.distance import score_query, scores
+from ..sources.versions import Versions
+from .base import Index
 from .kmeans import SAMPLE, kmeans, nearest
 from .search import BLOCK, _blocks, as_matrix, ranked
 
@@ -126,10 +129,11 @@ def calibrate(x: np.ndarray, q: Quantizer, config: Config) -> tuple[int, int]:
         depth *= 2
 
 
-class IvfPq:
+class IvfPq(Index):
     """codes: id, cid, code, live. Training and calibration take a bounded sample, by the smallest hashes of ids; encoding covers every row."""
 
-    def __init__(self, config: Config, quantizer: Quantizer, codes: DataFrame, docs: DataFrame, id_col: str = "id", vector: str = "embedding", effort: tuple[int, int] | None = None):
+    def __init__(self, config: Config, quantizer: Quantizer, codes: DataFrame, docs: DataFrame, id_col: str = "id", vector: str = "embedding", effort: tuple[int, int] | None = None, stale: int = 0):
+        self.stale = stale  # rows encoded since the training
         self.config, self.quantizer, self.codes, self.docs, self.id_col, self.vector = config, quantizer, codes, docs, id_col, vector
         self.effort = self.n_probe, self.depth = effort or (config.effective_probe, 4)
 
@@ -212,40 +216,83 @@ class IvfPq:
         """ids: id. Marks rows as dead; compacts once dead rows reach the threshold."""
         gone = ids.select(F.col("id").alias("_gone")).distinct()
         codes = self.codes.join(gone, F.col("id") == F.col("_gone"), "left").withColumn("live", F.col("live") & F.col("_gone").isNull()).drop("_gone")
-        out = IvfPq(self.config, self.quantizer, codes, self.docs.join(gone, F.col(self.id_col) == F.col("_gone"), "left_anti"), self.id_col, self.vector, self.effort)
+        out = IvfPq(self.config, self.quantizer, codes, self.docs.join(gone, F.col(self.id_col) == F.col("_gone"), "left_anti"), self.id_col, self.vector, self.effort, self.stale)
         return out.compact() if out.dead_ratio() >= self.config.rebuild_threshold else out
 
     def dead_ratio(self) -> float:
         return self.codes.agg(F.avg((~F.col("live")).cast("int"))).first()[0] or 0.0
 
     def compact(self) -> IvfPq:
-        return IvfPq(self.config, self.quantizer, self.codes.where("live"), self.docs, self.id_col, self.vector, self.effort)
+        return IvfPq(self.config, self.quantizer, self.codes.where("live"), self.docs, self.id_col, self.vector, self.effort, self.stale)
 
-    def insert(self, docs: DataFrame, stale: int = 0) -> IvfPq:
-        """Small batches are encoded with the present codebooks; a batch of batch_rebuild_size rows, or too many rows encoded so (stale counts earlier ones), trains anew."""
+    def insert(self, docs: DataFrame) -> IvfPq:
+        """Small batches are encoded with the present codebooks; a batch of batch_rebuild_size rows, or too many rows encoded so since the training, trains anew."""
         everything = self.docs.unionByName(docs)
         n = docs.count()
-        if n >= self.config.batch_rebuild_size or (stale + n) / max(1, everything.count()) >= self.config.rebuild_threshold:
+        if n >= self.config.batch_rebuild_size or (self.stale + n) / max(1, everything.count()) >= self.config.rebuild_threshold:
             return IvfPq.build(everything, self.config, self.id_col, self.vector)
         more = encode(docs.where(F.size(self.vector) > 0).select(F.col(self.id_col).alias("id"), F.col(self.vector).alias("v")), self.quantizer)
-        return IvfPq(self.config, self.quantizer, self.codes.unionByName(more), everything, self.id_col, self.vector, self.effort)
+        return IvfPq(self.config, self.quantizer, self.codes.unionByName(more), everything, self.id_col, self.vector, self.effort, self.stale + n)
 
-    def save(self, path: str) -> None:
-        """Codes by cell, so that a search reads the probed cells' files alone; the small tables beside them."""
+    def save(self, path: str) -> IvfPq:
+        """Codes by cell, so that a search reads the probed cells' files alone, as a log of revisions; the model beside them. A version of its own: readers keep theirs, a failed write changes nothing."""
         spark = self.codes.sparkSession
-        self.codes.write.mode("overwrite").partitionBy("cid").parquet(f"{path}/codes")
-        q = self.quantizer
-        row = [(self.config.metric, self.config.n_clusters, self.config.n_subvectors, self.config.n_probe, self.config.rerank, q.centroids.astype("<f8").tobytes(), q.codebooks.astype("<f8").tobytes(), list(q.centroids.shape), list(q.codebooks.shape), self.config.recall, list(self.effort))]
-        spark.createDataFrame(row, "metric string, n_clusters int, n_subvectors int, n_probe int, rerank boolean, centroids binary, codebooks binary, cs array<int>, bs array<int>, recall double, effort array<int>").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+        v = Versions(spark, path)
+        new = v.begin()
+        self._log(0).write.partitionBy("cid").parquet(f"{new}/codes")
+        q, c = self.quantizer, self.config
+        row = [(json.dumps(asdict(c)), q.centroids.astype("<f8").tobytes(), q.codebooks.astype("<f8").tobytes(), list(q.centroids.shape), list(q.codebooks.shape), list(self.effort), self.stale)]
+        spark.createDataFrame(row, "config string, centroids binary, codebooks binary, cs array<int>, bs array<int>, effort array<int>, stale long").coalesce(1).write.parquet(f"{new}/model")
+        v.commit(new)
+        return IvfPq.load(path, self.docs, self.id_col, self.vector)
+
+    def _log(self, revision: int) -> DataFrame:
+        return self.codes.select("id", "code", (~F.col("live")).alias("deleted"), F.lit(revision).cast("long").alias("revision"), "cid")
 
     @classmethod
     def load(cls, path: str, docs: DataFrame, id_col: str = "id", vector: str = "embedding", **changes) -> IvfPq:
+        """Of each id the last revision counts; a delete mark is a dead row."""
         spark = docs.sparkSession
-        r = spark.read.parquet(f"{path}/model").first()
-        r = r.asDict()  # models of before have neither recall nor effort
-        config = replace(Config(r["n_clusters"], r["n_subvectors"], r["n_probe"], r["metric"], r["rerank"], recall=r.get("recall") or 0.0), **changes)
-        q = Quantizer(np.frombuffer(r["centroids"], "<f8").reshape(r["cs"]), np.frombuffer(r["codebooks"], "<f8").reshape(r["bs"]), r["metric"])
-        return cls(config, q, spark.read.parquet(f"{path}/codes").select("id", "code", "live", F.col("cid").cast("int").alias("cid")), docs, id_col, vector, tuple(r["effort"]) if config.recall and r.get("effort") else None)
+        now = Versions(spark, path).current()
+        if now is None:
+            raise FileNotFoundError(path)
+        r = spark.read.parquet(f"{now}/model").first()
+        config = replace(Config(**json.loads(r["config"])), **changes)
+        q = Quantizer(np.frombuffer(r["centroids"], "<f8").reshape(r["cs"]), np.frombuffer(r["codebooks"], "<f8").reshape(r["bs"]), config.metric)
+        log = spark.read.parquet(f"{now}/codes").select("id", "code", "deleted", "revision", F.col("cid").cast("int").alias("cid"))
+        # a log without appends has one revision an id: nothing to sort out, and a search reads its cells alone
+        rows = latest(log) if log.agg(F.max("revision")).first()[0] else log
+        codes = rows.select("id", "code", (~F.col("deleted")).alias("live"), "cid")
+        return cls(config, q, codes, docs, id_col, vector, tuple(r["effort"]) if config.recall else None, r["stale"])
+
+    @staticmethod
+    def append(path: str, more: DataFrame, gone: DataFrame | None = None) -> None:
+        """Adds revisions to the stored log: more (id, code, live, cid, as encode() gives) and delete marks for gone (id). Nothing that is stored is rewritten."""
+        spark = more.sparkSession
+        now = Versions(spark, path).current()
+        log = spark.read.parquet(f"{now}/codes")
+        n = (log.agg(F.max("revision")).first()[0] or 0) + 1
+        rows = more.select("id", "code", F.lit(False).alias("deleted"), F.lit(n).cast("long").alias("revision"), "cid")
+        if gone is not None:  # a mark goes to the cell of the row that it ends
+            ends = log.join(gone.select(F.col("id").alias("_gone")).distinct(), F.col("id") == F.col("_gone"), "left_semi").groupBy("id").agg(F.max_by("cid", "revision").cast("int").alias("cid"))
+            rows = rows.unionByName(ends.select("id", F.lit(b"").alias("code"), F.lit(True).alias("deleted"), F.lit(n).cast("long").alias("revision"), "cid"))
+        rows.write.mode("append").partitionBy("cid").parquet(f"{now}/codes")
+
+    @staticmethod
+    def compact_log(spark: SparkSession, path: str, threshold: float) -> bool:
+        """Rewrites the log with the live rows alone if the share of others reaches the threshold."""
+        v = Versions(spark, path)
+        now = v.current()
+        log = spark.read.parquet(f"{now}/codes")
+        live = latest_revisions(log)
+        total = log.count()
+        if not total or (total - live.count()) / total < threshold:
+            return False
+        new = v.begin()
+        live.withColumn("revision", F.lit(0).cast("long")).write.partitionBy("cid").parquet(f"{new}/codes")
+        spark.read.parquet(f"{now}/model").write.parquet(f"{new}/model")
+        v.commit(new)
+        return True
 
 
 def encode(rows: DataFrame, q: Quantizer) -> DataFrame:
@@ -263,7 +310,27 @@ def encode(rows: DataFrame, q: Quantizer) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, code binary, live boolean, cid int")
 
 
-def latest_revisions(log: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """Of an append-only log (id, revision, deleted, ...) the live rows: the last revision of each id, unless it is a delete mark."""
+def latest(log: DataFrame) -> DataFrame:
+    """The last revision of each id; of equal revisions one."""
     order = Window.partitionBy("id").orderBy(F.desc("revision"))
-    return log.withColumn("_n", F.row_number().over(order)).where("_n = 1 and not deleted").drop("_n")
+    return log.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def latest_revisions(log: DataFrame) -> DataFrame:
+    """Of an append-only log (id, revision, deleted, ...) the live rows: the last revision of each id, unless it is a delete mark."""
+    return latest(log).where("not deleted")
+
+
+def read_jsonl_log(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """A log of lines {"id", "cluster", "code", "d"}, later lines counting: id, code, live, cid, and how many lines were corrupt and left out."""
+    lines = spark.read.schema("id string, cluster int, code array<int>, d int, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path).select("*", F.monotonically_increasing_id().alias("revision")).cache()
+    ok = F.col("_bad").isNull() & F.col("id").isNotNull() & F.col("cluster").isNotNull()
+    bad = lines.where(~ok).count()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = [bytes(c or []) for c in b.column("code").to_pylist()]
+            yield b.set_column(b.schema.get_field_index("code"), "code", pa.array(codes, pa.binary()))
+
+    rows = latest(lines.where(ok).select("id", "code", (F.coalesce("d", F.lit(0)) == 1).alias("deleted"), "revision", F.col("cluster").alias("cid")))
+    return rows.select("id", "code", (~F.col("deleted")).alias("live"), "cid").mapInArrow(pack, "id string, code binary, live boolean, cid int"), bad

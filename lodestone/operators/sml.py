@@ -23,10 +23,10 @@ FLOW_WORDS = (*(w + " " for w in "def fn func proc".split()), *"function method
 INVARIANT_WORDS = (*(w + " " for w in "always must never".split()), *"assert ensure forbidden guard mandatory obligatory reject require".split())
 #: What a text is compared with if there is an embedder.
 KEYWORDS = {
-    "type": "entity model schema record object struct class enum interface module value".split(),
-    "flow": "transform pipeline execute convert generate produce send receive stream ingest deploy migrate export".split(),
-    "query": "query find search inspect audit count select filter verify validate".split(),
-    "invariant": "never must forbidden always mandatory require immutable reject guard ensure".split(),
+    "type": "class config definition entity enum interface model module object record resource schema service struct type value".split(),
+    "flow": "build compact compile convert deploy emit execute export flush generate handle import ingest load migrate package pipeline process produce receive run send stream sync transform write".split(),
+    "query": "audit check count expect filter find get has inspect is list match measure query search select should test validate verify".split(),
+    "invariant": "abort always assert ensure fail forbidden freeze guard immutable lock mandatory must never obligatory panic pinned reject require".split(),
 }
 SEMANTIC_LEAST = 0.7
 
@@ -218,6 +218,14 @@ def _sentence(text: str) -> str | None:
     return re.split(r"(?<=[.!?])\s|\n", text.strip(), maxsplit=1)[0] or None
 
 
+def keyword_cosine(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Cosines of x's rows with v over the dimensions that both have; 0 where a length is next to nothing."""
+    d = min(x.shape[1], len(v))
+    x, v = x[:, :d], v[:d]
+    n = np.linalg.norm(x, axis=1) * np.linalg.norm(v)
+    return np.divide(x @ v, n, out=np.zeros(len(x)), where=n > 1e-8)
+
+
 class Compiler:
     def __init__(self, embedder: Embedder | None = None):
         self.embedder = embedder
@@ -231,9 +239,7 @@ class Compiler:
             pairs = [(c, w) for c, ws in KEYWORDS.items() for w in ws]
             self._keys = [c for c, _ in pairs], self.embedder.embed_batch([w for _, w in pairs])
         kinds, x = self._keys
-        v = self.embedder.embed_batch([text])[0]
-        n = np.linalg.norm(x, axis=1) * np.linalg.norm(v)
-        s = np.divide(x @ v, n, out=np.zeros(len(x)), where=n > 1e-8)
+        s = keyword_cosine(x, self.embedder.embed_batch([text])[0])
         return kinds[int(s.argmax())] if s.max() >= SEMANTIC_LEAST else None
 
     def compile(self, c: Chunk, lines: list[str]) -> Node:

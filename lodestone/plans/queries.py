@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from ..functions.embed import HashEmbedder
 from ..functions.text import tokens
 from ..operators import bm25, fusion, hnsw, ivfpq, quantize, search, sml
 from ..operators.chunking import chunk_files, split_documents, strategy_column
+from ..sources.collection import Collection, Config
+from ..sources.scratch import scratch
 from ..streaming.watch import event_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,21 +185,37 @@ def ivf_probe_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(search.exact_topk(_assigned(e).join(F.broadcast(probed), "cid", "left_semi"), q, 10, id_col="vec_id"))
 
 
-def _ivfpq(e: DataFrame) -> ivfpq.IvfPq:
-    return ivfpq.IvfPq.build(e, ivfpq.Config(n_clusters=32, n_subvectors=16, n_probe=16, rerank=True, recall=0.9), "vec_id")
+def _stored(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Where this application keeps the index of a table: it is built by the first query that asks for it."""
+    return scratch(spark, f"{name}-{hashlib.md5(sf_dir.encode()).hexdigest()}")  # noqa: S324
+
+
+def _ivfpq(e: DataFrame, sf_dir: str) -> ivfpq.IvfPq:
+    path = _stored(e.sparkSession, sf_dir, "ivfpq")
+    try:
+        return ivfpq.IvfPq.load(path, e, "vec_id")
+    except FileNotFoundError:
+        return ivfpq.IvfPq.build(e, ivfpq.Config(n_clusters=32, n_subvectors=16, n_probe=16, rerank=True, recall=0.9), "vec_id").save(path)
+
+
+def _hnsw(e: DataFrame, sf_dir: str, config: hnsw.Config) -> hnsw.Hnsw:
+    path = _stored(e.sparkSession, sf_dir, "hnsw-codes" if config.codes else "hnsw")
+    try:
+        return hnsw.Hnsw.load(path, e, config, "vec_id")
+    except FileNotFoundError:
+        return hnsw.Hnsw.build(e, config, "vec_id").save(path)
 
 
 @_query()
 def ivfpq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _vectors(spark, sf_dir)
-    return _ivfpq(e).search(_first(e), 10).select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+    return _ivfpq(e, sf_dir).search(_first(e), 10).select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 @_query()
 def hnsw_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _vectors(spark, sf_dir)
-    index = hnsw.Hnsw.build(e, hnsw.Config(), "vec_id")
-    return index.search(_first(e), 10).select(F.col("doc_id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+    return _hnsw(e, sf_dir, hnsw.Config()).search(_first(e), 10).select(F.col("doc_id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
 def _as_queries(e: DataFrame) -> DataFrame:
@@ -244,25 +264,48 @@ def recall_at_10_sq_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def ivfpq_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _vectors(spark, sf_dir)
-    return _pairs_out(_ivfpq(e).search_batch(_as_queries(e), 10))
+    return _pairs_out(_ivfpq(e, sf_dir).search_batch(_as_queries(e), 10))
 
 
 @_query()
 def recall_at_10_ivfpq_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _vectors(spark, sf_dir)
-    return _recalls(_ivfpq(e).search_batch(_as_queries(e), 10), e)
+    return _recalls(_ivfpq(e, sf_dir).search_batch(_as_queries(e), 10), e)
 
 
 @_query()
 def hnsw_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _vectors(spark, sf_dir)
-    return _pairs_out(hnsw.Hnsw.build(e, hnsw.Config(), "vec_id").search_batch(_as_queries(e), 10))
+    return _pairs_out(_hnsw(e, sf_dir, hnsw.Config()).search_batch(_as_queries(e), 10))
 
 
 @_query()
 def recall_at_10_hnsw_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _vectors(spark, sf_dir)
-    return _recalls(hnsw.Hnsw.build(e, hnsw.Config(), "vec_id").search_batch(_as_queries(e), 10), e)
+    return _recalls(_hnsw(e, sf_dir, hnsw.Config()).search_batch(_as_queries(e), 10), e)
+
+
+_WALK = hnsw.Config(ef_construction=100, ef_search=100, codes=True)
+
+
+@_query()
+def hnsw_codes_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beams over signed bytes, the best 2k scored again by their vectors."""
+    e = _vectors(spark, sf_dir)
+    return _pairs_out(_hnsw(e, sf_dir, _WALK).search_batch(_as_queries(e), 10))
+
+
+_REACHED = "SELECT name, (SELECT count(*) FROM embeddings) AS queries, true AS reached FROM (VALUES ('hnsw'), ('hnsw_codes'), ('ivf_pq')) t(name)"
+
+
+@_query(_REACHED)
+def recall_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the mean recall@10 of the approximate indexes, with every vector as a query, is 0.9 or more."""
+    e = _vectors(spark, sf_dir)
+    exact = _exact_batch(e)
+    found = {"hnsw": _hnsw(e, sf_dir, hnsw.Config()), "hnsw_codes": _hnsw(e, sf_dir, _WALK), "ivf_pq": _ivfpq(e, sf_dir)}
+    rows = [search.recall(x.search_batch(_as_queries(e), 10), exact, 10).agg(F.lit(name).alias("name"), F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("reached")) for name, x in found.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +313,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).withColumn("metadata", F.map_filter(F.create_map(F.lit("lang"), "lang", F.lit("source"), "source"), lambda _, v: v.isNotNull()))
+    """The metadata have a key toxic only where there is a label."""
+    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").cast("string").alias("toxic"))
+    pairs = F.create_map(F.lit("lang"), "lang", F.lit("source"), "source", F.lit("toxic"), "toxic")
+    return _docs(spark, sf_dir).join(labels, "doc_id", "left").withColumn("metadata", F.map_filter(pairs, lambda _, v: v.isNotNull()))
 
 
 @_query("SELECT doc_id FROM documents WHERE lang = 'fr'")
@@ -278,19 +324,19 @@ def metadata_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_metadata(spark, sf_dir).where(filters.metadata_eq("lang", "fr")).select("doc_id")
 
 
-@_query("SELECT doc_id FROM documents WHERE contains(source, 'e')")
+@_query("SELECT doc_id FROM documents WHERE contains(source, '1')")
 def metadata_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_metadata(spark, sf_dir).where(filters.metadata_contains("source", "e")).select("doc_id")
+    return _with_metadata(spark, sf_dir).where(filters.metadata_contains("source", "1")).select("doc_id")
 
 
-@_query("SELECT doc_id FROM documents WHERE source IS NOT NULL")
+@_query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic IS NOT NULL)")
 def metadata_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_metadata(spark, sf_dir).where(filters.metadata_exists("source")).select("doc_id")
+    return _with_metadata(spark, sf_dir).where(filters.metadata_exists("toxic")).select("doc_id")
 
 
-@_query("SELECT doc_id FROM documents WHERE lang = 'en' AND contains(source, 'e')")
+@_query("SELECT doc_id FROM documents WHERE lang = 'en' AND contains(source, '1')")
 def metadata_all_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_metadata(spark, sf_dir).where(filters.all_of(filters.metadata_eq("lang", "en"), filters.metadata_contains("source", "e"))).select("doc_id")
+    return _with_metadata(spark, sf_dir).where(filters.all_of(filters.metadata_eq("lang", "en"), filters.metadata_contains("source", "1"))).select("doc_id")
 
 
 _T = r"t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents)"
@@ -312,8 +358,8 @@ def tokenise_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_T}, p AS (SELECT doc_id, unnest(t) AS term, CAST(generate_subscripts(t, 1) - 1 AS BIGINT) AS pos FROM t) SELECT term, doc_id, count(*) AS tf, min(pos) AS first_pos, max(pos) AS last_pos FROM p GROUP BY ALL")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _docs(spark, sf_dir).select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
-    return p.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.min("pos").cast("long").alias("first_pos"), F.max("pos").cast("long").alias("last_pos"))
+    p = bm25.postings(_docs(spark, sf_dir), "doc_id")
+    return p.select("term", "doc_id", "tf", F.element_at("positions", 1).cast("long").alias("first_pos"), F.element_at("positions", -1).cast("long").alias("last_pos"))
 
 
 @_query(f"WITH {_T} SELECT doc_id, CAST(len(t) AS BIGINT) AS len FROM t")
@@ -323,8 +369,7 @@ def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_BM} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir)
-    return bm25.idf_table(bm25.term_counts(d, "doc_id"), bm25.statistics(bm25.doc_lengths(d, "doc_id"))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25.vocabulary(_docs(spark, sf_dir), "doc_id").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _bm25(spark: SparkSession, sf_dir: str, query: str, k: int = 20) -> DataFrame:
@@ -361,6 +406,27 @@ def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir, '"ing or"')
 
 
+def _words(spark: SparkSession, sf_dir: str) -> bm25.Bm25:
+    """The stored word index."""
+    return bm25.Bm25.cached(_stored(spark, sf_dir, "bm25"), _docs(spark, sf_dir), "doc_id")
+
+
+@_query(ORACLES["bm25_topk"])
+def bm25_stored_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _words(spark, sf_dir).search("ing nt ea", 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@_query(ORACLES["bm25_phrase"])
+def bm25_stored_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _words(spark, sf_dir).search('"ing or"', 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@_query(ORACLES["bm25_batch"])
+def bm25_stored_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _words(spark, sf_dir).search_batch(_table(spark, sf_dir, "benchmark"), "item_id")
+    return search.ranked(found.withColumn("score", F.round("score", 9)), 3).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
 _VEC = f"vec AS (SELECT vec_id AS doc_id, {_COS} AS s FROM e JOIN documents ON doc_id = vec_id, qv)"
 _RRF = "SELECT doc_id, sum(1.0::DOUBLE / (60 + r)) AS s FROM (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS r FROM va UNION ALL SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) FROM ba) GROUP BY doc_id"
 
@@ -404,9 +470,8 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("WITH f AS (SELECT doc_id, text FROM documents WHERE lang = 'de') SELECT doc_id, round(1 - 0.7::DOUBLE * strlen(text) / greatest(1, max(strlen(text)) OVER ()), 9) AS score FROM f")
 def rerank_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length scores of a language's documents; the longest is found by an aggregate, not by a window over all."""
-    d = _docs(spark, sf_dir).where("lang = 'de'").select("doc_id", F.octet_length("text").alias("n"))
-    return d.crossJoin(F.broadcast(d.agg(F.greatest(F.max("n"), F.lit(1)).alias("longest")))).select("doc_id", F.round(1 - 0.7 * F.col("n") / F.col("longest"), 9).alias("score"))
+    d = _docs(spark, sf_dir).where("lang = 'de'")
+    return fusion.length_scores(d).select("doc_id", F.round("rerank_score", 9).alias("score"))
 
 
 @_query(
@@ -416,16 +481,38 @@ def chunk_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", strategy_column(F.regexp_extract("url", r"^[^?#]*", 0)).alias("strategy"))
 
 
+def _collection(spark: SparkSession, sf_dir: str, name: str, **config) -> Collection:  # noqa: ANN003
+    """The documents as a collection; what was there is replaced."""
+    c = Collection(spark, _stored(spark, sf_dir, name), Config(**config))
+    d = _docs(spark, sf_dir)
+    c.overwrite(d.select(F.col("doc_id").cast("string").alias("id"), "text", F.map_filter(F.create_map(F.lit("lang"), "lang"), lambda _, v: v.isNotNull()).alias("metadata")))
+    return c
+
+
+def _stored_texts(c: Collection) -> DataFrame:
+    return c.documents().select(F.col("id").cast("long").alias("doc_id"), "text")
+
+
 @_query("SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def delete_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toxic = _table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
-    return _docs(spark, sf_dir).select("doc_id", "text").join(toxic, "doc_id", "left_anti")
+    c = _collection(spark, sf_dir, "delete")
+    c.delete(_table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("id")))
+    return _stored_texts(c)
 
 
 @_query("WITH n AS (SELECT item_id AS doc_id, text FROM benchmark) SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT doc_id, text FROM n")
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return _docs(spark, sf_dir).select("doc_id", "text").join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
+    c = _collection(spark, sf_dir, "upsert")
+    c.update(_table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text"))
+    return _stored_texts(c)
+
+
+@_query("SELECT doc_id, text FROM documents UNION ALL SELECT item_id, text FROM benchmark")
+def append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An id that is there already is there twice afterwards."""
+    c = _collection(spark, sf_dir, "append")
+    c.insert(_table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text"))
+    return _stored_texts(c)
 
 
 @_query("SELECT user_id AS id, event_id AS revision, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND event_type <> 'error'")
@@ -442,7 +529,15 @@ def language_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT doc_id, '' AS text, lang FROM documents")
 def storage_symbolic_pure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.lit("").alias("text"), "lang")
+    c = _collection(spark, sf_dir, "symbolic", symbolic=True)
+    return c.documents().select(F.col("id").cast("long").alias("doc_id"), "text", F.col("metadata")["lang"].alias("lang"))
+
+
+@_query("SELECT count(*) AS n, count(DISTINCT text) AS vectors, true AS in_range FROM documents WHERE text IS NOT NULL")
+def hash_embed_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts have one vector if and only if they are equal, and every component is in [0, 1)."""
+    e = _docs(spark, sf_dir).where("text is not null").select(HashEmbedder(16).column(F.col("text")).alias("e"))
+    return e.agg(F.count("*").alias("n"), F.count_distinct("e").alias("vectors"), F.bool_and(F.forall("e", lambda x: (x >= 0) & (x < 1))).alias("in_range"))
 
 
 @_query()

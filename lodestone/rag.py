@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.embed import BagEmbedder, Embedder
+from .operators.fusion import Reranker
 from .operators.chunking import chunk_files
 from .sources.collection import Collection
 from .sources.files import text_files
@@ -24,6 +25,7 @@ def ingest(c: Collection, root: str, extensions: Sequence[str] = EXTENSIONS, emb
     return len(c) - before
 
 
-def query(c: Collection, text: str, k: int = 10, hybrid: bool = False, embedder: Embedder | None = None) -> DataFrame:
+def query(c: Collection, text: str, k: int = 10, hybrid: bool = False, embedder: Embedder | None = None, reranker: Reranker | None = None) -> DataFrame:
+    """The word index of a hybrid query is stored with the collection's version."""
     e = embedder or BagEmbedder()
-    return c.hybrid_search(e.embed(text), text, k) if hybrid else c.search(e.embed(text), k)
+    return c.hybrid_search(e.embed(text), text, k, reranker=reranker) if hybrid else c.search(e.embed(text), k)

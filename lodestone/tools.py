@@ -36,5 +36,5 @@ def listing(c: Collection, limit: int = 100, offset: int = 0) -> list[dict]:
 def info(c: Collection) -> dict:
     docs = c.documents()
     n = docs.agg(F.count("*"), F.max(F.size("embedding")), F.count(F.when(F.size("embedding") > 0, 1))).first()
-    kinds = docs.groupBy(F.coalesce(F.col("metadata")["language"], F.lit("unknown")).alias("language")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "language").limit(50).collect()
+    kinds = docs.groupBy(F.coalesce(F.col("metadata")["language"], F.lit("unknown")).alias("language")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "language").collect()  # a row a language
     return {"name": c.name, "documents": n[0], "dimension": max(0, n[1] or 0), "embedded": n[2], "index": c.config.index, "metric": c.config.metric, "languages": [{"language": r["language"], "n": r["n"], "pct": 100.0 * r["n"] / n[0]} for r in kinds]}

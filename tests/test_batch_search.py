@@ -24,7 +24,7 @@ def exact(e):
 
 def test_registered_ivfpq_reaches_its_recall_with_every_row_as_a_query(spark, tables):
     e = spark.read.parquet(f"{tables}/embeddings.parquet")
-    index = queries._ivfpq(e)
+    index = queries._ivfpq(e, tables)
     found = index.search_batch(e.withColumnRenamed("vec_id", "query_id"), 10)
     r = search.recall(found, exact(e), 10).agg(F.avg("recall"), F.count("*")).first()
     assert r[0] >= 0.9 and r[1] == 600
