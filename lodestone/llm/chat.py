@@ -6,7 +6,7 @@ by seconds, documents by pages. Text is counted by a public tokenizer's vocabula
 
 Defined results: turns go by turn, then role, then text, nulls first; a null text is an empty turn; a null role is "unknown"; JSON that isn't a list of typed parts is
 prose; unknown part types become their JSON, as text; turns of a null conv_id form one conversation; repeated turns are kept; text that looks like a placeholder or a
-role mark is broken with a zero-width space, so that marks are the formatter's alone.
+role mark is broken with a zero-width space, so that marks are the formatter's alone; texts of any length are counted whole; an empty table gives no rows. Other columns, whatever their names, are not touched.
 """
 
 from __future__ import annotations

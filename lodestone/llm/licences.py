@@ -5,8 +5,8 @@ under", "this work is") is none, as others may carry it, or nothing in a heading
 place at which the template would begin (file position less template position); proposals that agree within DRIFT words are added up by IDF. A template whose anchors agree on one
 place for MINIMUM of its heaviest phrase's IDF is a candidate, and counts if its mandatory key phrases all stand, word by word, at that place.
 
-Defined results: null and empty texts hold no licence; of each licence the best place counts, of equal ones the first; a null doc_id is carried through; repeated rows each give
-theirs.
+Defined results: null and empty texts hold no licence; texts of any length are scanned whole; of each licence the best place counts, of equal ones the first; a null doc_id is carried through; repeated rows each give
+theirs; an empty table gives no rows. Other columns, whatever their names, are not touched.
 """
 
 from __future__ import annotations
