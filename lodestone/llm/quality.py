@@ -36,6 +36,7 @@ BUCKETS = 1 << 17
 PRIOR = 8.0
 #: Occurrences at which a word's neighbours count by half.
 RARE = 10.0
+UNIT = 127.0
 CLASS_WEIGHT = 4.0
 HIDDEN = 32
 KEEP = 0.5
@@ -98,7 +99,7 @@ def _both(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Places:
-    """By place: the words' occurrences, and the neighbours' part of their vector."""
+    """By place: the words' occurrences, and the neighbours' part of their vector, a byte a dimension in units of 1 / UNIT."""
 
     n: np.ndarray
     vectors: np.ndarray
@@ -150,14 +151,18 @@ def vectors_of(n: np.ndarray, sums: np.ndarray, all_n: int, all_sums: np.ndarray
     """The neighbours' part of the words' vectors: the direction in which they differ from all words', of length n / (n + RARE)."""
     mean = sums / np.maximum(n, 1)[:, None] - all_sums / max(1, all_n)
     out = mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-6) * (n / (n + RARE))[:, None]
-    return (out * (n > 0)[:, None]).astype(np.float16)
+    return np.round(out * (n > 0)[:, None] * UNIT).astype(np.int8)
+
+
+def _few_bytes(n: np.ndarray) -> np.ndarray:
+    return np.minimum(n, (1 << 32) - 1).astype(np.uint32)
 
 
 def places_of(texts: pa.Array) -> Places:
     x = Neighbours()
     x.add(texts)
     x.flush()
-    return Places(x.n, vectors_of(x.n, x.sums, x.n.sum(), x.sums.sum(0, dtype=np.int64)))
+    return Places(_few_bytes(x.n), vectors_of(x.n, x.sums, x.n.sum(), x.sums.sum(0, dtype=np.int64)))
 
 
 def corpus_places(docs: DataFrame) -> Places:
@@ -213,28 +218,37 @@ def corpus_places(docs: DataFrame) -> Places:
             for p, at, k, s in zip(*(b.column(c).to_pylist() for c in range(4))):
                 n = np.frombuffer(k, np.int64)
                 v = vectors_of(n, np.frombuffer(s, np.int64).reshape(-1, DIM), all_n, all_sums)
-                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "at": pa.array([at]), "n": pa.array([k]), "vectors": pa.array([v.tobytes()])})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "at": pa.array([at]), "n": pa.array([_few_bytes(n).tobytes()]), "vectors": pa.array([v.tobytes()])})
 
-    out = Places(np.zeros(2 * BUCKETS, np.int64), np.zeros((2 * BUCKETS, DIM), np.float16))
+    out = Places(np.zeros(2 * BUCKETS, np.uint32), np.zeros((2 * BUCKETS, DIM), np.int8))
     for p, at, k, v in found.select("part", "at", "n", "sums").mapInArrow(finish, "part int, at binary, n binary, vectors binary").toLocalIterator():
         own = p * step + np.frombuffer(at, np.int32)
-        out.n[own] = np.frombuffer(k, np.int64)
-        out.vectors[own] = np.frombuffer(v, np.float16).reshape(-1, DIM)
+        out.n[own] = np.frombuffer(k, np.uint32)
+        out.vectors[own] = np.frombuffer(v, np.int8).reshape(-1, DIM)
     discard(found)
     return out
 
 
+def _kinds() -> np.ndarray:
+    """The classes' index vectors, weighted."""
+    return index_vectors(np.arange(1, len(CLASSES) + 1, dtype=U) * U(0xC1A55)) * np.float32(CLASS_WEIGHT)
+
+
 class Model:
-    """Vectors by place, network and temperature. Without a network every probability is 1."""
+    """Class contexts by place, network and temperature; the places themselves travel apart (shared is their broadcast). Without a network every probability is 1."""
 
-    def __init__(self, places: Places):
-        self.places = places
+    def __init__(self, places: Places | None = None, lift: np.ndarray | None = None):
+        self.places, self.lift = places, lift
+        self.shared = None
         self.net: tuple[np.ndarray, ...] | None = None
         self.shift = self.scale = None
         self.temperature = 1.0
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"places": None, "shared": None}
+
     def features(self, texts: pa.Array) -> np.ndarray:
-        out = np.zeros((len(texts), 3 * DIM), np.float32)
+        out, kinds = np.zeros((len(texts), 3 * DIM), np.float32), _kinds()
         for i, h, ptr in tokens(texts):
             if not len(h):
                 continue
@@ -243,7 +257,7 @@ class Model:
             row, k = key // (2 * BUCKETS), key % (2 * BUCKETS)
             first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
             who = i + row[first]
-            v = self.places.vectors[k].astype(np.float32)
+            v = self.places.vectors[k] / np.float32(UNIT) + self.lift[k].astype(np.float32) @ kinds
             out[who, DIM : 2 * DIM] = np.maximum.reduceat(v, first, axis=0)
             out[who, 2 * DIM :] = np.minimum.reduceat(v, first, axis=0)
             v *= count[:, None].astype(np.float32)
@@ -287,7 +301,7 @@ def fit(texts: pa.Array, classes: np.ndarray, base: Places | None = None) -> Mod
     n = len(classes)
     good = (classes == 2).astype(np.float64)
     if not 0 < good.sum() < n:
-        return Model(Places(np.zeros(0, np.int64), np.zeros((0, DIM), np.float16)))
+        return Model()
     base = places_of(texts) if base is None else base
     a, b = n // 2, n - max(1, n // 10)
     few = n < 20 or min(good[a:b].sum(), (1 - good[a:b]).sum()) < 2
@@ -302,8 +316,7 @@ def fit(texts: pa.Array, classes: np.ndarray, base: Places | None = None) -> Mod
             c[:, k] += np.bincount(held[kind == k] % (2 * BUCKETS), minlength=2 * BUCKETS)
     p = np.maximum(np.bincount(classes[:a], minlength=len(CLASSES)) / max(1, a), 1e-9)
     lift = np.log((c + PRIOR * p) / (c.sum(1, keepdims=True) + PRIOR) / p) * (c.sum(1, keepdims=True) > 1)  # what one document has alone tells nothing of others
-    kinds = index_vectors(np.arange(1, len(CLASSES) + 1, dtype=U) * U(0xC1A55))
-    model = Model(Places(base.n, (base.vectors + (np.maximum(lift, 0) @ kinds) * CLASS_WEIGHT).astype(np.float16)))
+    model = Model(base, np.maximum(lift, 0).astype(np.float16))
     del c, lift
     if few:
         a = 0  # the network's documents, up to b
@@ -319,7 +332,7 @@ def fit(texts: pa.Array, classes: np.ndarray, base: Places | None = None) -> Mod
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The vectors are the whole corpus's; class contexts, network and temperature are fitted in one task of an executor. What comes to the driver is the model, of a vector a place."""
+    """The vectors are the whole corpus's; class contexts, network and temperature are fitted in one task of an executor. What comes to the driver is a vector a place, and the model."""
     q, t = F.min("quality"), F.max("toxic")
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias(f"{P}l"))
     known = known.agg(F.when(t == 1, 1).when(q == 1, 2).otherwise(0).alias(f"{P}c"), (F.min("quality") == F.max("quality")).alias(f"{P}a"), (F.min("toxic") == F.max("toxic")).alias(f"{P}b")).where(f"{P}a and {P}b")
@@ -337,16 +350,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return pa.table({"model": pa.array([pickle.dumps(fit(texts, classes, base.value))], pa.binary())})
 
     found = rows.groupBy(F.lit(0).alias(f"{P}g")).applyInArrow(lambda t: run(t), "model binary").collect()
-    base.unpersist()
-    return pickle.loads(found[0][0]) if found else Model(Places(np.zeros(0, np.int64), np.zeros((0, DIM), np.float16)))
+    model = pickle.loads(found[0][0]) if found else Model()
+    model.shared = base
+    return model
 
 
 def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
     """A function from a text column to the calibrated probability that the document is good."""
-    shared = spark.sparkContext.broadcast(model)
+    places, shared = model.shared, spark.sparkContext.broadcast(model)
 
     def start():  # noqa: ANN202
         m = shared.value
+        m.places = places.value
         return lambda texts: pa.array(m.probabilities(texts), pa.float64())
 
     return lambda text: arrow_map(start, "double", text)
