@@ -62,6 +62,20 @@ def _blocks(df: DataFrame, id_col: str, vector: str, prefix: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long"), F.col(vector).cast("array<float>")).mapInArrow(run, f"{prefix}ids binary, {prefix}vectors binary, {prefix}dim int")
 
 
+def best_columns(s: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Of each row of scores the columns of the n best, best first, equal ones by id. Only rows with ties at the end of the list are sorted whole."""
+    if n < s.shape[1]:
+        at = np.argpartition(-s, n - 1, axis=1)[:, :n]
+        last = np.take_along_axis(s, at, 1).min(1)
+        tied = np.flatnonzero((s >= last[:, None]).sum(1) > n)
+        if len(tied):
+            at[tied] = np.lexsort((np.broadcast_to(ids, (len(tied), len(ids))), -s[tied]), axis=1)[:, :n]
+    else:
+        at = np.broadcast_to(np.arange(s.shape[1]), s.shape)
+    order = np.lexsort((ids[at], -np.take_along_axis(s, at, 1)), axis=1)
+    return np.take_along_axis(at, order, 1)
+
+
 def batch_knn(queries: DataFrame, docs: DataFrame, k: int, metric: str = "cosine", query_id: str = "query_id", id_col: str = "id", vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
     """query_id, doc_id, score, rank: the k best of docs for every query. Both sides travel as blocks; each pair of blocks is one matrix product whose best k a query are sent on."""
     if metric not in METRICS:
@@ -78,7 +92,7 @@ def batch_knn(queries: DataFrame, docs: DataFrame, k: int, metric: str = "cosine
                 n = min(k, len(di))
                 if n <= 0:
                     continue
-                order = np.lexsort((np.broadcast_to(di, s.shape), -s), axis=1)[:, :n]
+                order = best_columns(s, di, n)
                 v = np.take_along_axis(s, order, 1).ravel()
                 ok = v > -np.inf
                 yield pa.RecordBatch.from_pydict({"query_id": np.repeat(qi, n)[ok], "doc_id": di[order].ravel()[ok], "score": v[ok]})

@@ -45,3 +45,14 @@ def test_every_row_is_a_query_and_has_its_recall(spark, tables, name):
         want = queries.quantize.sq_topk(e, v, 10, queries.quantize.fit(e), id_col="vec_id").collect()
         found = queries.QUERIES["sq_topk_batch"](spark, tables).where("query_id = 7").orderBy("rank").collect()
         assert [(r["doc_id"], r["score"]) for r in found] == [(r["vec_id"], r["score"]) for r in want]
+
+
+def test_best_columns_with_ties():
+    rng = np.random.default_rng(2)
+    ids = rng.permutation(50)
+    for high in (3, 40, 10_000):
+        s = rng.integers(0, high, (30, 50)).astype(float)
+        s[:, 7] = -np.inf
+        for n in (1, 5, 49, 50):
+            want = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :n]
+            assert (search.best_columns(s, ids, n) == want).all()
