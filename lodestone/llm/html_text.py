@@ -168,6 +168,19 @@ def decode(n: int, packed: bytes, gaps: bytes, bits: int) -> np.ndarray:
     return v
 
 
+def _new(v: np.ndarray) -> np.ndarray:
+    """Where sorted numbers differ from the one before."""
+    new = np.ones(len(v), bool)
+    np.not_equal(v[1:], v[:-1], out=new[1:])
+    return new
+
+
+def _distinct(v: np.ndarray) -> np.ndarray:
+    """The distinct numbers, sorted. np.unique goes by a hash table: 0.73 s for a batch that is sorted in 0.01 s (numpy 2.3)."""
+    v = np.sort(v)
+    return v[_new(v)]
+
+
 def _ids(distinct: np.ndarray, bits: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Where the partitions cut sorted hashes of that many bits, and the partitions that have some."""
     p = (distinct >> U(bits - int(math.log2(parts)))).astype(np.int64)
@@ -186,7 +199,7 @@ def _runs(depth: int, bits: int, parts: int):
         for b in batches:
             for i in range(b.num_rows):
                 s = Suffixes(b.column(1)[i].values, b.column(2)[i].values, depth)
-                u = np.unique(s.w >> U(64 - bits))
+                u = _distinct(s.w >> U(64 - bits))
                 cut, some = _ids(u, bits, parts)
                 u &= U((1 << rest) - 1)
                 codes = [encode(u[cut[p] : cut[p + 1]], rest) for p in some]
@@ -223,7 +236,7 @@ def _groups(s: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     """The suffix array of a batch: the suffixes in the order of their leading tokens' hash, each group's start in it, size, and number of distinct pages."""
     order = np.argsort(s.w, kind="stable")
     w, page = s.w[order], s.page[order]
-    start = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
+    start = np.flatnonzero(_new(w))
     new = np.ones(len(w), np.int32)  # within a group the order is by place, so pages ascend
     new[1:] = page[1:] != page[:-1]
     new[start] = 1
@@ -234,12 +247,12 @@ def _may(s: Suffixes, hits: pa.Scalar, bits: int, parts: int) -> tuple[np.ndarra
     """The suffix array's order, groups and numbers of pages, and the groups that may be repeated: by two pages of the batch or, as _repeated said, by another batch."""
     order, start, size, pages = _groups(s)
     top = s.w[order[start]] >> U(64 - bits)
-    u = np.unique(top)
-    cut, _ = _ids(u, bits, parts)
-    hit = np.zeros(len(u), bool)
+    new = _new(top)
+    cut, _ = _ids(top[new], bits, parts)
+    hit = np.zeros(int(cut[-1]), bool)
     for p, x in zip(*(hits.values.field(k).to_pylist() for k in (0, 1))) if hits.is_valid else ():
         hit[cut[p] : cut[p + 1]] = np.unpackbits(np.frombuffer(x, np.uint8), count=int(cut[p + 1] - cut[p]))
-    return order, start, size, pages, (pages > 1) | hit[np.searchsorted(u, top)]
+    return order, start, size, pages, (pages > 1) | hit[np.cumsum(new) - 1]
 
 
 def _small(a: np.ndarray) -> bytes:
