@@ -4,14 +4,24 @@ from __future__ import annotations
 
 import numpy as np
 
-from ..functions.distance import scores
-
 ITERATIONS, SAMPLE, SEED = 30, 100_000, 42
+#: Rows of one matrix product.
+ROWS = 4096
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray, metric: str = "euclidean") -> np.ndarray:
     """The first of the best centroids of each row."""
-    return scores(x, centroids, metric).argmax(1) if len(x) else np.zeros(0, np.int64)
+    c = np.asarray(centroids, np.float64)
+    norm = np.sqrt((c * c).sum(1))
+    if metric == "cosine":
+        c = c / np.where(norm > 0, norm, 1)[:, None]
+    out = np.zeros(len(x), np.int64)
+    for lo in range(0, len(x), ROWS):  # what all centroids have alike doesn't count
+        s = np.asarray(x[lo : lo + ROWS], np.float64) @ c.T
+        if metric == "euclidean":
+            s -= norm * norm / 2
+        out[lo : lo + ROWS] = s.argmax(1)
+    return out
 
 
 def kmeans(x: np.ndarray, k: int, metric: str = "euclidean", iterations: int = ITERATIONS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -35,7 +45,6 @@ def kmeans(x: np.ndarray, k: int, metric: str = "euclidean", iterations: int = I
             break
         who = new
         n = np.bincount(who, minlength=filled)
-        sums = np.zeros((filled, x.shape[1]))
-        np.add.at(sums, who, x)
+        sums = np.stack([np.bincount(who, column, filled) for column in x.T], 1)
         c[:filled][n > 0] = sums[n > 0] / n[n > 0, None]
     return c, who
