@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
@@ -12,12 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidConfig
-from ..functions.distance import score as score_pair
 from ..functions.distance import score_query, scores
 from ..sources.versions import Versions
 from .base import Index
 from .kmeans import SAMPLE, kmeans, nearest
-from .search import BLOCK, _blocks, as_matrix, ranked
+from .search import BLOCK, FOUND, Best, as_matrix, chosen, groups_of, packed, streamed, vector_blocks
 
 #: Neighbours whose recall is calibrated, and most queries for that.
 RECALL_K, CALIBRATION = 10, 500
@@ -88,14 +87,16 @@ class Quantizer:
         return np.lexsort((np.arange(len(s)), -s))[:n].tolist()
 
 
-def train(x: np.ndarray, config: Config) -> Quantizer:
+def train(x: np.ndarray, config: Config, each: Callable[[Callable, list], list] = lambda f, xs: [f(x) for x in xs]) -> Quantizer:
+    """each: how the codebooks, one a list of subvectors, are trained, here one after the other."""
     if x.shape[1] < config.n_subvectors:
         raise InvalidConfig("fewer dimensions than subvectors")
     q = Quantizer(np.zeros((0, 0)), np.zeros((0, 0, 0)), config.metric)
     x = q.prepared(x)
     q.centroids, _ = kmeans(x, min(config.n_clusters, len(x)), config.metric)
     width = x.shape[1] // config.n_subvectors
-    q.codebooks = np.stack([kmeans(x[:, j * width : (j + 1) * width], min(256, len(x)))[0] for j in range(config.n_subvectors)])
+    n = min(256, len(x))
+    q.codebooks = np.stack(each(lambda part: kmeans(part, n)[0], [np.ascontiguousarray(x[:, j * width : (j + 1) * width]) for j in range(config.n_subvectors)]))
     return q
 
 
@@ -106,9 +107,11 @@ def calibrate(x: np.ndarray, q: Quantizer, config: Config) -> tuple[int, int]:
     cell, codes = q.encode(x)
     prepared = q.prepared(x)
     at, ranks = np.zeros((min(n, CALIBRATION), k), np.int64), np.zeros((min(n, CALIBRATION), k, cells), np.int64)
+    best = Best(np.arange(len(at)), prepared[: len(at)], k, config.metric)
+    for lo in range(0, n, BLOCK):
+        best.add(np.arange(lo, min(n, lo + BLOCK)), prepared[lo : lo + BLOCK])
     for i in range(len(at)):
-        exact = scores(prepared[i : i + 1], prepared, config.metric)[0]
-        true = np.lexsort((np.arange(n), -exact))[:k]
+        true = best.doc[i]
         order = np.empty(cells, np.int64)
         order[q.probes(x[i], cells)] = np.arange(cells)
         turn = order[cell]
@@ -129,6 +132,54 @@ def calibrate(x: np.ndarray, q: Quantizer, config: Config) -> tuple[int, int]:
         depth *= 2
 
 
+class _Probing:
+    """The task of search_batch(). A code stands for the vector that its codebooks spell, of which a query's table adds up the products."""
+
+    def __init__(self, q: Quantizer, n_probe: int, most: int, k: int, rerank: str | None):
+        self.q, self.n_probe, self.most, self.k, self.rerank = q, n_probe, most, k, rerank
+        self.got: list[tuple[np.ndarray, np.ndarray]] = []
+        self.best: Best | None = None
+
+    def first(self, dim: int, a: bytes, b: bytes, c: bytes) -> None:
+        self.got.append((np.frombuffer(a, np.int64), np.frombuffer(b, np.float32).reshape(-1, dim)))
+
+    def _begin(self) -> None:
+        ids, vectors = map(np.concatenate, zip(*self.got))
+        x, cells = self.q.prepared(vectors), len(self.q.centroids)
+        of = [np.zeros(0, np.int64)]
+        for lo in range(0, len(x), BLOCK):
+            s = scores(x[lo : lo + BLOCK], self.q.centroids, self.q.metric)
+            of.append(np.argsort(-s, axis=1, kind="stable")[:, : self.n_probe].ravel())
+        cell, row = np.concatenate(of), np.repeat(np.arange(len(x)), min(self.n_probe, cells))
+        order = np.argsort(cell, kind="stable")
+        self.rows = np.split(row[order], np.cumsum(np.bincount(cell, minlength=cells))[:-1])  # by cell the queries that probe it
+        self.best = Best(ids, x[:, : self.q.width * len(self.q.codebooks)], self.most, "euclidean" if self.q.metric == "euclidean" else "dot", more=self.rerank is not None)
+        self.exact = Best(ids, vectors, 0, self.rerank) if self.rerank else None
+        self.got = []
+
+    def then(self, dim: int | None, a: bytes, b: bytes, c: bytes) -> None:
+        if self.got:
+            self._begin()
+        if self.best is None:
+            return
+        ids, cids = np.frombuffer(a, np.int64).reshape(2, -1)
+        codes = np.frombuffer(b, np.uint8).reshape(len(ids), -1)
+        d = np.frombuffer(c, np.float32).reshape(len(ids), -1) if self.rerank else None
+        more = None
+        for cid, lo, n in zip(*(x.tolist() for x in np.unique(cids, return_index=True, return_counts=True))):
+            own = slice(lo, lo + n)
+            if self.rerank:
+                v = d[own].astype(np.float64)
+                norm = np.sqrt(np.einsum("ij,ij->i", v, v))
+                more = lambda r, col: np.nan_to_num(self.exact._scores(r, v, norm, col), nan=-np.inf)  # noqa: B023, E731
+            self.best.add(ids[own], np.concatenate([book[codes[own, j]] for j, book in enumerate(self.q.codebooks)], 1), self.rows[cid], more)
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.best is not None:
+            b = self.best
+            yield chosen(np.repeat(b.ids, self.most), b.doc.ravel(), (b.more if self.rerank else b.score).ravel(), self.k)
+
+
 class IvfPq(Index):
     """codes: id, cid, code, live. Training and calibration take a bounded sample, by the smallest hashes of ids; encoding covers every row."""
 
@@ -144,44 +195,34 @@ class IvfPq(Index):
         x, _ = as_matrix(some["v"].combine_chunks() if len(some) else pa.array([], pa.list_(pa.float32())))
         if not len(x):
             raise InvalidConfig("no vectors to train on")
-        q = train(x, config)
+        sc = docs.sparkSession.sparkContext
+        q = train(x, config, lambda f, xs: sc.parallelize(xs, len(xs)).map(f).collect())  # a task a codebook
         return cls(config, q, encode(rows, q), docs, id_col, vector, calibrate(x, q, config) if config.recall else None)
 
     def search_batch(self, queries: DataFrame, k: int) -> DataFrame:
-        """queries: query_id, embedding. query_id, doc_id, score, rank: for every query what search() gives. Codes and queries travel as blocks, each pair of blocks sends on its best rows a query."""
+        """queries: query_id, embedding. query_id, doc_id, score, rank: for every query what search() gives. Codes go by in blocks, with their vectors where these score again; a task holds its queries and their best."""
         most = self.depth * k if self.config.rerank else k
-        quantizer = self.codes.sparkSession.sparkContext.broadcast(self.quantizer)
-        n_probe, euclidean = self.n_probe, self.config.metric == "euclidean"
-
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for lo in range(0, b.num_rows, BLOCK):
-                    part = b.slice(lo, BLOCK)
-                    ids, cids = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
-                    yield pa.RecordBatch.from_pydict({"dids": pa.array([ids.tobytes()]), "cids": pa.array([cids.tobytes()]), "codes": pa.array([b"".join(part.column(2).to_pylist())])})
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q = quantizer.value
-            for b in batches:
-                for row in b.to_pylist():
-                    qi, di, cell = (np.frombuffer(row[c], np.int64) for c in ("qids", "dids", "cids"))
-                    codes = np.frombuffer(row["codes"], np.uint8).reshape(len(di), -1)
-                    for query, v in zip(qi.tolist(), np.frombuffer(row["qvectors"], np.float32).reshape(len(qi), -1)):
-                        at = np.flatnonzero(np.isin(cell, q.probes(v, n_probe)))
-                        s = q.table(v)[np.arange(codes.shape[1])[None], codes[at]].sum(1)
-                        best = np.lexsort((di[at], -s))[:most]
-                        if len(best):
-                            s = s[best]
-                            yield pa.RecordBatch.from_pydict({"query_id": np.full(len(best), query), "doc_id": di[at[best]], "score": -np.sqrt(-np.minimum(s, 0)) if euclidean else s})
-
-        rows = self.codes.where("live").select(F.col("id").cast("long"), "cid", "code").mapInArrow(pack, "dids binary, cids binary, codes binary")
-        found = ranked(_blocks(queries, "query_id", "embedding", "q").crossJoin(rows).mapInArrow(run, "query_id long, doc_id long, score double"), most)
-        if not self.config.rerank:
-            return found
-        docs = self.docs.select(F.col(self.id_col).cast("long").alias("doc_id"), F.col(self.vector).alias("_v"))
-        asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").alias("_q"))
-        pairs = found.select("query_id", "doc_id").join(docs, "doc_id").join(asked, "query_id")
-        return ranked(pairs.select("query_id", "doc_id", score_pair(F.col("_v"), F.col("_q"), self.config.metric).alias("score")), k)
+        spark = self.codes.sparkSession
+        quantizer = spark.sparkContext.broadcast(self.quantizer)
+        n_probe, metric, rerank = self.n_probe, self.config.metric, self.config.rerank
+        rows = self.codes.where("live").select(F.col("id").cast("long").alias("id"), F.col("cid").cast("long").alias("cid"), "code")
+        if rerank:
+            docs = self.docs.select(F.col(self.id_col).cast("long").alias("_id"), F.col(self.vector).cast("array<float>").alias("_v"))
+            rows = rows.join(docs, F.col("id") == F.col("_id"), "left").drop("_id")
+
+        def pack(b: pa.RecordBatch) -> Iterator[dict]:
+            b = b.take(pa.array(np.argsort(b.column(1).to_numpy(), kind="stable")))
+            out = {"a": np.stack([b.column(c).to_numpy() for c in (0, 1)]).astype(np.int64).tobytes(), "b": b"".join(b.column(2).to_pylist())}
+            if rerank:
+                m, at = as_matrix(b.column(3))
+                v = np.full((b.num_rows, m.shape[1]), np.nan, np.float32)  # a code without its vector takes its place, but isn't found
+                v[at] = m
+                out |= {"dim": m.shape[1], "c": v.tobytes()}
+            yield out
+
+        groups = groups_of(spark, queries.count(), most)
+        make = lambda: _Probing(quantizer.value, n_probe, most, k, metric if rerank else None)
+        return streamed(vector_blocks(queries, "query_id", "embedding", groups), packed(rows, pack, 4 * BLOCK), groups, make, FOUND)
 
     def search(self, query: Sequence[float], k: int) -> DataFrame:
         """id, score: the best k live rows of the probed cells by their codes or, with rerank, of those the best k of depth * k (depth: 4, or as calibrated) by exact scores."""

@@ -56,3 +56,47 @@ def test_best_columns_with_ties():
         for n in (1, 5, 49, 50):
             want = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :n]
             assert (search.best_columns(s, ids, n) == want).all()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+def test_best_equals_all_scores_sorted(metric):
+    """Blocks in any number and order, ties within and between blocks, vectors without length, a query's own id left out."""
+    rng = np.random.default_rng(3)
+    d = rng.integers(-2, 3, (700, 4)).astype(np.float32) * rng.choice([1, 1e-4, 1e4], (700, 1)).astype(np.float32)
+    q, own = d[::7].copy(), np.arange(0, 700, 7)
+    for exclude in (False, True):
+        best = search.Best(own, q, 9, metric, exclude)
+        for at in np.array_split(rng.permutation(700), [3, 40, 41, 400]):
+            best.add(at, d[at])
+        x, y = q[:, None].astype(float), d[None].astype(float)
+        s = -np.sqrt(((x - y) ** 2).sum(2)) if metric == "euclidean" else (x * y).sum(2)
+        if metric == "cosine":
+            n = np.sqrt((x * x).sum(2)) * np.sqrt((y * y).sum(2))
+            s = np.divide(s, n, out=np.zeros_like(s), where=n > 0)
+        if exclude:
+            s[np.arange(len(own)), own] = -np.inf
+        for i in range(len(own)):
+            assert best.score[i] == pytest.approx(np.sort(s[i])[::-1][:9], rel=1e-12, abs=1e-12)
+            assert s[i][best.doc[i]] == pytest.approx(best.score[i], rel=1e-12, abs=1e-12) and len(set(best.doc[i])) == 9
+            for a, b in zip(range(8), range(1, 9)):
+                assert best.score[i][a] > best.score[i][b] or best.doc[i][a] < best.doc[i][b]
+
+
+@pytest.mark.parametrize("name", ["batch_knn_cosine", "sq_topk_batch", "sq_rescore_batch", "ivfpq_batch"])
+def test_tasks_keep_the_best_instead_of_sending_pairs_of_blocks(spark, tables, name):
+    plan = queries.QUERIES[name](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("CartesianProduct", "BroadcastNestedLoopJoin", "Window"))
+
+
+def test_queries_of_a_batch_are_found_whole(spark):
+    """More than a product's rows, several groups, an id that asks twice, and vectors of another dimension in another partition."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2500, 8)).astype(np.float32)
+    schema = "id long, embedding array<float>"
+    e = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], schema)
+    twice = e.select(F.when(F.col("id") == 2499, 0).otherwise(F.col("id")).alias("query_id"), "embedding")
+    got = search.batch_knn(twice, e.union(spark.createDataFrame([(9999, [1.0, 2.0])], schema)), 3)
+    n = got.groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("last"))
+    assert n.where("n = 3 and last = 3").count() == n.count() == 2499
+    best = {(r["query_id"], r["rank"]): r["doc_id"] for r in got.collect()}
+    assert all(best[i, 1] == i for i in range(1, 2499)) and {best[0, 1], best[0, 2]} == {0, 2499}
