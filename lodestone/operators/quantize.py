@@ -9,8 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import score, score_i8, score_query
-from .search import batch_knn, ranked
+from ..functions.distance import score_i8, score_query
+from .search import FOUND, Nearest, batch_knn, groups_of, streamed, vector_blocks
 
 
 @dataclass(frozen=True)
@@ -69,8 +69,9 @@ def sq_batch(queries: DataFrame, docs: DataFrame, k: int, sq: Scalar, id_col: st
 
 
 def sq_rescored_batch(queries: DataFrame, docs: DataFrame, k: int, sq: Scalar, metric: str = "cosine", id_col: str = "id", vector: str = "embedding") -> DataFrame:
-    """For every query the best 2k by codes, of them the best k by exact scores."""
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").alias("_q"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(vector).alias("_v"))
-    pairs = sq_batch(queries, docs, 2 * k, sq, id_col, vector).select("query_id", "doc_id").join(rows, "doc_id").join(asked, "query_id")
-    return ranked(pairs.select("query_id", "doc_id", score(F.col("_v"), F.col("_q"), metric).alias("score")), k)
+    """For every query the best 2k by codes, of them the best k by exact scores; vectors travel with their codes, so that a task that finds a pair scores it too."""
+    codes = lambda v: sq.encode(F.col(v)).cast("array<float>").alias("codes")
+    asked = queries.where(F.size("embedding") == len(sq.scales)).select("query_id", "embedding", codes("embedding"))
+    rows = docs.where(F.size(vector) == len(sq.scales)).select(F.col(id_col).alias("id"), F.col(vector).alias("embedding"), codes(vector))
+    groups = groups_of(docs.sparkSession, queries.count(), 2 * k)
+    return streamed(vector_blocks(asked, "query_id", "codes", groups, "embedding"), vector_blocks(rows, "id", "codes", 0, "embedding"), groups, lambda: Nearest(2 * k, "dot", rescore=(k, metric)), FOUND)
