@@ -197,10 +197,10 @@ def packed(df: DataFrame, pack: Callable[[pa.RecordBatch], Iterator[dict]], rows
 
 
 def streamed(first: DataFrame, then: DataFrame, groups: int, make: Callable[[], object], schema: str) -> DataFrame:
-    """Blocks as packed() gives them. Every group is one task: it takes the blocks of `first` that have its part, then, one after the other, those of `then`: of its part, or all of those that have none.
+    """Blocks as packed() gives them. Every group is one task: it takes the blocks of `first` that have its part, then, one after the other, those of `then`: of its part, or all of those that have none. A column parts (array) names the parts instead.
     make() gives an object with first(block), then(block), which may yield rows, and end(). What a task holds is bounded by its part of `first`; the blocks of `then` pass by."""
     parts = F.when(F.col("part").isNull(), F.sequence(F.lit(0), F.lit(groups - 1))).otherwise(F.array("part"))
-    both = reduce(DataFrame.unionByName, (x.select(F.explode(parts).alias("part"), F.lit(n).alias("n"), "dim", "a", "b", "c") for n, x in enumerate((first, then))))
+    both = reduce(DataFrame.unionByName, (x.select(F.explode("parts" if "parts" in x.columns else parts).alias("part"), F.lit(n).alias("n"), "dim", "a", "b", "c") for n, x in enumerate((first, then))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = make()
@@ -288,3 +288,12 @@ def recall(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     """query_id, recall: the share of the exact k that approx has."""
     hit = exact.join(approx.select("query_id", "doc_id").distinct().withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
     return hit.groupBy("query_id").agg((F.coalesce(F.sum("hit"), F.lit(0)) / F.lit(float(k))).alias("recall"))
+
+
+def mean_recalls(found: DataFrame, exact: DataFrame, k: int, names: list[str]) -> DataFrame:
+    """name, queries, recall: the mean recall of what each name has found (query_id, doc_id, name), all against one pass over the exact k."""
+    by = found.groupBy("query_id", "doc_id").agg(F.collect_set("name").alias("names"))
+    hit = exact.join(by, ["query_id", "doc_id"], "left").groupBy("query_id")
+    shares = hit.agg(*((F.coalesce(F.sum(F.array_contains("names", name).cast("int")), F.lit(0)) / F.lit(float(k))).alias(f"r{i}") for i, name in enumerate(names)))
+    means = shares.agg(F.count("*").alias("queries"), *(F.avg(f"r{i}").alias(f"r{i}") for i in range(len(names))))
+    return means.select("queries", F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.col(f"r{i}").alias("recall")) for i, name in enumerate(names)))).alias("x")).select("x.name", "queries", "x.recall")

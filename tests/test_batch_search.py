@@ -1,10 +1,12 @@
 """Searches in which every row is a query."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import search
+from lodestone.operators import hnsw, search
 from lodestone.plans import queries
 
 
@@ -100,3 +102,36 @@ def test_queries_of_a_batch_are_found_whole(spark):
     assert n.where("n = 3 and last = 3").count() == n.count() == 2499
     best = {(r["query_id"], r["rank"]): r["doc_id"] for r in got.collect()}
     assert all(best[i, 1] == i for i in range(1, 2499)) and {best[0, 1], best[0, 2]} == {0, 2499}
+
+
+@pytest.mark.parametrize("config", [hnsw.Config(), hnsw.Config(metric="euclidean"), hnsw.Config(ef_construction=100, ef_search=100, codes=True)])
+def test_graphs_are_built_and_walked_in_blocks(config):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30, 16))[rng.integers(30, size=4000)] + 0.5 * rng.normal(size=(4000, 16))
+    x[3900:] = x[17]  # and many equal ones
+    began = time.time()
+    g = hnsw.Graph(x, config)
+    s, at = g.search_many(x[:700], 10)
+    assert time.time() - began < 10  # inserted one by one: 20 s and more
+    best = search.Best(np.arange(700), x[:700], 10, config.metric)
+    best.add(np.arange(4000), x)
+    level = best.score[:, -1:] - 1e-5  # of equal ones any
+    assert (s >= level).mean() > (0.85 if config.codes else 0.98) and (np.diff(s, axis=1) <= 0).all() and all(len(set(r)) == 10 for r in at.tolist())
+    one = g.search(x[3], 10)
+    assert [n for _, n in one] == at[3].tolist() and [t for t, _ in one] == s[3].tolist()
+    assert all(len(set(r[r >= 0])) == (r >= 0).sum() and i not in r for i, r in enumerate(g.links[0]))
+
+
+def test_shards_and_slices_of_queries_meet_once(spark, tmp_path):
+    x = np.random.default_rng(6).normal(size=(1500, 8)).astype(np.float32)
+    e = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, embedding array<float>")
+    index = hnsw.Hnsw.build(e, hnsw.Config(shard_rows=400)).save(str(tmp_path / "g"))
+    assert index.n == 4 and index.shards.count() == 4
+    asked = e.withColumnRenamed("id", "query_id")
+    found = index.search_batch(asked, 10)
+    assert found.count() == 15_000 and found.select("query_id", "doc_id").distinct().count() == 15_000
+    assert not any(x in found._jdf.queryExecution().executedPlan().toString() for x in ("CartesianProduct", "BroadcastNestedLoopJoin"))
+    got = {r["name"]: (r["queries"], r["recall"]) for r in search.mean_recalls(found.select("query_id", "doc_id", F.lit("a").alias("name")), search.batch_knn(asked, e, 10), 10, ["a", "none"]).collect()}
+    one = search.recall(found, search.batch_knn(asked, e, 10), 10).agg(F.avg("recall")).first()[0]
+    assert got == {"a": (1500, pytest.approx(one)), "none": (1500, 0.0)} and one > 0.95
+    assert hnsw.Hnsw.build(e.where("false"), hnsw.Config()).search([1.0] * 8, 3).count() == 0
