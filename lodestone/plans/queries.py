@@ -393,7 +393,7 @@ SELECT item_id AS query_id, doc_id, round(s, 6) AS score FROM b QUALIFY row_numb
 )
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item is a query."""
-    found = bm25.Bm25(_docs(spark, sf_dir), "doc_id").search_batch(_table(spark, sf_dir, "benchmark"), "item_id")
+    found = bm25.Bm25(_docs(spark, sf_dir), "doc_id").search_batch(_table(spark, sf_dir, "benchmark"), "item_id", k=3)
     top = search.ranked(found.withColumn("score", F.round("score", 9)), 3)
     return top.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
@@ -422,7 +422,7 @@ def bm25_stored_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(ORACLES["bm25_batch"])
 def bm25_stored_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _words(spark, sf_dir).search_batch(_table(spark, sf_dir, "benchmark"), "item_id")
+    found = _words(spark, sf_dir).search_batch(_table(spark, sf_dir, "benchmark"), "item_id", k=3)
     return search.ranked(found.withColumn("score", F.round("score", 9)), 3).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 

@@ -263,3 +263,51 @@ def test_directory_commands(spark, tmp_path, capsys):
     cli.main([str(tmp_path / "w"), "rag-watch", str(tmp_path / "t"), "--once", "--hash"], spark)
     out = [json.loads(x) for x in capsys.readouterr().out.strip().split("\n")]
     assert out[0] == {"chunks": 2, "skipped": 2} and out[1][0]["text"] == "alpha words" and out[2]["dimension"] == 16 and out[-1] == {"chunks": 2} and out[3]["kind"] == "updated"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_made_where_texts_lie(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "WORDS", 5)  # several slices
+    docs = texts(spark, [*TEXTS, None])
+    assert "Exchange" not in plan_of(bm25.postings(docs))
+    got = {(r["term"], r["doc_id"]): (r["positions"], r["tf"]) for r in bm25.postings(docs).collect()}
+    want = {}
+    for i, t in enumerate(TEXTS):
+        for at, w in enumerate(tokens_of(t)):
+            want.setdefault((w, i), []).append(at)
+    assert got == {key: (at, len(at)) for key, at in want.items()}
+    twice = docs.union(spark.createDataFrame([(0, "time part")], "id long, text string"))
+    got = {(r["term"], r["doc_id"]): (r["positions"], r["tf"]) for r in bm25.postings(twice).collect()}
+    assert got["part", 0] == ([0, 1, 3], 3) and got["time", 0] == ([0, 1, 4], 3) and got["job", 0] == ([2], 1) and len(got) == len(want)
+
+
+@pytest.mark.parametrize("extra", [[], [(0, "time part part"), (3, "full")]])  # ids with several texts
+def test_batch_search_scores_documents_where_they_lie(spark, tmp_path, monkeypatch, extra):
+    rows = list(enumerate([*TEXTS, "time " * 3, "zebra", "part time job part time", "zebra a"])) + extra
+    docs = spark.createDataFrame(rows, "id long, text string")
+    asked = [(7, "part time zebra"), (8, "zebra zebra a"), (9, "nothing"), (10, None), (7, "full time")]
+    q = spark.createDataFrame(asked, "query_id long, text string")
+    tf, of, total = {}, {}, 0
+    for i, t in rows:
+        of.setdefault(i, []).append(len(tokens_of(t)))
+        total += of[i][-1]
+        for w in tokens_of(t):
+            tf[w, i] = tf.get((w, i), 0) + 1
+    want = {}
+    for k, t in asked:
+        for w in tokens_of(t or ""):
+            df = sum(x == w for x, _ in tf)
+            idf = math.log((len(rows) - df + 0.5) / (df + 0.5)) + 1
+            for (x, i), n in tf.items():
+                if x == w and idf > 0:
+                    want[k, i] = want.get((k, i), 0) + sum(idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * d / (total / len(rows)))) for d in of[i])
+    monkeypatch.setattr(bm25, "SCORES", 9)  # documents in several parts
+    for x in (bm25.Bm25(docs), bm25.Bm25(docs).save(str(tmp_path / "w"))):
+        found = x.search_batch(q)
+        assert {(r["query_id"], r["doc_id"]): r["score"] for r in found.collect()} == pytest.approx(want)
+        assert "SortMergeJoin" not in plan_of(found)
+        best = lambda df: sorted((r["query_id"], r["doc_id"], r["rank"]) for r in search.ranked(df.withColumn("score", F.round("score", 9)), 2).collect())
+        assert best(x.search_batch(q, k=2)) == best(found) and len(best(found)) == 4
