@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,22 @@ def test_manifests(spark):
     df = spark.createDataFrame([("a.rs", "fn f(x: u8) {\n return x;\n}", {"k": "v"}), ("b", " ", {})], "id string, text string, metadata map<string,string>")
     got = {r["id"]: r["metadata"] for r in sml.enrich(df).collect()}
     assert got["a.rs"]["sml"] == "-> f(x) :\n   -> x\n" and got["a.rs"]["k"] == "v" and "sml" not in got["b"]
+
+
+def test_chunks_are_cut_a_few_texts_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(C, "BYTES", 100)
+    texts = ["", "a" * 90, "b" * 30 + "\n\n" + "c" * 80, None, "é" * 200, "d"] * 3
+    b = pa.RecordBatch.from_pydict({"_text": pa.array(texts, pa.string())})
+    pieces = list(C._pieces(b, "_text"))
+    assert [t for p in pieces for t in p.column(0).to_pylist()] == texts and len(pieces) > 8
+    assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column(0).to_pylist()) <= 100 for p in pieces)
+    rows = [(None if i == 4 else i, t, {"k": str(i)}, None if i % 2 else [i]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "id long, text string, m map<string,string>, a array<int>")
+    found = C.split_documents(docs, 64, 8)
+    assert found.columns == ["id", "text", "m", "a"] and found.schema["m"].dataType == docs.schema["m"].dataType
+    want = [(f"{i}-{n}" if i is not None else str(n), c, m, a) for i, t, m, a in rows for n, c in enumerate(C.split_text(t or "", 64, 8))]
+    assert sorted(map(str, ((r["id"], r["text"], r["m"], r["a"]) for r in found.collect()))) == sorted(map(str, want))
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+    files = docs.select(F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".txt")).alias("path"), "text").where("path is not null")
+    got = C.chunk_files(files, 64, 8)
+    assert got.count() == sum(len(C.fixed_windows(t or "", 64, 8)) for i, t, *_ in rows if i is not None)
